@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from likeness.llm import bpe
+from likeness.llm import bpe, packing, token_counts
 from likeness.runtime import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,8 +19,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, BYTE_BPE).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, WORD_BPE).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with three edits: a note set in at a third of it, seven characters taken out at two thirds, a line added at its end."""
+    n = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    edit = lambda at, delete, insert: F.struct(at.cast("long").alias("at"), F.lit(delete).cast("long").alias("delete"), F.lit(insert).alias("insert"))
+    edits = F.array(edit(F.floor(n / 3), 0, " [see note 7]"), edit(F.floor(n * 2 / 3), 7, ""), edit(n + 1000, 0, "\nEnd of document."))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    return token_counts.count_edits(docs, BYTE_BPE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe}
+    return {f.__name__: f for f in (op1_bpe, op6_packing, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
