@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from likeness.llm import bpe, packing, token_counts
+from likeness.llm import bpe, packing, pii, quality, secrets, token_counts, toxicity
+from likeness.llm.samples import labelled_sample
 from likeness.runtime import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +20,45 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, BYTE_BPE).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def remainder(by: int):
+    """crc32 of a document's id as text, modulo ``by``: the folds of the classifiers."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(by))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: int = 6000) -> quality.Net:
+    """Fit on labelled rows of the training fold: at most 1.5 * ``per_class`` of each label, with texts of at most ``max_bytes``."""
+    return quality.fit(*labelled_sample(docs, labels, "quality", remainder(3) != 1, per_class, max_bytes))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 1200, max_bytes: int = 8000) -> toxicity.Machine:
+    """Fit on labelled rows of the training fold: at most 1.5 * ``per_class`` of each label, with texts of at most ``max_bytes``."""
+    return toxicity.fit(*labelled_sample(docs, labels, "toxic", remainder(5) != 0, per_class, max_bytes))
+
+
+def _judged(scored: DataFrame, by: int, held: int) -> DataFrame:
+    return scored.select("doc_id", (remainder(by) == held).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _judged(quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels"))), 3, 1)
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _judged(toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels"))), 5, 0)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, WORD_BPE).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -34,7 +74,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op6_packing, op9_token_counts)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_pii, op5_secrets, op6_packing, op9_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
