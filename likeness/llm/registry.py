@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from likeness.llm import bpe, exact_topk, neighbours, packing, pii, quality, secrets, token_counts, toxicity
+from likeness.llm import bpe, exact_topk, near_dup, neighbours, packing, pii, quality, secrets, token_counts, toxicity
 from likeness.llm.samples import labelled_sample
 from likeness.runtime import table
 
@@ -57,6 +57,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
@@ -82,7 +86,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_pii, op4_neighbours, op5_secrets, op6_packing, op7_topk, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_pii, op4_neighbours, op5_secrets, op6_packing, op7_topk, op8_near_dup, op9_token_counts, op10_toxicity)}
 
 
 OP7_SQL = """
