@@ -87,8 +87,11 @@ class Net:
         return p, (at, chunk, pre, act, cuts, top)
 
 
-def fit(texts: list[str], label, filters: int = 16, hidden: int = 16, embed: int = 8, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Net:
-    """Train on labelled texts. With one class only every score is that class's share (0.5 without any text)."""
+def fit(texts: list[str], label, prior: float | None = None, filters: int = 16, hidden: int = 16, embed: int = 8, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Net:
+    """Train on labelled texts, both classes with the same weight; ``prior`` is the share of label 1 to which the scores are then shifted.
+
+    With one class only every score is that class's share (0.5 without any text).
+    """
     rng = np.random.default_rng(seed)
     y = np.asarray(label, float)
     p = {
@@ -122,6 +125,8 @@ def fit(texts: list[str], label, filters: int = 16, hidden: int = 16, embed: int
                 m[k] = 0.9 * m[k] + 0.1 * d
                 v[k] = 0.99 * v[k] + 0.01 * d * d
                 x -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+    if prior is not None and 0 < prior < 1:
+        p["obias"] += np.log(prior / (1 - prior))
     return Net(**p)
 
 

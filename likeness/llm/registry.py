@@ -31,8 +31,12 @@ def quality_model(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 1200, max_bytes: int = 8000) -> toxicity.Machine:
-    """Fit on labelled rows of the training fold: at most 1.5 * ``per_class`` of each label, with texts of at most ``max_bytes``."""
-    return toxicity.fit(*labelled_sample(docs, labels, "toxic", remainder(5) != 0, per_class, max_bytes))
+    """Fit on labelled rows of the training fold: at most 1.5 * ``per_class`` of each label, with texts of at most ``max_bytes``.
+
+    The two labels weigh the same: a missed toxic document costs more than the share of toxic ones says.
+    """
+    texts, label, _ = labelled_sample(docs, labels, "toxic", remainder(5) != 0, per_class, max_bytes)
+    return toxicity.fit(texts, label)
 
 
 def _judged(scored: DataFrame, by: int, held: int) -> DataFrame:
@@ -72,8 +76,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs, WORD_BPE).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces(packing.pack(table(spark, sf_dir, "documents"), WORD_BPE))
+
+
+def pieces(packed: DataFrame) -> DataFrame:
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

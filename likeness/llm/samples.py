@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 _SPAN = 1 << 20
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, eligible: Column, per_class: int, max_bytes: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of about ``per_class`` labelled documents of each class, at most 1.5 times as many.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, eligible: Column, per_class: int, max_bytes: int) -> tuple[list[str], list[int], float | None]:
+    """Texts and labels, and the share of label 1 among all eligible rows, of about ``per_class`` labelled documents of each class, at most 1.5 times as many.
 
     Drawn by a hash of doc_id among the labelled rows for which ``eligible``
     (a condition on doc_id) holds and whose text has at most ``max_bytes``
@@ -19,7 +19,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, eligible
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & eligible)
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not counts:
-        return [], []
+        return [], [], None
     # texts over max_bytes fall out, so draw some more ids than texts are wanted
     draw = F.lit(False)
     for label, n in counts.items():
@@ -36,4 +36,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, eligible
             taken[r["label"]] += 1
             out_t.append(r["text"])
             out_l.append(r["label"])
-    return out_t, out_l
+    return out_t, out_l, counts.get(1, 0) / sum(counts.values())
