@@ -4,20 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from likeness.runtime import table
+from pyspark.sql import DataFrame, SparkSession
 
 Plan = Callable[[SparkSession, str], DataFrame]
+_PLANS: dict[str, Plan] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Plan], Plan]:
+    """Register a plan under its function's name, with the SQL that gives the same rows."""
+
+    def add(f: Plan) -> Plan:
+        key = name or f.__name__
+        if key in _PLANS:
+            raise ValueError(f"{key} is registered twice")
+        _PLANS[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return add
 
 
-def _classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id").where(F.col("vec_id") % 10 == 0)
+def _loaded() -> None:
+    from likeness.plans import evaluation, identities, pictures, requests, vectors  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Plan]:
-    return {"knn_classify_euclidean": _classify}
+    _loaded()
+    return dict(_PLANS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _loaded()
+    return dict(_SQL)
