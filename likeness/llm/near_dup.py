@@ -10,7 +10,7 @@ in at least one child with a chance that, over any depth, never falls below
 such a pair with a chance below 10^-6. A small node is compared exhaustively;
 only nodes that are not small are branched further.
 
-Comparisons are on 64 minima of 16 bits first, which all but one in a million
+Comparisons are on 256 minima of 8 bits first, which all but one in a million
 linked pairs pass, and then on the full sets, made anew from the texts.
 
 A crowd of near copies stays in one node on every level. So in each node all
@@ -32,11 +32,14 @@ from likeness.runtime import cut, ship
 
 WORDS = 5
 TREES, BRANCH = 7, 2
-SKETCH = 64
-#: Equal minima of 64 that a pair must have to be compared in full: of linked pairs one in a million has fewer.
-LEAST_EQUAL = 31
+#: Minima kept in full for branching: the first TREES * BRANCH for the first level, all for deeper ones.
+KEYS = 32
+SKETCH = 256
+#: Equal minima of 256 that a pair must have to be compared in full, and of the first 32 to be counted:
+#: of linked pairs one in a million has fewer.
+LEAST_EQUAL, FIRST, LEAST_FIRST = 159, 32, 11
 #: Sets in a node that are compared exhaustively, and levels below the first.
-SMALL, DEPTH = 1024, 6
+SMALL, DEPTH = 2048, 6
 #: Ids of documents to broadcast, at most (16 bytes each).
 BROADCAST_IDS = 1_000_000
 _STEP = 1 << 20
@@ -141,9 +144,9 @@ def signatures(sets: list[np.ndarray]) -> dict:
         for c in range(SKETCH):
             minima[own, c] = np.minimum.reduceat((flat ^ _XOR[c]) * _MIX[c], cuts)
         lo = hi
-    keys = minima[:, : TREES * BRANCH].astype(np.int64)
-    counts = np.where(n > 0, TREES * BRANCH, 0)
-    short = (mixed(minima) & np.uint64(0xFFFF)).astype("<u2")
+    keys = minima[:, :KEYS].astype(np.int64)
+    counts = np.where(n > 0, KEYS, 0)
+    short = (mixed(minima) >> np.uint64(56)).astype(np.uint8)
     return {
         "n": pa.array(n),
         "sid": pa.array(ident.astype(np.int64)),
@@ -153,7 +156,7 @@ def signatures(sets: list[np.ndarray]) -> dict:
 
 
 def sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SKETCH)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
 def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -226,14 +229,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("sid"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("sid"), F.col("b").alias("comp")).distinct())
 
 
-def compare_nodes(rows: DataFrame, per_task: int = 20_000) -> DataFrame:
-    """Pairs (a, b) within the nodes of rows (node, sid, comp, n, sketch) that lie in different components and could be linked."""
+def compare_nodes(rows: DataFrame, reps: DataFrame, per_task: int = 20_000) -> DataFrame:
+    """Pairs (a, b) within the nodes of rows (node, sid, comp) that lie in different components and could be linked."""
+    rows = rows.select("node", "sid", "comp").join(reps.select("sid", "n", "sketch"), "sid")
     tasks = max(1, -(-rows.count() // per_task))
 
     def run(key, t):
         order = np.argsort(node := t.column("node").to_numpy(), kind="stable")
         node, sid, comp, n = node[order], *(t.column(c).to_numpy()[order] for c in ("sid", "comp", "n"))
         k = sketches(t.column("sketch"))[order]
+        first = np.ascontiguousarray(k[:, :FIRST])
         cuts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         left, right = [], []
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(node)]):
@@ -242,6 +247,7 @@ def compare_nodes(rows: DataFrame, per_task: int = 20_000) -> DataFrame:
                 ok = (comp[rest] != comp[i]) & (n[rest] * 100 >= n[i] * 75) & (n[i] * 100 >= n[rest] * 75)
                 j = np.flatnonzero(ok) + i + 1
                 if len(j):
+                    j = j[(first[j] == first[i]).sum(1) >= LEAST_FIRST]
                     j = j[(k[j] == k[i]).sum(1) >= LEAST_EQUAL]
                     left.append(np.full(len(j), sid[i]))
                     right.append(sid[j])
@@ -275,7 +281,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     signed = cut(map_docs(texts, start, "n long, sid long, keys array<long>, sketch binary", "_id", "_text"))
     reps = cut(signed.where((F.col("n") > 0) & F.col("_id").isNotNull()).groupBy("sid").agg(F.min("_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")))
-    entry = reps.select("sid", F.posexplode("keys").alias("pos", "key")).select("sid", F.xxhash64("pos", "key").alias("node"))
+    entry = reps.select("sid", F.posexplode(F.slice("keys", 1, TREES * BRANCH)).alias("pos", "key")).select("sid", F.xxhash64("pos", "key").alias("node"))
     nodes = entry.groupBy("node").agg(F.count("*").alias("c"), F.min("sid").alias("pivot")).where(F.col("c") > 1)
     entry = cut(entry.join(nodes, "node"))
     # one comparison for each set of a node, with the node's first set
@@ -284,11 +290,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     comps = components(links)
     # nodes that still hold several components (of two sets, both have been compared)
     rows = entry.where(F.col("c") > 2).select("node", "sid").join(comps, "sid", "left").select("node", "sid", F.coalesce("comp", "sid").alias("comp"))
-    rows = cut(several(rows, 3).join(reps.select("sid", "n", "sketch"), "sid").select("node", "sid", "comp", "n", "sketch", "c"))
+    rows = cut(several(rows, 3).select("node", "sid", "comp", "c"))
     more = None
     for level in range(DEPTH + 1):
         small = rows.where(F.col("c") <= SMALL)
-        pairs = cut(compare_nodes(small))
+        pairs = cut(compare_nodes(small, reps))
         more = pairs if more is None else more.unionByName(pairs)
         hot = rows.where(F.col("c") > SMALL)
         if hot.isEmpty():
@@ -298,13 +304,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             own = F.pmod(F.xxhash64("sid", F.lit("block")), blocks).cast("int")
             split = hot.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             split = split.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
-            more = more.unionByName(cut(compare_nodes(split.select("node", "sid", "comp", "n", "sketch"))))
+            more = more.unionByName(cut(compare_nodes(split, reps)))
             break
         turn = F.explode(F.array(*[F.lit(i) for i in range(BRANCH)]))
-        child = hot.withColumn("turn", turn).withColumn("coord", F.pmod(F.xxhash64("node", "turn", F.lit(level)), F.lit(SKETCH)).cast("int"))
-        value = F.substring(F.col("sketch"), F.col("coord") * 2 + 1, F.lit(2))
-        child = child.select(F.xxhash64("node", "turn", "coord", value).alias("node"), "sid", "comp", "n", "sketch")
-        rows = cut(several(child, 2).select("node", "sid", "comp", "n", "sketch", "c"))
+        child = hot.join(reps.select("sid", "keys"), "sid").withColumn("turn", turn).withColumn("coord", F.pmod(F.xxhash64("node", "turn", F.lit(level)), F.lit(KEYS)).cast("int"))
+        child = child.select(F.xxhash64("node", "turn", "coord", F.element_at("keys", F.col("coord") + 1)).alias("node"), "sid", "comp")
+        rows = cut(several(child, 2).select("node", "sid", "comp", "c"))
     more = cut(confirmed(cut(more.distinct()), reps, texts))
     if not more.isEmpty():
         comps = components(links.unionByName(more))
