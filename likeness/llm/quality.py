@@ -104,7 +104,7 @@ def fit(texts: list[str], label, prior: float | None = None, filters: int = 16,
         "obias": np.zeros(1),
     }
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         p["out"][:] = 0
         p["obias"][:] = np.log(max(share, 1e-3) / max(1 - share, 1e-3))
         return Net(**p)
