@@ -7,6 +7,8 @@ cannot be decoded is dropped, or kept with a null raster.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -100,8 +102,8 @@ def flat(spark: SparkSession, path: str, separator: str = "_", **how) -> DataFra
 
 def tree(spark: SparkSession, path: str, **how) -> DataFrame:
     """Image files at any depth; the label is the folder right below ``path``."""
-    depth = len(path.rstrip("/").split("/"))
-    below = F.element_at(F.split(F.regexp_replace("path", r"^file:/+", "/"), "/"), depth + 1)
+    plain = re.sub(r"^[a-z0-9]+:/+([^/]*)", r"/\1", path.rstrip("/"))
+    below = F.try_element_at(F.split(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), "/"), F.lit(len(plain.split("/")) + 1))
     return decoded(files(spark, path, recursive=True).where(text.is_image(F.col("path"))).withColumn("label", below), **how)
 
 
