@@ -24,14 +24,23 @@ def mean_vector(df: DataFrame, vec: str = "v") -> DataFrame:
     return df.select(F.posexplode(vec).alias("p", "x")).groupBy("p").agg(F.avg("x").alias("m"))
 
 
-def _outer(df: DataFrame, vec: str, by: str | None) -> DataFrame:
-    """(by, sums): count, sums and sums of products of each task's vectors, as one flat array a task and label."""
+#: Rows of a scatter matrix in one block of it.
+_BLOCK = 64
+
+
+def moments(df: DataFrame, vec: str = "v", by: str | None = None) -> tuple[dict[str, tuple[int, np.ndarray]], np.ndarray]:
+    """label -> (n, mean), and the sum of x x^T over all rows.
+
+    Each task sums its own rows; the partial matrices are dealt by block of
+    rows and added, so no task holds more than one matrix and the driver gets one.
+    """
     ship(df.sparkSession)
     label = F.col(by).cast("string") if by else F.lit("")
     src = df.select(label.alias("label"), F.col(vec).cast("array<double>").alias("v"))
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
+        outer = None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -39,33 +48,50 @@ def _outer(df: DataFrame, vec: str, by: str | None) -> DataFrame:
             names = np.array(b.column(0).to_pylist(), object)
             for k in set(names.tolist()):
                 own = x[names == k]
-                got = np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
+                got = np.append(len(own), own.sum(0))
                 sums[k] = sums[k] + got if k in sums else got
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([*sums]), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["label", "sums"])
-
-    return src.mapInArrow(run, "label string, sums array<double>")
-
-
-def moments(df: DataFrame, vec: str = "v", by: str | None = None) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
-    """label -> (n, mean, sum of x x^T); a tree of partial sums by component, one row a label at the end."""
-    each = _outer(df, vec, by).select("label", F.posexplode("sums").alias("p", "x")).groupBy("label", "p").agg(F.sum("x").alias("x"))
-    rows = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("sums")).collect()
-    out = {}
+            outer = x.T @ x if outer is None else outer + x.T @ x
+        for k, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([-1], pa.int32()), pa.array([v.tobytes()])], names=["label", "block", "data"])
+        for at in range(0, 0 if outer is None else len(outer), _BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([at // _BLOCK], pa.int32()), pa.array([outer[at : at + _BLOCK].tobytes()])], names=["label", "block", "data"])
+
+    def add(key, t):
+        total = sum(np.frombuffer(x) for x in t.column("data").to_pylist())
+        return pa.table({"label": [key[0].as_py()], "block": pa.array([key[1].as_py()], pa.int32()), "data": [total.tobytes()]})
+
+    schema = "label string, block int, data binary"
+    rows = src.mapInArrow(run, schema).groupBy("label", "block").applyInArrow(add, schema).collect()
+    means = {}
     for r in rows:
-        s = np.array(r["sums"])
-        d = int((np.sqrt(4 * len(s) - 3) - 1) / 2)
-        out[r["label"]] = (int(s[0]), s[1 : d + 1] / s[0], s[d + 1 :].reshape(d, d))
-    return out
+        if r["block"] < 0:
+            v = np.frombuffer(bytes(r["data"]))
+            means[r["label"]] = (int(v[0]), v[1:] / v[0])
+    if not means:
+        raise ValueError("there are no vectors")
+    d = len(next(iter(means.values()))[1])
+    blocks = sorted((r["block"], bytes(r["data"])) for r in rows if r["block"] >= 0)
+    return means, np.concatenate([np.frombuffer(x).reshape(-1, d) for _, x in blocks])
 
 
-def scatter(m: dict[str, tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def scatter(m: tuple[dict[str, tuple[int, np.ndarray]], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Mean, scatter within labels, scatter between labels, and the number of rows."""
-    n = sum(k for k, _, _ in m.values())
-    mean = sum(k * mu for k, mu, _ in m.values()) / n
-    within = sum(s - k * np.outer(mu, mu) for k, mu, s in m.values())
-    between = sum(k * np.outer(mu - mean, mu - mean) for k, mu, _ in m.values())
-    return mean, within, between, n
+    means, outer = m
+    n = sum(k for k, _ in means.values())
+    mean = sum(k * mu for k, mu in means.values()) / n
+    own = np.array([np.sqrt(k) * mu for k, mu in means.values()])
+    off = np.array([np.sqrt(k) * (mu - mean) for k, mu in means.values()])
+    return mean, outer - own.T @ own, off.T @ off, n
+
+
+def _few(df: DataFrame, vec: str, by: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """All vectors and labels where there are fewer of them than components, else nothing."""
+    head = df.select(F.size(vec).alias("d")).limit(1).collect()
+    if not head:
+        raise ValueError("there are no vectors")
+    d = head[0]["d"]
+    rows = df.select(F.col(vec).alias("v"), (F.col(by).cast("string") if by else F.lit("")).alias("label")).limit(d).collect()
+    return None if len(rows) == d else (np.array([r["v"] for r in rows], float), np.array([r["label"] for r in rows], object))
 
 
 def signed(v: np.ndarray) -> np.ndarray:
@@ -121,10 +147,16 @@ class Subspace:
 
 def fit_pca(df: DataFrame, components: int, vec: str = "v", normalise: bool = True) -> Subspace:
     """Eigenvectors of the scatter about the mean, by falling eigenvalue; eigenvalues up to 1e-4 are dropped."""
-    mean, within, between, n = scatter(moments(df, vec))
-    w, v = np.linalg.eigh(within + between)
-    order = np.argsort(-w, kind="stable")
-    w, v = w[order], v[:, order]
+    few = _few(df, vec, None)
+    if few:  # the eigenvectors of the small side
+        n, mean = len(few[0]), few[0].mean(0)
+        _, size, axes = np.linalg.svd(few[0] - mean, full_matrices=False)
+        w, v = size**2, axes.T
+    else:
+        mean, within, between, n = scatter(moments(df, vec))
+        w, v = np.linalg.eigh(within + between)
+        order = np.argsort(-w, kind="stable")
+        w, v = w[order], v[:, order]
     live = w > LEAST_EIGENVALUE
     whole = w[live].sum()
     k = min(components, int(live.sum()))
@@ -133,14 +165,26 @@ def fit_pca(df: DataFrame, components: int, vec: str = "v", normalise: bool = Tr
 
 def fit_lda(df: DataFrame, label: str, components: int, vec: str = "v", normalise: bool = True) -> Subspace:
     """Discriminants in the space of the first n - c principal components; at least two labels."""
-    m = moments(df, vec, label)
-    if len(m) < 2:
+    few = _few(df, vec, label)
+    if few:
+        x, names = few
+        means = {k: (int((names == k).sum()), x[names == k].mean(0)) for k in sorted(set(names.tolist()))}
+        n, mean = len(x), x.mean(0)
+        base = np.linalg.svd(x - mean, full_matrices=False)[2].T
+    else:
+        means, _ = m = moments(df, vec, label)
+        mean, within, between, n = scatter(m)
+        w, v = np.linalg.eigh(within + between)
+        base = v[:, np.argsort(-w, kind="stable")]
+    if len(means) < 2:
         raise ValueError("discriminants need at least two labels")
-    mean, within, between, n = scatter(m)
-    w, v = np.linalg.eigh(within + between)
-    order = np.argsort(-w, kind="stable")
-    base = signed(v[:, order][:, : min(n - len(m), len(mean))])
-    sw, sb = base.T @ within @ base, base.T @ between @ base
+    base = signed(base[:, : min(n - len(means), len(mean))])
+    if few:
+        within_rows = (x - np.array([means[k][1] for k in names.tolist()])) @ base
+        off = np.array([np.sqrt(k) * (mu - mean) for k, mu in means.values()]) @ base
+        sw, sb = within_rows.T @ within_rows, off.T @ off
+    else:
+        sw, sb = base.T @ within @ base, base.T @ between @ base
     for ridge in (1e-6, 1e-3):
         try:
             val, vec_ = np.linalg.eig(np.linalg.solve(sw + ridge * np.eye(len(sw)), sb))
@@ -149,10 +193,10 @@ def fit_lda(df: DataFrame, label: str, components: int, vec: str = "v", normalis
             continue
     else:
         raise ValueError("the scatter within labels cannot be inverted")
-    order = np.argsort(-val.real, kind="stable")[: min(components, len(m) - 1)]
+    order = np.argsort(-val.real, kind="stable")[: min(components, len(means) - 1)]
     val, axes = val.real[order], base @ vec_.real[:, order]
     total = np.abs(val).sum()
-    return Subspace(mean, signed(axes), val, val / total if total else val, "lda", normalise, {"n": n, "labels": sorted(m)})
+    return Subspace(mean, signed(axes), val, val / total if total else val, "lda", normalise, {"n": n, "labels": sorted(means)})
 
 
 def cumulative(model: Subspace) -> np.ndarray:
