@@ -178,9 +178,7 @@ def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= 75 * union."""
     ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = cut(ids.join(reps.select("sid", "rep"), "sid"))
-    small = wanted.count() <= BROADCAST_IDS
-    held = texts.join(F.broadcast(wanted) if small else wanted, texts["_id"] == wanted["rep"]).select("sid", "_text")
+    held = text_of(ids, reps, texts)
     rows = pairs.join(held.select(F.col("sid").alias("b"), F.col("_text").alias("tb")), "b").join(held.select(F.col("sid").alias("a"), F.col("_text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def check(batches):
@@ -229,33 +227,76 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("sid"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("sid"), F.col("b").alias("comp")).distinct())
 
 
-def compare_nodes(rows: DataFrame, reps: DataFrame, per_task: int = 20_000) -> DataFrame:
-    """Pairs (a, b) within the nodes of rows (node, sid, comp) that lie in different components and could be linked."""
+def _by_node(t) -> tuple:
+    """The columns of a table of rows (node, sid, comp, n, sketch), sorted by node, and where each node begins and ends."""
+    node = t.column("node").to_numpy()
+    order = np.argsort(node, kind="stable")
+    node = node[order]
+    cuts = np.flatnonzero(np.append(True, node[1:] != node[:-1])).tolist()
+    k = sketches(t.column("sketch"))[order]
+    return order, node, t.column("sid").to_numpy()[order], t.column("comp").to_numpy()[order], t.column("n").to_numpy()[order], k, np.ascontiguousarray(k[:, :FIRST]), list(zip(cuts, [*cuts[1:], len(node)]))
+
+
+def _candidates(i: int, hi: int, comp, n, k, first) -> np.ndarray:
+    """The later rows of row i's node, up to hi, that lie in another component and could be linked with it."""
+    rest = slice(i + 1, hi)
+    j = np.flatnonzero((comp[rest] != comp[i]) & (n[rest] * 100 >= n[i] * 75) & (n[i] * 100 >= n[rest] * 75)) + i + 1
+    if len(j):
+        j = j[(first[j] == first[i]).sum(1) >= LEAST_FIRST]
+        j = j[(k[j] == k[i]).sum(1) >= LEAST_EQUAL]
+    return j
+
+
+def _tasks(rows: DataFrame, per_task: int) -> DataFrame:
+    return rows.withColumn("task", F.pmod(F.xxhash64("node"), F.lit(max(1, -(-rows.count() // per_task))))).groupBy("task")
+
+
+def compare_nodes(rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) within the nodes of rows (node, sid, comp) between sets of different components, as many as join these.
+
+    Sketches first leave only the sets that could be linked with another of
+    their node; with the texts of these every such pair is compared in full,
+    but for pairs that links of the node have joined already.
+    """
     rows = rows.select("node", "sid", "comp").join(reps.select("sid", "n", "sketch"), "sid")
-    tasks = max(1, -(-rows.count() // per_task))
-
-    def run(key, t):
-        order = np.argsort(node := t.column("node").to_numpy(), kind="stable")
-        node, sid, comp, n = node[order], *(t.column(c).to_numpy()[order] for c in ("sid", "comp", "n"))
-        k = sketches(t.column("sketch"))[order]
-        first = np.ascontiguousarray(k[:, :FIRST])
-        cuts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        left, right = [], []
-        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(node)]):
+
+    def alike_rows(key, t):
+        order, node, sid, comp, n, k, first, nodes = _by_node(t)
+        hit = np.zeros(len(node), bool)
+        for lo, hi in nodes:
             for i in range(lo, hi - 1):
-                rest = slice(i + 1, hi)
-                ok = (comp[rest] != comp[i]) & (n[rest] * 100 >= n[i] * 75) & (n[i] * 100 >= n[rest] * 75)
-                j = np.flatnonzero(ok) + i + 1
+                j = _candidates(i, hi, comp, n, k, first)
                 if len(j):
-                    j = j[(first[j] == first[i]).sum(1) >= LEAST_FIRST]
-                    j = j[(k[j] == k[i]).sum(1) >= LEAST_EQUAL]
-                    left.append(np.full(len(j), sid[i]))
-                    right.append(sid[j])
-        a = np.concatenate(left) if left else np.empty(0, np.int64)
-        b = np.concatenate(right) if right else np.empty(0, np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    return rows.withColumn("task", F.pmod(F.xxhash64("node"), F.lit(tasks))).groupBy("task").applyInArrow(run, "a long, b long").distinct()
+                    hit[i] = hit[j] = True
+        return pa.table({"node": pa.array(node[hit]), "sid": pa.array(sid[hit]), "comp": pa.array(comp[hit])})
+
+    live = cut(_tasks(rows, 20_000).applyInArrow(alike_rows, "node long, sid long, comp long"))
+    held = text_of(live.select("sid").distinct(), reps, texts)
+    full = live.join(reps.select("sid", "n", "sketch"), "sid").join(held, "sid")
+
+    def links(key, t):
+        order, node, sid, comp, n, k, first, nodes = _by_node(t)
+        column = t.column("_text").take(pa.array(order))
+        a, b = [], []
+        for lo, hi in nodes:
+            sets = shingle_sets(column.slice(lo, hi - lo).to_pylist())
+            own = comp[lo:hi].copy()  # components as far as this node's links join them
+            for i in range(hi - lo - 1):
+                for j in (_candidates(lo + i, hi, comp, n, k, first) - lo).tolist():
+                    if own[i] != own[j] and linked(sets[i], sets[j]):
+                        a.append(sid[lo + i])
+                        b.append(sid[lo + j])
+                        own[own == own[j]] = own[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return _tasks(full, 4_000).applyInArrow(links, "a long, b long")
+
+
+def text_of(ids: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(sid, _text) of the set ids; the texts are not dealt anew where the ids are few enough to broadcast."""
+    wanted = cut(ids.join(reps.select("sid", "rep"), "sid"))
+    few = wanted.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(wanted) if few else wanted, texts["_id"] == wanted["rep"]).select("sid", "_text")
 
 
 def several(rows: DataFrame, at_least: int) -> DataFrame:
@@ -294,7 +335,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     more = None
     for level in range(DEPTH + 1):
         small = rows.where(F.col("c") <= SMALL)
-        pairs = cut(compare_nodes(small, reps))
+        pairs = cut(compare_nodes(small, reps, texts))
         more = pairs if more is None else more.unionByName(pairs)
         hot = rows.where(F.col("c") > SMALL)
         if hot.isEmpty():
@@ -304,13 +345,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             own = F.pmod(F.xxhash64("sid", F.lit("block")), blocks).cast("int")
             split = hot.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             split = split.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
-            more = more.unionByName(cut(compare_nodes(split, reps)))
+            more = more.unionByName(cut(compare_nodes(split, reps, texts)))
             break
         turn = F.explode(F.array(*[F.lit(i) for i in range(BRANCH)]))
         child = hot.join(reps.select("sid", "keys"), "sid").withColumn("turn", turn).withColumn("coord", F.pmod(F.xxhash64("node", "turn", F.lit(level)), F.lit(KEYS)).cast("int"))
         child = child.select(F.xxhash64("node", "turn", "coord", F.element_at("keys", F.col("coord") + 1)).alias("node"), "sid", "comp")
         rows = cut(several(child, 2).select("node", "sid", "comp", "c"))
-    more = cut(confirmed(cut(more.distinct()), reps, texts))
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     root = reps.select("sid", "rep").join(comps, "sid", "left").select("sid", "rep", F.coalesce("comp", "sid").alias("root"))
