@@ -4,8 +4,13 @@ A text is a bag of units: its words, lower-cased and reduced to letters, with
 runs of single letters joined ("i d i o t"). Two units are compared by the
 gap-weighted subsequence kernel: all common subsequences of a few letters
 count, each discounted by the stretch it spans on either side, so inserted or
-dropped letters lower the value but do not end it. The kernel of a text and a
-landmark is its largest value over the text's units.
+dropped letters lower the value but do not end it. A unit of more than two
+landmark lengths (a spelled-out sentence, words joined by marks, unspaced
+script) is read in overlapping windows of that width, which cover every letter;
+a window's value is that of its best stretch, so that its other letters do not
+lower it.
+The kernel of a text and a landmark is its largest value over the text's units
+and their windows.
 
 Landmarks are units of the labelled sample. The Nystrom map, the kernel values
 to the landmarks times the inverse root of the landmarks' own kernel matrix,
@@ -19,6 +24,7 @@ few pairs for which the kernel is computed.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -29,8 +35,10 @@ from likeness.llm.arrow import map_docs
 from likeness.llm.pretoken import LETTER, SEP, SPACE, STEP, code_points, powers, tables
 
 ORDER, DECAY = 3, 0.7
-#: Units of fewer letters are no insults; of longer ones the letters beyond are cut off.
+#: Units of fewer letters are no insults; a landmark has at most LONGEST letters.
 SHORTEST, LONGEST = 4, 40
+#: Windows of long units that are held as arrays at once.
+BLOCK = 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -49,8 +57,11 @@ def lower_table() -> np.ndarray:
     return low
 
 
-def units(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """Units of all texts: index of each among the distinct ones, the distinct ones, where each text's begin, hash of each distinct one."""
+def units(texts: list[str], longest: int | None = LONGEST) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Units of all texts: index of each among the distinct ones, the distinct ones, where each text's begin, hash of each distinct one.
+
+    Of each unit the first ``longest`` letters, as candidates for landmarks; with None all of it.
+    """
     cps, begin = code_points(texts)
     cls = tables()[0][cps]
     keep = (cls == LETTER) | (cls == SPACE) | (cls == SEP)
@@ -74,7 +85,9 @@ def units(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarr
     low = lower_table()[cps]
     size = e - s
     ok = size >= SHORTEST
-    s, e = s[ok], np.minimum(e[ok], s[ok] + LONGEST)
+    s, e = s[ok], e[ok]
+    if longest is not None:
+        e = np.minimum(e, s + longest)
     up, down = powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(tables()[1][low] * up[:n], out=total[1:])
@@ -93,6 +106,20 @@ def letters(words: list[str]) -> np.ndarray:
     return np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width) if words else np.zeros((0, 1), np.uint32)
 
 
+def windows(words: list[str], width: int, step: int):
+    """(index of the word, rows of letters) of all windows of words longer than ``width``; the last one ends with its word."""
+    flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    begin = np.cumsum(size) - size
+    last = np.cumsum(-((width - size) // step) + 1)
+    for lo in range(0, int(last[-1]) if len(last) else 0, BLOCK):
+        k = np.arange(lo, min(lo + BLOCK, int(last[-1])))
+        owner = np.searchsorted(last, k, side="right")
+        nth = k - np.where(owner > 0, last[owner - 1], 0)
+        at = begin[owner] + np.minimum(nth * step, size[owner] - width)
+        yield owner, flat[at[:, None] + np.arange(width)]
+
+
 def letter_sets(rows: np.ndarray) -> np.ndarray:
     """The letters of each row as bits; letters may share a bit, which only lets more through."""
     out = np.zeros(len(rows), np.uint64)
@@ -133,6 +160,12 @@ def kernel(s: str, t: str, order: int = ORDER, decay: float = DECAY) -> float:
     return float(k.sum())
 
 
+def stretches(window: str, landmark: str, need: int) -> list[str]:
+    """The stretches of a window that share a subsequence of ``need`` letters with the landmark."""
+    parts = sorted({window[a : a + n] for n in range(need, len(window) + 1) for a in range(len(window) - n + 1)})
+    return [parts[i] for i in np.flatnonzero(lcs_at_least(letters(parts), landmark, need)).tolist()]
+
+
 class Machine:
     """A fitted model: landmarks, the Nystrom map, the machine's weights and the logistic curve."""
 
@@ -141,22 +174,41 @@ class Machine:
         self.own = [kernel(x, x) for x in landmarks]
 
     def values(self, words: list[str], floor: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, landmark, normalised kernel) of all pairs that are not 0."""
-        rows = letters(words)
+        """(word, landmark, normalised kernel) of all pairs that are not 0; of a word read in windows, those of each window."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        short = np.flatnonzero(size <= 2 * max(map(len, self.landmarks), default=0))
+        rows = letters([words[i] for i in short.tolist()])
         sets = letter_sets(rows)
         who, which, value = [], [], []
-        for j, x in enumerate(self.landmarks):
-            need = max(ORDER, len(x) - 1)
-            own_set = letter_sets(letters([x]))[0]
-            near = np.flatnonzero(np.bitwise_count(sets & own_set) + np.uint8(len(x) - need) >= np.bitwise_count(own_set))
-            for i in near[lcs_at_least(rows[near], x, need)].tolist():
-                w = words[i]
-                own = kernel(w, w)
-                k = kernel(w, x) / np.sqrt(own * self.own[j]) if own else 0.0
-                if k > floor:
-                    who.append(i)
-                    which.append(j)
-                    value.append(k)
+
+        def part_of(w: str, j: int) -> float:
+            own = kernel(w, w)
+            return kernel(w, self.landmarks[j]) / np.sqrt(own * self.own[j]) if own else 0.0
+
+        def compare(owner: np.ndarray, rows: np.ndarray, sets: np.ndarray, alike: list[int], inner: bool) -> None:
+            for j in alike:
+                x, known = self.landmarks[j], seen[inner, j]
+                need = max(ORDER, len(x) - 1)
+                own_set = letter_sets(letters([x]))[0]
+                near = np.flatnonzero(np.bitwise_count(sets & own_set) + np.uint8(len(x) - need) >= np.bitwise_count(own_set))
+                for i in near[lcs_at_least(rows[near], x, need)].tolist():
+                    w = rows[i][rows[i] > 0].tobytes().decode("utf-32-le")
+                    if w not in known:
+                        known[w] = max(part_of(y, j) for y in (stretches(w, x, need) if inner else [w]))
+                    if known[w] > floor:
+                        who.append(int(owner[i]))
+                        which.append(j)
+                        value.append(known[w])
+
+        seen: dict[tuple[bool, int], dict[str, float]] = defaultdict(dict)
+        for m in sorted({*map(len, self.landmarks)}):
+            alike = [j for j, x in enumerate(self.landmarks) if len(x) == m]
+            whole = size[short] <= 2 * m
+            compare(short[whole], rows[whole, : 2 * m], sets[whole], alike, False)
+            long = np.flatnonzero(size > 2 * m)
+            # half a landmark further each time: what spans up to one and a half lengths is in one window
+            for owner, part in windows([words[i] for i in long.tolist()], 2 * m, max(1, m // 2)):
+                compare(long[owner], part, letter_sets(part), alike, True)
         return np.array(who, np.int64), np.array(which, np.int64), np.array(value)
 
     def text_values(self, texts: list[str]) -> np.ndarray:
@@ -170,7 +222,7 @@ class Machine:
             while hi < len(texts) and (hi == lo or size + len(texts[hi]) < STEP):
                 size += len(texts[hi]) + 1
                 hi += 1
-            where, words, starts, _ = units(texts[lo:hi])
+            where, words, starts, _ = units(texts[lo:hi], None)
             i, j, v = self.values(words)
             if len(i):
                 dense = np.zeros((len(words), len(self.landmarks)), np.float32)

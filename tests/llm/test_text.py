@@ -202,6 +202,28 @@ def test_toxicity_is_learned_and_tolerant():
     assert toxicity.fit([], []).scores(["x"]) == [0.5]
 
 
+def test_toxicity_beyond_the_fortieth_letter():
+    from itertools import pairwise
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcefghklmnprsuv") for _ in range(r.randint(2, 9)))
+    bad = ["idiot", "worthless", "stupid"]
+    clean = [" ".join(word() for _ in range(40)) for _ in range(200)]
+    toxic = [" ".join([*(word() for _ in range(30)), r.choice(bad), r.choice(bad)]) for _ in range(120)]
+    m = toxicity.fit(clean + toxic, [0] * 200 + [1] * 120)
+    front = "nobodylikesyouandnobodyeverwillbecauseyouare"
+    whole = m.scores(["such an idiot"])[0]
+    hidden = [" ".join(front + "anidiot"), ",".join([*["fellow"] * 9, "idiot"]), "\u597d" * 9000 + "idiot" + "\u597d" * 9000, "heisanidiot"]
+    assert whole > 0.5 and (m.scores(hidden) > 0.5).all() and m.scores([" ".join(front)])[0] < 0.5
+    # windows: every letter, no gap, and stretches of one and a half lengths in one window
+    for n in (11, 12, 57, 200_003):
+        w = "".join(chr(0x4E00 + i % 20000) for i in range(n))
+        parts = [p.astype("<u4").tobytes().decode("utf-32-le") for _, rows in toxicity.windows(["x" * 30, w], 10, 2) for p in rows]
+        parts = parts[11:]
+        at = [min(2 * i, n - 10) for i in range(len(parts))]
+        assert parts == [w[a : a + 10] for a in at] and at[-1] == n - 10 and all(0 < b - a <= 2 for a, b in pairwise(at))
+
+
 def test_scored_rows(spark):
     m = toxicity.fit(["nice words", "idiot idiots here", "idiot and scum", "fine day"], [0, 1, 1, 0])
     docs = spark.createDataFrame([(1, "idiot", "a"), (2, None, "b"), (2, None, "b")], "doc_id long, text string, score string")
