@@ -260,6 +260,11 @@ def choose_landmarks(where: np.ndarray, words: list[str], starts: np.ndarray, la
     return out
 
 
+def constant(share: float) -> Machine:
+    """The model whose score is ``share`` (0.001 to 0.999) for every text."""
+    return Machine([], np.zeros(0), 0.0, 0.0, float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))))
+
+
 def fit(texts: list[str], label, prior: float | None = None, landmarks: int = 64, penalty: float = 3.0, rounds: int = 60, seed: int = 3) -> Machine:
     """Train on labelled texts; ``prior`` is the share of label 1 to which the scores are then shifted.
 
@@ -267,13 +272,12 @@ def fit(texts: list[str], label, prior: float | None = None, landmarks: int = 64
     """
     label = np.asarray(label, np.int64)
     share = float(label.mean()) if len(label) else 0.5
-    odds = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     chosen: list[str] = []
     if len(label) and 0 < share < 1:
         where, words, starts, _ = units(texts)
         chosen = choose_landmarks(where, words, starts, label, landmarks)
     if not chosen:
-        return Machine([], np.zeros(0), 0.0, 0.0, odds)
+        return constant(share)
     model = Machine(chosen, np.zeros(len(chosen)), 0.0, 1.0, 0.0)
     x = model.text_values(texts)
     own = np.array([[kernel(a, b) / np.sqrt(kernel(a, a) * kernel(b, b)) for b in chosen] for a in chosen])

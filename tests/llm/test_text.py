@@ -224,6 +224,24 @@ def test_toxicity_beyond_the_fortieth_letter():
         assert parts == [w[a : a + 10] for a in at] and at[-1] == n - 10 and all(0 < b - a <= 2 for a, b in pairwise(at))
 
 
+def test_toxicity_without_a_usable_sample(spark):
+    from pyspark.sql import functions as F
+
+    from likeness.llm import registry
+
+    toxic = F.col("doc_id") % 4 == 0
+    labels = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
+    docs = labels.select("doc_id", F.concat(F.when(toxic, F.lit("such a worthless idiot ")).otherwise(F.lit("such a fine day ")), F.repeat(F.lit("and so on "), 10)).alias("text"))
+    # no labels: nothing is called toxic
+    assert registry.toxicity_model(docs, labels.limit(0)).scores(["a fine day"])[0] < 0.5
+    # every text is over the bound: longer ones are drawn
+    m = registry.toxicity_model(docs, labels, max_bytes=50)
+    assert m.scores(["a worthless idiot"])[0] > 0.5 > m.scores(["a fine day"])[0]
+    # nothing parts the labels: the share of all labels, not of the balanced sample
+    same = docs.withColumn("text", F.lit("1 2 3"))  # no landmark
+    assert abs(registry.toxicity_model(same, labels, per_class=20).scores(["x"])[0] - 0.25) < 0.08
+
+
 def test_scored_rows(spark):
     m = toxicity.fit(["nice words", "idiot idiots here", "idiot and scum", "fine day"], [0, 1, 1, 0])
     docs = spark.createDataFrame([(1, "idiot", "a"), (2, None, "b"), (2, None, "b")], "doc_id long, text string, score string")
