@@ -6,9 +6,13 @@ tree a set follows, by the minima of its shingles under the level's hash
 functions, to children that it shares with the sets of the same minima. Two
 functions are drawn at each level, so a pair of similarity 0.75 stays together
 in at least one child with a chance that, over any depth, never falls below
-8/9 (the root of q = (1/4 + 3/4 q)^2 is q = 1/9). Seven independent trees lose
-such a pair with a chance below 10^-6. A small node is compared exhaustively;
-only nodes that are not small are branched further.
+8/9 (the root of q = (1/4 + 3/4 q)^2 is q = 1/9). Seven independent trees would
+lose such a pair with a chance below 10^-6; but below the first level all trees
+draw from the same 32 minima of a set, so they are not independent. For a pair
+at exactly 0.75 that meets only in nodes that are not small, the chance by
+calculation is 3e-6 after one deeper level, 2e-5 after two and 3e-4 after six;
+a pair that meets in a small node of the first level is lost with 4e-9. A small
+node is compared exhaustively; only nodes that are not small are branched further.
 
 Comparisons are on 256 minima of 8 bits first, which all but one in a million
 linked pairs pass, and then on the full sets, made anew from the texts.
