@@ -152,7 +152,7 @@ def labelled_table(seed: int = 7) -> list[tuple[list[str], list[str]]]:
         return [(w, ("B-" if i == 0 else "I-") + kind) for i, w in enumerate(words)]
 
     def spelled() -> list[str]:
-        at, dot = r.choice(AT_WORDS[:4]), r.choice(DOT_WORDS[:4])
+        at, dot = r.choice(AT_WORDS), r.choice(DOT_WORDS)
         out = [name() + r.choice(["", num(2), "." + num(2)]), at, name() + r.choice(["", num(1)]), dot, r.choice(["com", "org", "net", "de"])]
         return out
 
@@ -166,6 +166,13 @@ def labelled_table(seed: int = 7) -> list[tuple[list[str], list[str]]]:
     def card() -> list[str]:
         return [".".join([num(4) for _ in range(4)])]
 
+    def address() -> list[str]:
+        parts = [str(r.randint(0, 255)) for _ in range(4)]
+        dot = r.choice(DOT_WORDS)
+        if r.random() < 0.5:
+            return [w for p in parts for w in (dot, p)][1:]
+        return [r.choice(["[.]", "(.)", "{.}", "[dot]", "(dot)"]).join(parts)]
+
     def nothing() -> list[str]:
         pick = r.randint(0, 11)
         return [[num(4)], [num(r.randint(1, 3))], [num(1) + "." + num(1)], ["version", num(1) + "." + num(1) + "." + num(2)], [f"{num(2)}:{num(2)}"], [f"20{num(2)}-{num(2)}-{num(2)}"], ["".join(r.choice("0123456789abcdef") for _ in range(r.choice([16, 18, 40])))], ["$" + num(3) + "." + num(2)], ["at", name()], ["dot", name()], [name() + num(2)], ["".join(r.choice("0123456789ABCDEFGHKLM") for _ in range(20))]][pick]
@@ -174,7 +181,7 @@ def labelled_table(seed: int = 7) -> list[tuple[list[str], list[str]]]:
     for _ in range(400):
         row: list[tuple[str, str]] = [(w, "O") for w in fill()]
         for _ in range(r.randint(0, 2)):
-            make, kind, cue = r.choice([(spelled, "email", ["mail"]), (joined, "email", ["contact"]), (phone, "phone", ["call", "phone", "tel"]), (card, "card", ["card", "visa"])])
+            make, kind, cue = r.choice([(spelled, "email", ["mail", "contact"]), (spelled, "email", ["mail"]), (joined, "email", ["contact"]), (phone, "phone", ["call", "phone", "tel"]), (card, "card", ["card", "visa"]), (address, "ip", ["ip", "host", "server"])])
             row += [(r.choice(cue), "O")] * (kind == "phone" or r.random() < 0.5) + tag(make(), kind) + [(w, "O") for w in fill()]
         for _ in range(r.randint(0, 3)):
             row += [(w, "O") for w in nothing() + fill()]
@@ -310,6 +317,7 @@ def viterbi(stretches: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
 #: A piece is live if it has a digit, an at-sign or a bracketed at or dot. Bare
 #: words for at and dot are live only within 64 characters of a bare dot word.
 _HARD = re.compile(r"[0-9@]|[(\[{](?:at|dot)[)\]}]", re.I)
+_BARE_DOT = re.compile(r"(?<!\S)(?:dot|punto)(?!\S)", re.I)
 _BARE = re.compile(r"(?<!\S)(?:at|dot|arroba|punto)(?!\S)", re.I)
 _TRIM = ".,;:!?\"'<>"
 
@@ -325,19 +333,12 @@ def live_pieces(t: str) -> list[tuple[int, int]]:
                 s -= 1
             end = _PIECE.match(t, m.start()).end()
             out.append((s, end))
-    at = [k for w in ("dot", "DOT", "punto") if w in t for k in _all(t, w) if (k == 0 or t[k - 1].isspace()) and (k + len(w) == len(t) or t[k + len(w)].isspace())]
+    at = [m.start() for m in _BARE_DOT.finditer(t)]
     for k in at:
         out += [m.span() for m in _BARE.finditer(t, max(0, k - 64), k + 70)]
     return sorted(set(out)) if at else out
 
 
-def _all(t: str, w: str):
-    k = t.find(w)
-    while k >= 0:
-        yield k
-        k = t.find(w, k + 1)
-
-
 def field_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) that the random field finds in each text."""
     stretch_words: list[list[tuple[int, int]]] = []
@@ -402,7 +403,8 @@ def plausible(kind: str, found: str) -> bool:
         return 8 <= digits <= 15
     if kind == "card":
         return 16 <= digits <= 19 and luhn(_NOT_DIGIT.sub("", found))
-    return digits >= 4 and all(int(p) <= 255 for p in re.findall(r"[0-9]{1,4}", found))
+    parts = re.findall(r"[0-9]+", found)
+    return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
 
 
 def merged(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -48,6 +48,14 @@ def test_field_adds_spelled_out_data_and_keeps_clean_text():
     assert pii.field_spans(clean, field) == [[] for _ in clean]
 
 
+def test_field_adds_spelled_out_hosts_and_spanish_words():
+    field = pii.trained()
+    cases = {"the server 10 dot 0 dot 0 dot 1 is down": ("ip", "10 dot 0 dot 0 dot 1"), "see host 192[.]168[.]1[.]1 now": ("ip", "192[.]168[.]1[.]1"), "mail juan arroba correo punto com please": ("email", "juan arroba correo punto com"), "mail bob at site Dot org now": ("email", "bob at site Dot org"), "mail ana arroba lugar PUNTO net now": ("email", "ana arroba lugar PUNTO net")}
+    for (t, want), got in zip(cases.items(), pii.field_spans([*cases], field)):
+        assert [(pii.KINDS[k], t[s:e]) for k, s, e in got] == [want], t
+    assert not pii.plausible("ip", "10 dot 0 dot 0") and not pii.plausible("ip", "1.2.3.999")
+
+
 def test_viterbi_equals_all_paths():
     import itertools
 
