@@ -5,7 +5,10 @@ keys or signed tokens are decoded from base64 or hexadecimal digits and
 reported only if what they decode to parses to its last byte: a private-key
 structure with nested lengths that add up (PKCS#1, PKCS#8, SEC 1, PKCS#12), the
 length-prefixed fields of an OpenSSH private key, or a signed token whose
-header names an algorithm and whose claims are an object.
+header names an algorithm and whose claims are an object. A base64 run may be
+joined to earlier text by a slash, hyphen or underscore, and go on over lines of
+one width. A PEM body that its header lines call encrypted cannot be parsed; it
+is reported if it fills whole blocks of a cipher that the header gives the start value of.
 """
 
 from __future__ import annotations
@@ -151,17 +154,68 @@ def is_signed_token(run: str) -> bool:
 
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*+)-----END \1-----")
+#: Name, header lines and body; line ends may be written as \\n.
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:\s|\\[rn])*+(?:[A-Za-z][A-Za-z0-9-]*+:[^\n\\]*+(?:\n|(?:\\r)?\\n))*+)([A-Za-z0-9+/=\s\\]*+)-----END \1-----")
+_ENCRYPTED = re.compile(r"Proc-Type: *4, *ENCRYPTED")
+_CIPHER = re.compile(r"DEK-Info: *[A-Za-z0-9-]+, *([0-9A-Fa-f]+)")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]++")
+_NEXT = re.compile(r"\r?\n[ \t]*+([A-Za-z0-9+/_-]++)")
+_PAD = re.compile(r"={0,2}")
+#: Where a key may begin in a run.
+_START = re.compile(r"(?:^|(?<=[/_-]))[Mb]")
+_SSH_BEGIN = "b3BlbnNzaC1rZXktdjE"
 _ALL_HEX = re.compile(r"[0-9A-Fa-f]+")
 
 
+def is_encrypted_body(head: str, data: bytes) -> bool:
+    """Header lines that name a cipher with a start value of 8 or 16 bytes, and a body of whole blocks."""
+    m = _CIPHER.search(head)
+    return bool(m and _ENCRYPTED.search(head)) and len(m[1]) in (16, 32) and len(data) >= 24 and len(data) % (len(m[1]) // 2) == 0
+
+
+def key_at(text: str, s: int) -> tuple[int, int] | None:
+    """(kind, end) of the base64 key that begins at ``s``, on one line or on lines of one width."""
+    need = None  # digits by the length that the structure's first bytes give
+    if text[s] == "M":
+        data = from_base64(text[s : s + 8])
+        if not data or len(data) < 6 or data[0] != 0x30:
+            return None
+        k = data[1] & 0x7F if data[1] & 0x80 else 0
+        if k > 4:
+            return None
+        need = -(-4 * (2 + k + (int.from_bytes(data[2 : 2 + k], "big") if k else data[1])) // 3)
+    elif not text.startswith(_SSH_BEGIN, s):
+        return None
+    m = _LINE.match(text, s)
+    width, got, end = m.end() - s, [m[0]], m.end()
+    size, ends = width, []
+    while need is None or size < need:
+        m = _NEXT.match(text, end)
+        if not m or len(m[1]) > width:
+            break
+        if len(m[1]) < width:
+            ends.append((len(got), end))  # the short line may be other text
+        got.append(m[1])
+        size += len(m[1])
+        end = m.end()
+        if len(m[1]) < width:
+            break
+    if need is not None and size != need:
+        return None
+    for n, end in [*([] if need else ends), (len(got), end)][::-1]:
+        data = from_base64("".join(got[:n]))
+        if data and (is_private_der(data) if need else is_openssh_private(data)):
+            return (4 if need else 5), _PAD.match(text, end).end()
+    return None
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what decodes and parses."""
     out, taken = [], []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = from_base64(m[2].replace("\\n", "").replace("\\r", "").replace("\\", ""))
-            if data and (is_private_der(data) or is_openssh_private(data)):
+            data = from_base64(m[3].replace("\\n", "").replace("\\r", "").replace("\\", ""))
+            if data and (is_private_der(data) or is_openssh_private(data) or is_encrypted_body(m[2], data)):
                 out.append((m.start(), 6, m.end()))
                 taken.append(m.span())
     if "ey" in text and "." in text:
@@ -180,6 +234,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
             if data and is_openssh_private(data):
                 out.append((m.start(), 5, m.end()))
                 break
+        else:
+            end = m.start()
+            for at in _START.finditer(run):
+                s = m.start() + at.start()
+                if s >= end and (found := key_at(text, s)):
+                    end = found[1]
+                    out.append((s, *found))
+                    taken.append((s, end))
     return out
 
 

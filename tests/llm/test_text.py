@@ -99,6 +99,28 @@ def test_base_secrets_equal_the_plain_patterns():
         assert secrets.base_spans(t) == plain_secrets(t)
 
 
+def test_wrapped_joined_and_headed_keys():
+    rsa = der(0x30, b"".join([der(2, b"\0")] + [der(2, bytes(range(1, 60))) for _ in range(8)]))
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 40) + field(b"k" * 60)
+    b64 = lambda b: base64.b64encode(b).decode()
+    for data, kind in ((rsa, 4), (ssh, 5)):
+        for width in (64, 76):
+            for end in ("\n", "\r\n"):
+                lines = end.join(re.findall(f".{{1,{width}}}", b64(data)))
+                for after in ("", end, end + "and more text", end + end + "x"):
+                    assert secrets.confirmed_spans("key: " + lines + after) == [(5, kind, 5 + len(lines))]
+        for front in ("key_", "/etc/ssl/", "my-own-"):
+            assert secrets.confirmed_spans(front + b64(data) + " x") == [(len(front), kind, len(front) + len(b64(data)))]
+    body = "\n".join(re.findall(".{1,64}", b64(rsa)))
+    pem = lambda head, body: f"-----BEGIN RSA PRIVATE KEY-----\n{head}{body}\n-----END RSA PRIVATE KEY-----"
+    locked = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n"
+    for t in (pem("Comment: mine\n\n", body), pem(locked, b64(bytes(range(64))))):
+        assert secrets.confirmed_spans(t) == [(0, 6, len(t))]
+    for t in (pem(locked, b64(bytes(range(63)))), "key_" + b64(rsa)[:-8], "x\n".join(re.findall(".{1,64}", b64(rsa)[:-8]))):
+        assert secrets.confirmed_spans(t) == []
+
+
 def der(tag, body):
     n = len(body)
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
