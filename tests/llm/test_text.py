@@ -198,25 +198,61 @@ def test_kernel_equals_the_sum_over_subsequences():
         assert abs(toxicity.kernel(s, t) - brute(s, t, toxicity.ORDER, toxicity.DECAY)) < 1e-9
 
 
-def test_bit_parallel_gate_equals_the_table():
-    def lcs(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            new = [0]
-            for j, y in enumerate(b):
-                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
-            row = new
-        return row[-1]
-
-    words = noise(300, "abcd", 5, 12)
-    for need in (1, 3, 4):
-        got = toxicity.lcs_at_least(toxicity.letters(words), "abcda", need)
-        assert got.tolist() == [lcs(w, "abcda") >= need for w in words]
+def plain_values(texts, landmarks):
+    """Straight from the definition: every unit and, for landmarks of four letters or more, every stretch of it."""
+    out = np.zeros((len(texts), len(landmarks)))
+    for i, t in enumerate(texts):
+        words = re.sub(r"[^\W_]*\d[^\W_]*", lambda m: re.sub(r"\d", "", m[0]), t.lower())
+        words = re.sub(r"[^\w\s]|_", "", words)
+        words = re.sub(r"(?:(?<=\s)|^)\w(?:\s+\w(?=\s|$))+", lambda m: re.sub(r"\s", "", m[0]), words).split()
+        for j, x in enumerate(landmarks):
+            for w in words:
+                parts = [w] if len(x) < toxicity.STRETCH else {w[a:b] for a in range(len(w)) for b in range(a + 3, min(len(w), a + 2 * len(x)) + 1)}
+                for p in parts:
+                    own = toxicity.kernel(p, p)
+                    k = toxicity.kernel(p, x) / np.sqrt(own * toxicity.kernel(x, x)) if own else 0.0
+                    out[i, j] = max(out[i, j], (k - toxicity.FLOOR) / (1 - toxicity.FLOOR))
+    return out
+
+
+def test_text_values_equal_the_definition():
+    landmarks = ["abac", "bad", "abcda", "ccbbaad"]
+    m = toxicity.Machine(landmarks, np.zeros(4), 0.0, 1.0, 0.0)
+    texts = noise(60, "abcd abcdabcde ,.1", 5, 50) + [" ".join("abcdaabacbad"), "x" * 90 + "abxcda" + "x" * 90, "", "bad", "badly bad", "ab-acus b.a.d"]
+    assert np.abs(m.text_values(texts) - plain_values(texts, landmarks)).max() < 1e-9
+    assert np.abs(m.text_values(texts[::-1])[::-1] - plain_values(texts, landmarks)).max() < 1e-9  # with units known from before
+    long = ["ab cd " * 100_000 + "abcda", "abcda " + "ab cd " * 100_000]
+    assert np.abs(m.text_values(long) - plain_values(["abcda"], landmarks)).max() < 1e-9
 
 
 def test_units():
-    where, words, starts, _ = toxicity.units(["You i d i o t!", "", "st.u.pid  ab", "É" * 60])
-    assert [[words[k] for k in where[a:b]] for a, b in zip(starts[:-1], starts[1:])] == [["idiot"], [], ["stupid"], ["é" * 40]]
+    low, s, e, owner = toxicity.spelled(["You i d i o t!", "", "st.u.pid  ab", "É" * 60])
+    words = [low[a:b].tobytes().decode("utf-32-le") for a, b in zip(s, e)]
+    assert words == ["you", "idiot", "stupid", "é" * 60] and owner.tolist() == [0, 0, 2, 3]
+
+
+def test_copies_are_no_evidence():
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcefghklmnprsuv") for _ in range(r.randint(3, 9)))
+    text = lambda *more: " ".join(r.sample([word() for _ in range(30)] + list(more), 30 + len(more)))
+    copied = text()
+    toxic = [text("idiot") for _ in range(60)] + [copied.replace(r.choice(copied.split()), word()) for _ in range(60)]
+    got = toxicity.choose_landmarks(toxic + [text() for _ in range(200)], np.array([1] * 120 + [0] * 200), 64)
+    assert got[0] == "idiot" and len(got) < 6  # of 30 words that 60 copies share
+
+
+def test_fit_in_bounded_memory():
+    import tracemalloc
+
+    r = random.Random(3)
+    words = ["".join(r.choice("abcefghklmnprsuv") for _ in range(r.randint(3, 9))) for _ in range(3000)]
+    texts = [" ".join(r.choices(words, k=6_000)) for _ in range(60)]  # 2.5 million characters
+    toxicity.tables(), toxicity.lower_table(), toxicity.powers(1)
+    tracemalloc.start()
+    toxicity.fit(texts, [1, 0] * 30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
 
 
 def test_toxicity_is_learned_and_tolerant():
@@ -232,9 +268,7 @@ def test_toxicity_is_learned_and_tolerant():
     assert toxicity.fit([], []).scores(["x"]) == [0.5]
 
 
-def test_toxicity_beyond_the_fortieth_letter():
-    from itertools import pairwise
-
+def test_toxicity_within_long_units():
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcefghklmnprsuv") for _ in range(r.randint(2, 9)))
     bad = ["idiot", "worthless", "stupid"]
@@ -245,13 +279,6 @@ def test_toxicity_beyond_the_fortieth_letter():
     whole = m.scores(["such an idiot"])[0]
     hidden = [" ".join(front + "anidiot"), ",".join([*["fellow"] * 9, "idiot"]), "\u597d" * 9000 + "idiot" + "\u597d" * 9000, "heisanidiot"]
     assert whole > 0.5 and (m.scores(hidden) > 0.5).all() and m.scores([" ".join(front)])[0] < 0.5
-    # windows: every letter, no gap, and stretches of one and a half lengths in one window
-    for n in (11, 12, 57, 200_003):
-        w = "".join(chr(0x4E00 + i % 20000) for i in range(n))
-        parts = [p.astype("<u4").tobytes().decode("utf-32-le") for _, rows in toxicity.windows(["x" * 30, w], 10, 2) for p in rows]
-        parts = parts[11:]
-        at = [min(2 * i, n - 10) for i in range(len(parts))]
-        assert parts == [w[a : a + 10] for a in at] and at[-1] == n - 10 and all(0 < b - a <= 2 for a, b in pairwise(at))
 
 
 def test_toxicity_without_a_usable_sample(spark):
