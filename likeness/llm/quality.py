@@ -12,6 +12,8 @@ by Adam on a bounded sample; its gradient runs through the maxima only.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,15 +39,29 @@ class Net:
         self.embed, self.filters, self.fbias, self.dense, self.dbias, self.out, self.obias = embed, filters, fbias, dense, dbias, out, obias
         d = embed.shape[1]
         one = np.stack([embed @ filters[k * d : (k + 1) * d] for k in range(WIDTH)])
-        self.pairs = [(one[k][:, None, :] + one[k + 1][None, :, :]).reshape(65536, -1).astype(np.float32) for k in (0, 2, 4)]
-        self.pairs[0] += fbias.astype(np.float32)
+        self.one = one.astype(np.float32)
+        self.one[0] += fbias.astype(np.float32)
+
+    @cached_property
+    def pairs(self) -> list[np.ndarray]:
+        """Responses by pairs of bytes, for each third of a filter."""
+        return [(self.one[k][:, None, :] + self.one[k + 1][None, :, :]).reshape(65536, -1) for k in (0, 2, 4)]
 
     def __reduce__(self):  # the tables are made anew where the model arrives
         return Net, (self.embed, self.filters, self.fbias, self.dense, self.dbias, self.out, self.obias)
 
     def half_maxima(self, data: np.ndarray) -> np.ndarray:
-        """Largest response of each filter in each half chunk of the bytes."""
-        out = np.empty((len(data) // HALF, self.pairs[0].shape[1]), np.float32)
+        """Largest response of each filter in each half chunk of the bytes. For few bytes the tables of pairs are not worth making."""
+        out = np.empty((len(data) // HALF, self.one.shape[2]), np.float32)
+        if "pairs" not in self.__dict__ and len(data) <= 4 * STEP:
+            for lo in range(0, len(data), STEP // 4):
+                part = np.append(data[lo : lo + STEP // 4 + WIDTH], np.zeros(WIDTH, np.uint8))
+                n = min(STEP // 4, len(data) - lo)
+                r = self.one[0].take(part[:n], 0)
+                for k in range(1, WIDTH):
+                    r += self.one[k].take(part[k : n + k], 0)
+                out[lo // HALF : (lo + n) // HALF] = r.reshape(-1, HALF, r.shape[1]).max(1)
+            return out
         padded = np.append(data, np.zeros(WIDTH, np.uint8)).astype(np.int32)
         pair = padded[:-1] << 8 | padded[1:]
         for lo in range(0, len(data), STEP):
@@ -156,12 +172,12 @@ def gradient(p: dict, data: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np
     used, back = np.unique(block, return_inverse=True)
     back = back.reshape(block.shape)
     pos = np.empty((len(used), half.shape[1]), np.int64)
-    wide = padded.astype(np.int32)
-    pair = wide[:-1] << 8 | wide[1:]
     for lo in range(0, len(used), 512):
         u = used[lo : lo + 512]
         i = (u[:, None] * HALF + np.arange(HALF)[None, :]).ravel()
-        r = net.pairs[0].take(pair[i], 0) + net.pairs[1].take(pair[i + 2], 0) + net.pairs[2].take(pair[np.minimum(i + 4, len(pair) - 1)], 0)
+        r = net.one[0].take(padded[i], 0)
+        for k in range(1, WIDTH):
+            r += net.one[k].take(padded[i + k], 0)
         pos[lo : lo + 512] = r.reshape(len(u), HALF, -1).argmax(1) + u[:, None] * HALF
     where = pos[back, np.arange(half.shape[1])[None, :]]
     grad = dchunk[live]
@@ -174,7 +190,8 @@ def gradient(p: dict, data: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np
         emb = p["embed"][bytes_].reshape(len(hit), -1)
         g["filters"][:, f] = emb.T @ w[hit]
         de = w[hit][:, None] * p["filters"][:, f][None, :]
-        np.add.at(g["embed"], bytes_.ravel(), de.reshape(-1, d))
+        for c, x in enumerate(de.reshape(-1, d).T):
+            g["embed"][:, c] += np.bincount(bytes_.ravel(), x, 256)
     return g
 
 

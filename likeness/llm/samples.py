@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Hash values that decide whether a labelled row is in the sample.
-_SPAN = 1 << 20
 #: Bytes of longer texts that are drawn where shorter ones are too few, at most (one text at least).
 _LONG_BYTES = 16 << 20
 
@@ -17,21 +15,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, eligible
     (a condition on doc_id) holds and whose text has at most ``max_bytes``
     bytes. A label with fewer than ``least`` such texts gets longer ones up to
     that number, the shortest of them first, of 16 MB in all at most. The
-    bounds hold whatever the size of the input. Rows with a null id, text or label take no part; a document labelled twice is taken once.
+    bounds hold whatever the size of the input, and the same input gives the
+    same sample. Rows with a null id, text or label take no part, nor does a
+    document that is labelled both ways; one labelled twice is taken once, of
+    several texts of one id the first in order.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & eligible)
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where(F.col("label") == F.col("other")).drop("other")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not counts:
         return [], [], None
     # texts over max_bytes fall out, so draw some more ids than texts are wanted
+    turn = F.xxhash64("doc_id", F.lit(label_col))
     draw = F.lit(False)
     for label, n in counts.items():
-        share = min(1.0, 1.4 * per_class / n)
-        draw = draw | ((F.col("label") == label) & (F.pmod(F.xxhash64("doc_id", F.lit(label_col)), F.lit(_SPAN)) < int(share * _SPAN)))
-    few = known.where(draw).dropDuplicates(["doc_id"])
+        up_to = int(min(1.0, 1.4 * per_class / n) * 2**64) - 2**63
+        draw = draw | ((F.col("label") == label) & (turn <= min(up_to, 2**63 - 1)))
+    few = known.where(draw).withColumn("turn", turn)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    rows = texts.join(F.broadcast(few), "doc_id").select("doc_id", "label", "text").limit(int(3 * per_class)).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    rows = texts.join(F.broadcast(few), "doc_id").orderBy("turn", "text").limit(int(3 * per_class)).select("doc_id", "label", "text").collect()
     out_t, out_l, seen, taken = [], [], set(), {0: 0, 1: 0}
     for r in rows:
         if r["doc_id"] not in seen and taken[r["label"]] < 1.5 * per_class:
