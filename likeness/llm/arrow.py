@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from likeness.runtime import ship
 
 #: Characters of text that one step of an operator holds at a time.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 
 
 def map_docs(
@@ -21,6 +22,7 @@ def map_docs(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_row: bool = False,
+    carry: tuple[str, ...] = (),
     chunk_chars: int = CHUNK_CHARS,
 ) -> DataFrame:
     """Apply a function on lists of texts to every document, in bounded chunks.
@@ -28,17 +30,20 @@ def map_docs(
     ``start()`` is called once per task and returns ``f(texts) -> {column: values}``.
     The result has the id and the columns of ``schema``; with ``keep_row`` also
     ``_row``, a struct of all the input's columns, so that no name can clash.
+    The columns named in ``carry`` are returned as they are.
     A null text counts as the empty text. Other columns are neither read nor
     returned. Rows repeat as often as they did in the input.
     """
     ship(docs.sparkSession)
     cols = [F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text")]
+    cols += [F.col(f"`{c}`") for c in carry]
     if keep_row:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     src = docs.select(*cols)
-    row_type = src.schema["_row"].dataType.simpleString() if keep_row else ""
-    out = f"`{id_col}` long, {schema}" + (f", _row {row_type}" if keep_row else "")
-    names = [f.split()[0] for f in schema.split(",")]
+    made = StructType.fromDDL(schema)
+    names = made.names
+    rest = [*carry, *["_row"] * keep_row]
+    out = StructType([StructField(id_col, src.schema["_id"].dataType), *made.fields, *(src.schema[c] for c in rest)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = start()
@@ -54,9 +59,7 @@ def map_docs(
                 part = b.slice(lo, hi - lo)
                 arrays = [part.column(0), *(got[n] for n in names)]
                 arrays = [a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a) for a in arrays]
-                if keep_row:
-                    arrays.append(part.column(2))
-                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, *names, *["_row"] * keep_row])
+                yield pa.RecordBatch.from_arrays([*arrays, *part.columns[2:]], names=[id_col, *names, *rest])
                 lo = hi
 
     return src.mapInArrow(run, out)

@@ -42,8 +42,10 @@ SKETCH = 256
 #: Equal minima of 256 that a pair must have to be compared in full, and of the first 32 to be counted:
 #: of linked pairs one in a million has fewer.
 LEAST_EQUAL, FIRST, LEAST_FIRST = 159, 32, 11
-#: Sets in a node that are compared exhaustively, and levels below the first.
-SMALL, DEPTH = 2048, 6
+#: Sets in a node that are compared exhaustively, shingles of all its sets (8 bytes each), and levels below the first.
+SMALL, LIGHT, DEPTH = 2048, 8_000_000, 6
+#: Parts that the rows of one key are dealt into where a key may hold a large share of them.
+SALTS = 64
 #: Ids of documents to broadcast, at most (16 bytes each).
 BROADCAST_IDS = 1_000_000
 _STEP = 1 << 20
@@ -163,12 +165,19 @@ def sketches(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
+def spread(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined on ``key`` with ``one``, which has a row for each key. A key may hold any share of the rows: they are dealt by a hash of ``by`` too, and the other side's row is copied to the parts that occur."""
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit("salt")), F.lit(SALTS)).cast("int"))
+    copies = rows.select(key, "_salt").distinct().join(one, key)
+    return rows.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) of set ids whose sketches and sizes leave a link possible."""
     own = reps.select("sid", "n", "sketch")
     left = own.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
     right = own.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    both = pairs.join(left, "a").join(right, "b").where((F.col("na") * 100 >= F.col("nb") * 75) & (F.col("nb") * 100 >= F.col("na") * 75)).select("a", "b", "ka", "kb")
+    both = spread(pairs.join(right, "b"), left, "a", "b").where((F.col("na") * 100 >= F.col("nb") * 75) & (F.col("nb") * 100 >= F.col("na") * 75)).select("a", "b", "ka", "kb")
 
     def keep(batches):
         for t in batches:
@@ -183,7 +192,8 @@ def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= 75 * union."""
     ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     held = text_of(ids, reps, texts)
-    rows = pairs.join(held.select(F.col("sid").alias("b"), F.col("_text").alias("tb")), "b").join(held.select(F.col("sid").alias("a"), F.col("_text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    right, left = held.select(F.col("sid").alias("b"), F.col("_text").alias("tb")), held.select(F.col("sid").alias("a"), F.col("_text").alias("ta"))
+    rows = spread(pairs.join(right, "b"), left, "a", "b").select("a", "b", "ta", "tb")
 
     def check(batches):
         last, own = None, None
@@ -220,9 +230,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         way = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = way.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = way.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        large = spread(way.where(F.col("b") > F.col("a")), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
+        small = spread(large, low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
         edges = cut(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if now == seen:
@@ -251,8 +261,10 @@ def _candidates(i: int, hi: int, comp, n, k, first) -> np.ndarray:
     return j
 
 
-def _tasks(rows: DataFrame, per_task: int) -> DataFrame:
-    return rows.withColumn("task", F.pmod(F.xxhash64("node"), F.lit(max(1, -(-rows.count() // per_task))))).groupBy("task")
+def _tasks(rows: DataFrame, per_task: int, shingles: int) -> DataFrame:
+    """The rows, grouped so that a group has whole nodes, of about ``per_task`` sets and ``shingles`` shingles."""
+    n, weight = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).collect()[0]
+    return rows.withColumn("task", F.pmod(F.xxhash64("node"), F.lit(max(1, -(-n // per_task), -(-weight // shingles))))).groupBy("task")
 
 
 def compare_nodes(rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -274,7 +286,7 @@ def compare_nodes(rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFra
                     hit[i] = hit[j] = True
         return pa.table({"node": pa.array(node[hit]), "sid": pa.array(sid[hit]), "comp": pa.array(comp[hit])})
 
-    live = cut(_tasks(rows, 20_000).applyInArrow(alike_rows, "node long, sid long, comp long"))
+    live = cut(_tasks(rows, 20_000, 1 << 62).applyInArrow(alike_rows, "node long, sid long, comp long"))
     held = text_of(live.select("sid").distinct(), reps, texts)
     full = live.join(reps.select("sid", "n", "sketch"), "sid").join(held, "sid")
 
@@ -293,73 +305,80 @@ def compare_nodes(rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFra
                         own[own == own[j]] = own[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return _tasks(full, 4_000).applyInArrow(links, "a long, b long")
+    return _tasks(full, 4_000, LIGHT).applyInArrow(links, "a long, b long")
 
 
 def text_of(ids: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """(sid, _text) of the set ids; the texts are not dealt anew where the ids are few enough to broadcast."""
-    wanted = cut(ids.join(reps.select("sid", "rep"), "sid"))
+    wanted = cut(ids.join(reps.select("sid", F.col("rep._id").alias("_id"), F.col("rep.text_hash").alias("text_hash")), "sid"))
     few = wanted.count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(wanted) if few else wanted, texts["_id"] == wanted["rep"]).select("sid", "_text")
+    return texts.join(F.broadcast(wanted) if few else wanted, ["_id", "text_hash"]).select("sid", "_text").dropDuplicates(["sid"])
 
 
 def several(rows: DataFrame, at_least: int) -> DataFrame:
-    """The rows (node, sid, comp, ...) of nodes that hold several components, with the size of their node as ``c``."""
-    nodes = rows.groupBy("node").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where((F.col("lo") < F.col("hi")) & (F.col("c") >= at_least)).select("node", "c")
-    return rows.join(nodes, "node")
+    """The rows (node, sid, comp, n) of nodes that hold several components, with the sets and the shingles of their node as ``c`` and ``weight``."""
+    nodes = rows.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("weight"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where((F.col("lo") < F.col("hi")) & (F.col("c") >= at_least)).select("node", "c", "weight")
+    return spread(rows, nodes, "node", "sid").select("node", "sid", "comp", "n", "c", "weight")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept of every row.
+    """id, n_shingles, component_id, kept, text_hash, stays of every row.
 
     A document without words (or with a null text) has an empty set and is
     linked with nothing. A row with a null id takes no part; its component is
     null and it is kept. component_id is the smallest id that links reach,
     kept whether it is the row's own; rows that repeat an id with one text
-    are all kept or all not. An empty table gives no rows. Other columns are dropped.
+    are all kept or all not. Rows that repeat an id with other texts are
+    documents of their own, each in the component of its text. ``stays`` is
+    true for the rows of one id and text of each component, those of the
+    smallest id and then the smallest text_hash (a hash of the text). An empty
+    table gives no rows. Other columns are dropped.
     """
     ship(docs.sparkSession)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).withColumn("text_hash", F.xxhash64(F.coalesce("_text", F.lit(""))))
 
     def start():
         return lambda t: signatures(shingle_sets(t))
 
-    signed = cut(map_docs(texts, start, "n long, sid long, keys array<long>, sketch binary", "_id", "_text"))
-    reps = cut(signed.where((F.col("n") > 0) & F.col("_id").isNotNull()).groupBy("sid").agg(F.min("_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")))
-    entry = reps.select("sid", F.posexplode(F.slice("keys", 1, TREES * BRANCH)).alias("pos", "key")).select("sid", F.xxhash64("pos", "key").alias("node"))
+    signed = cut(map_docs(texts, start, "n long, sid long, keys array<long>, sketch binary", "_id", "_text", carry=("text_hash",)))
+    own = F.struct("_id", "text_hash")
+    reps = cut(signed.where((F.col("n") > 0) & F.col("_id").isNotNull()).groupBy("sid").agg(F.min(own).alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")))
+    entry = reps.select("sid", "n", F.posexplode(F.slice("keys", 1, TREES * BRANCH)).alias("pos", "key")).select("sid", "n", F.xxhash64("pos", "key").alias("node"))
     nodes = entry.groupBy("node").agg(F.count("*").alias("c"), F.min("sid").alias("pivot")).where(F.col("c") > 1)
-    entry = cut(entry.join(nodes, "node"))
+    entry = cut(spread(entry, nodes, "node", "sid"))
     # one comparison for each set of a node, with the node's first set
     stars = entry.where(F.col("sid") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
     links = cut(confirmed(cut(alike(stars, reps)), reps, texts))
     comps = components(links)
     # nodes that still hold several components (of two sets, both have been compared)
-    rows = entry.where(F.col("c") > 2).select("node", "sid").join(comps, "sid", "left").select("node", "sid", F.coalesce("comp", "sid").alias("comp"))
-    rows = cut(several(rows, 3).select("node", "sid", "comp", "c"))
+    rows = entry.where(F.col("c") > 2).select("node", "sid", "n").join(comps, "sid", "left").select("node", "sid", F.coalesce("comp", "sid").alias("comp"), "n")
+    rows = cut(several(rows, 3))
     more = None
     for level in range(DEPTH + 1):
-        small = rows.where(F.col("c") <= SMALL)
-        pairs = cut(compare_nodes(small, reps, texts))
+        fits = (F.col("c") <= SMALL) & (F.col("weight") <= LIGHT)
+        pairs = cut(compare_nodes(rows.where(fits), reps, texts))
         more = pairs if more is None else more.unionByName(pairs)
-        hot = rows.where(F.col("c") > SMALL)
+        hot = rows.where(~fits)
         if hot.isEmpty():
             break
         if level == DEPTH:  # what no level could part: every two blocks of a node are a node of their own
-            blocks = F.ceil(F.col("c") / (SMALL // 2)).cast("int")
-            own = F.pmod(F.xxhash64("sid", F.lit("block")), blocks).cast("int")
-            split = hot.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            blocks = F.greatest(F.ceil(F.col("c") / (SMALL // 2)), F.ceil(F.col("weight") / (LIGHT // 2))).cast("int")
+            block = F.pmod(F.xxhash64("sid", F.lit("block")), blocks).cast("int")
+            split = hot.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             split = split.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
             more = more.unionByName(cut(compare_nodes(split, reps, texts)))
             break
         turn = F.explode(F.array(*[F.lit(i) for i in range(BRANCH)]))
         child = hot.join(reps.select("sid", "keys"), "sid").withColumn("turn", turn).withColumn("coord", F.pmod(F.xxhash64("node", "turn", F.lit(level)), F.lit(KEYS)).cast("int"))
-        child = child.select(F.xxhash64("node", "turn", "coord", F.element_at("keys", F.col("coord") + 1)).alias("node"), "sid", "comp")
-        rows = cut(several(child, 2).select("node", "sid", "comp", "c"))
+        child = child.select(F.xxhash64("node", "turn", "coord", F.element_at("keys", F.col("coord") + 1)).alias("node"), "sid", "comp", "n")
+        rows = cut(several(child, 2))
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     root = reps.select("sid", "rep").join(comps, "sid", "left").select("sid", "rep", F.coalesce("comp", "sid").alias("root"))
     least = root.groupBy("root").agg(F.min("rep").alias("least"))
-    of = root.join(least, "root").select("sid", "least")
-    out = signed.select("_id", "n", F.when((F.col("n") > 0) & F.col("_id").isNotNull(), F.col("sid")).alias("sid")).join(of, "sid", "left")
-    component = F.coalesce("least", "_id")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
+    of = spread(root, least, "root", "sid").select("sid", "least")
+    out = spread(signed.select("_id", "n", "text_hash", F.when((F.col("n") > 0) & F.col("_id").isNotNull(), F.col("sid")).alias("sid")).where(F.col("sid").isNotNull()), of, "sid", "_id")
+    alone = signed.where((F.col("n") == 0) | F.col("_id").isNull()).select("_id", "n", "text_hash", own.alias("least"))
+    out = out.select("_id", "n", "text_hash", "least").unionByName(alone)
+    component = F.col("least._id")
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"), "text_hash", (F.col("_id").isNull() | (own == F.col("least"))).alias("stays"))

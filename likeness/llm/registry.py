@@ -66,7 +66,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.classes(table(spark, sf_dir, "documents"))
+    return near_dup.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,8 @@ def test_classes_equal_brute_force(spark, monkeypatch, small):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, kept int")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.classes(df).collect()}
     assert got == plain_classes(rows)
+    monkeypatch.setattr(near_dup, "LIGHT", 300)  # nodes split by shingles too
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.classes(df).collect()} == got
 
 
 def test_classes_of_odd_rows(spark):
@@ -125,6 +127,19 @@ def test_classes_of_odd_rows(spark):
     assert near_dup.classes(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_by_row(spark):
+    import corpus_pipeline as P
+
+    other, third = "z y x w v u t s", "q r s t u v w x"
+    rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", "x"), (2, other, "x"), (3, other, "y"), (3, third, "y"), (4, third, "k"), (4, third, "k"), (4, third, "j"), (None, third, "n"), (None, None, "n"), (5, None, "o"), (5, None, "p"), (6, "", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `my col` string")
+    got = sorted(((r[0], r[1]) for r in P.one_of_each(spark, df, "").collect()), key=str)
+    assert got == sorted([(1, "a b c d e f"), (2, other), (3, third), (None, third), (None, None), (5, None), (6, "")], key=str)
+    same = spark.createDataFrame([(7, "a b c d e f", "x")] * 5 + [(8, "A b c d e f", "x")] * 2, "doc_id long, text string, stays string")
+    assert [tuple(r) for r in P.one_of_each(spark, same, "").collect()] == [(7, "a b c d e f", "x")]
+    assert P.one_of_each(spark, df.limit(0), "").count() == 0 and P.one_of_each(spark, df, "").columns == df.columns
+
+
 def test_long_text_has_the_same_shingles(monkeypatch):
     t = " ".join(f"w{i % 97}x{i % 31}" for i in range(3000))
     whole = near_dup.shingle_sets([t, "short text of six words here"])
