@@ -8,15 +8,18 @@ digit count, neighbours, cue words), is trained by gradient ascent on
 a small labelled table that is built from templates in this module, and is
 decoded by Viterbi over numpy batches.
 
-A piece that has neither a digit nor an at-sign nor a spelled-out form of one
-can only be outside: the labels there are fixed, so the chain falls apart into short
-stretches around the other pieces, and only these are decoded. That is exact.
+Part of the model is a constraint: a piece is inside a span only if it is live
+(has a digit, an at-sign or a spelled-out form of one) or next to a live piece.
+Elsewhere the label is outside, so the chain falls apart into short stretches
+around the live pieces, and only these are decoded, with the features of the
+pieces around them. The result is that of decoding the whole text.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -96,7 +99,7 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 def _shape(w: str) -> str:
     """Digits as 9, letters as a or A, runs shortened; other characters as they are."""
     out, last, n = [], "", 0
-    for c in w[:64]:
+    for c in w:
         k = "9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "a" if c.isalpha() else c
         n = n + 1 if k == last else 1
         if n <= 2:
@@ -132,7 +135,9 @@ def features(words: list[str]) -> list[list[str]]:
     out = []
     for i in range(len(words)):
         f = list(own[i])
-        for d in (-2, -1, 1, 2):
+        for d in range(-2, 3):
+            if not d:
+                continue
             if 0 <= i + d < len(words):
                 f += [f"{d}:{x}" for x in own[i + d] if x.startswith(("at-", "dot-", "cue=", "has-", "all-", "digits-and", "digits=", "plain"))]
             else:
@@ -314,83 +319,102 @@ def viterbi(stretches: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-#: A piece is live if it has a digit, an at-sign or a bracketed at or dot. Bare
-#: words for at and dot are live only within 64 characters of a bare dot word.
-_HARD = re.compile(r"[0-9@]|[(\[{](?:at|dot)[)\]}]", re.I)
-_BARE_DOT = re.compile(r"(?<!\S)(?:dot|punto)(?!\S)", re.I)
-_BARE = re.compile(r"(?<!\S)(?:at|dot|arroba|punto)(?!\S)", re.I)
+#: A piece is live if it has a digit, an at-sign or a bracketed at or dot, or is a bare word for one of them.
+_LIVE = re.compile(r"[0-9@]|[(\[{](?:at|dot)[)\]}]|(?<!\S)(?:at|dot|arroba|punto)(?!\S)", re.I)
 _TRIM = ".,;:!?\"'<>"
+#: Pieces next to a live one whose labels are free, and pieces beyond them that features can see.
+FREE, SEEN = 1, 2
 
 
-def live_pieces(t: str) -> list[tuple[int, int]]:
-    """Spans of the live pieces, in order."""
-    out: list[tuple[int, int]] = []
-    end = 0
-    for m in _HARD.finditer(t):
-        if m.start() >= end:
+def stretches(t: str) -> list[list[tuple[int, int]]]:
+    """Spans of pieces in runs that hold every live piece of the text, FREE + SEEN pieces before and after it. No two runs share a piece."""
+    out: list[list[tuple[int, int]]] = []
+    last = 0  # end of the last piece that is in a run
+    for m in _LIVE.finditer(t):
+        if m.start() >= last:
             s = m.start()
-            while s > end and not t[s - 1].isspace():
+            while s > last and not t[s - 1].isspace():
                 s -= 1
-            end = _PIECE.match(t, m.start()).end()
-            out.append((s, end))
-    at = [m.start() for m in _BARE_DOT.finditer(t)]
-    for k in at:
-        out += [m.span() for m in _BARE.finditer(t, max(0, k - 64), k + 70)]
-    return sorted(set(out)) if at else out
+            before, at = [], s
+            while len(before) < FREE + SEEN and (found := piece_before(t, at, last)):
+                before.append(found)
+                at = found[0]
+            run = [*before[::-1], (s, _PIECE.match(t, m.start()).end())]
+            if out and not t[last : run[0][0]].strip():
+                out[-1] += run
+            else:
+                out.append(run)
+        else:  # within the pieces that follow an earlier live one
+            while out[-1][-1][0] > m.start():
+                out[-1].pop()
+        for _ in range(FREE + SEEN):
+            found = _PIECE.search(t, out[-1][-1][1])
+            if not found:
+                break
+            out[-1].append(found.span())
+        last = out[-1][-1][1]
+    return out
+
+
+def piece_before(t: str, at: int, least: int) -> tuple[int, int] | None:
+    """The last piece that ends before ``at`` and does not begin before ``least``."""
+    e = at
+    while e > least and t[e - 1].isspace():
+        e -= 1
+    s = e
+    while s > least and not t[s - 1].isspace():
+        s -= 1
+    return (s, e) if s < e else None
+
+
+def free_pieces(words: list[str]) -> np.ndarray:
+    """Which pieces may be inside a span."""
+    live = np.array([bool(_LIVE.search(w)) for w in words], bool)
+    out = live.copy()
+    out[1:] |= live[:-1]
+    out[:-1] |= live[1:]
+    return out
+
+
+def label_scores(words: list[str], field: Field) -> np.ndarray:
+    """(piece, label): minus infinity for inside labels of pieces that are not free."""
+    e = field.scores(features(words))
+    e[~free_pieces(words), 1:] = -np.inf
+    return e
 
 
 def field_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) that the random field finds in each text."""
-    stretch_words: list[list[tuple[int, int]]] = []
-    owner: list[int] = []
+    runs, owner = [], []
     for d, t in enumerate(texts):
-        hits = live_pieces(t)
-        if not hits:
-            continue
-        groups: list[list[int]] = []
-        for s, e in hits:
-            if groups and s - groups[-1][1] <= 48:
-                groups[-1][1] = e
-            else:
-                groups.append([s, e])
-        for s, e in groups:
-            words = _around(t, s, e)
-            stretch_words.append(words)
+        for run in stretches(t):
+            runs.append(run)
             owner.append(d)
-    feats = [features([texts[d][s:e] for s, e in words]) for d, words in zip(owner, stretch_words)]
-    flat = field.scores([f for x in feats for f in x])
-    cuts = np.cumsum([len(x) for x in feats])[:-1]
+    scores = [label_scores([texts[d][s:e] for s, e in run], field) for d, run in zip(owner, runs)]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for d, words, labels in zip(owner, stretch_words, viterbi(np.split(flat, cuts) if len(feats) else [], field.move)):
-        i = 0
-        while i < len(words):
-            y = LABELS[labels[i]]
-            if y[0] == "B":
-                j = i + 1
-                while j < len(words) and LABELS[labels[j]] == "I-" + y[2:]:
-                    j += 1
-                s, e = words[i][0], words[j - 1][1]
-                while s < e and texts[d][s] in _TRIM:
-                    s += 1
-                while e > s and texts[d][e - 1] in _TRIM:
-                    e -= 1
-                if e > s and plausible(y[2:], texts[d][s:e]):
-                    out[d].append((KINDS.index(y[2:]), s, e))
-                i = j
-            else:
-                i += 1
+    for d, run, labels in zip(owner, runs, viterbi(scores, field.move)):
+        out[d] += spans_of(texts[d], run, labels)
     return out
 
 
-def _around(t: str, s: int, e: int) -> list[tuple[int, int]]:
-    """Spans of the pieces from four before to four after; pieces of over 80 characters end the stretch."""
-    lo, hi = max(0, s - 160), min(len(t), e + 160)
-    before = [(lo + m.start(), lo + m.end()) for m in _PIECE.finditer(t[lo:s])][-4:]
-    own = [(s + m.start(), s + m.end()) for m in _PIECE.finditer(t[s:e])]
-    after = [(e + m.start(), e + m.end()) for m in _PIECE.finditer(t[e:hi])][:4]
-    if before and before[0][0] == lo and lo > 0 and not t[lo - 1].isspace():
-        before = before[1:]
-    return [*before, *own, *after]
+def spans_of(text: str, run: list[tuple[int, int]], labels: np.ndarray) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the labelled spans that can be what they are called."""
+    out, i = [], 0
+    while i < len(run):
+        y = LABELS[labels[i]]
+        j = i + 1
+        if y[0] == "B":
+            while j < len(run) and LABELS[labels[j]] == "I-" + y[2:]:
+                j += 1
+            s, e = run[i][0], run[j - 1][1]
+            while s < e and text[s] in _TRIM:
+                s += 1
+            while e > s and text[e - 1] in _TRIM:
+                e -= 1
+            if e > s and plausible(y[2:], text[s:e]):
+                out.append((KINDS.index(y[2:]), s, e))
+        i = j
+    return out
 
 
 def plausible(kind: str, found: str) -> bool:
@@ -409,10 +433,17 @@ def plausible(kind: str, found: str) -> bool:
 
 def merged(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """All base spans, and those of ``more`` that overlap none of them; by kind, then start."""
-    taken = sorted((s, e) for _, s, e in base)
+    taken: list[list[int]] = []  # union of the base spans, in order
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    starts = [a for a, _ in taken]
     out = list(base)
     for k, s, e in more:
-        if not any(a < e and s < b for a, b in taken):
+        i = bisect_left(starts, e)  # the last base span that begins before e
+        if i == 0 or taken[i - 1][1] <= s:
             out.append((k, s, e))
     return sorted(out)
 

@@ -4,6 +4,7 @@ import base64
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -16,6 +17,57 @@ def noise(n, alphabet, seed=0, size=80):
     return ["".join(r.choice(alphabet) for _ in range(r.randint(0, size))) for _ in range(n)]
 
 
+def whole_text_spans(t, field):
+    """The field's spans from one chain over all pieces of the text, without numpy batches or stretches."""
+    run = [m.span() for m in re.finditer(r"\S+", t)]
+    if not run:
+        return []
+    e = pii.label_scores([t[a:b] for a, b in run], field)
+    best, back = e[0] + np.where([x[0] == "I" for x in pii.LABELS], -np.inf, 0.0), []
+    for row in e[1:]:
+        both = best[:, None] + field.move
+        back.append(both.argmax(0))
+        best = both.max(0) + row
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return pii.spans_of(t, run, np.array(path[::-1]))
+
+
+def test_stretches_give_what_the_whole_text_gives():
+    field = pii.trained()
+    r = random.Random(9)
+    bits = ["call", "mail", "ip", "jo", "x" * 300, "555-123-4567", "anna", "at", "AT", "dot", "punto", "arroba", "example", "com", "(at)", "a[at]b[dot]com", "10", "12", "host", "1.2", "v2", "\n", "é9", "word", "some", "plain", "text", "4111.1111.1111.1111"]
+    texts = [" ".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(400)]
+    got = pii.field_spans(texts, field)
+    for t, spans in zip(texts, got):
+        assert spans == whole_text_spans(t, field), t
+        assert len(set(spans)) == len(spans)
+    t = "call 555-123-4567 " + "w" * 52 + " 555-987-6543 now"
+    assert pii.field_spans([t], field) == [[(3, 5, 17), (3, 71, 83)]]
+
+
+def test_merging_many_spans_is_a_sweep():
+    base = [(0, 10 * i, 10 * i + 4) for i in range(40_000)]
+    more = [(3, 10 * i + 3, 10 * i + 6) for i in range(40_000)] + [(3, 10 * i + 5, 10 * i + 9) for i in range(40_000)]
+    began = time.time()
+    assert pii.merged(base, more) == sorted(base + more[40_000:]) and time.time() - began < 2
+
+
+def test_planted_personal_data_is_caught():
+    """Forms that the base patterns miss, in sentences of words that the labelled table does not have."""
+    field, r = pii.trained(), random.Random(77)
+    word = lambda: "".join(r.choice("ckpqwxyzj") for _ in range(r.randint(3, 9)))
+    num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    forms = {"email": lambda: f"{word()} at {word()} dot com", "joined email": lambda: f"{word()}[at]{word()}[dot]org", "phone": lambda: f"{num(3)}-{num(3)}-{num(4)}", "ip": lambda: "[.]".join(str(r.randint(0, 255)) for _ in range(4))}
+    cue = {"email": "mail", "joined email": "contact", "phone": "call", "ip": "host"}
+    for name, make in forms.items():
+        texts = [" ".join([word() for _ in range(6)] + [cue[name], make()] + [word() for _ in range(6)]) for _ in range(100)]
+        assert np.mean([bool(x) for x in pii.field_spans(texts, field)]) >= 0.9, name
+    clean = [" ".join([word() for _ in range(6)] + [r.choice([num(4), "v" + num(1) + "." + num(2), "20" + num(2) + "-" + num(2) + "-" + num(2), "at " + word(), num(12)])] + [word() for _ in range(6)]) for _ in range(300)]
+    assert np.mean([bool(x) for x in pii.field_spans(clean, field)]) <= 0.02
+
+
 def plain_pii(t):
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
