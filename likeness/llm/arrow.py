@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +17,13 @@ from likeness.runtime import ship
 CHUNK_CHARS = 4_000_000
 
 
+def give_back() -> None:
+    """Hand memory that a task has freed back to the system: the Python workers live on, for the next operator's tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_docs(
     docs: DataFrame,
     start: Callable[[], Callable[[list], dict]],
@@ -60,7 +69,10 @@ def map_docs(
                 arrays = [part.column(0), *(got[n] for n in names)]
                 arrays = [a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a) for a in arrays]
                 yield pa.RecordBatch.from_arrays([*arrays, *part.columns[2:]], names=[id_col, *names, *rest])
+                del got, part, arrays
                 lo = hi
+            del b, texts
+            give_back()
 
     return src.mapInArrow(run, out)
 

@@ -43,9 +43,9 @@ SKETCH = 256
 #: of linked pairs one in a million has fewer.
 LEAST_EQUAL, FIRST, LEAST_FIRST = 159, 32, 11
 #: Sets in a node that are compared exhaustively, shingles of all its sets (8 bytes each), and levels below the first.
-SMALL, LIGHT, DEPTH = 2048, 8_000_000, 6
-#: Parts that the rows of one key are dealt into where a key may hold a large share of them.
-SALTS = 64
+SMALL, LIGHT, DEPTH = 2048, 4_000_000, 6
+#: Rows of one key that one task may get; sets of a node that are compared with its first one by one task, and the parts that larger ones are dealt into.
+HOT, CROWD, SALTS = 1_000_000, 512, 64
 #: Ids of documents to broadcast, at most (16 bytes each).
 BROADCAST_IDS = 1_000_000
 _STEP = 1 << 20
@@ -165,35 +165,51 @@ def sketches(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
-def spread(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
-    """``rows`` joined on ``key`` with ``one``, which has a row for each key. A key may hold any share of the rows: they are dealt by a hash of ``by`` too, and the other side's row is copied to the parts that occur."""
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit("salt")), F.lit(SALTS)).cast("int"))
-    copies = rows.select(key, "_salt").distinct().join(one, key)
-    return rows.join(copies, [key, "_salt"]).drop("_salt")
+def joined(rows: DataFrame, one: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """``rows``, of which there are at most ``most``, joined on ``key`` with ``one``, which has a row for each key and how many rows hold it as ``size``.
+
+    The rows of a key that more than HOT hold stay where they are, and the
+    other side's row is broadcast, so that no key lands in one task. There is
+    at most one such key for every HOT rows; up to HOT rows in all there is none.
+    """
+    if most <= HOT:
+        return rows.join(one, key)
+    one = cut(one)
+    hot = one.where(F.col(size) > HOT).select(key)
+    n = hot.count()
+    if not n or n > BROADCAST_IDS:
+        return rows.join(one, key)
+    hot = F.broadcast(hot)
+    return rows.join(F.broadcast(one.join(hot, key, "left_semi")), key).unionByName(rows.join(hot, key, "left_anti").join(one, key))
+
+
+def with_first(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """The pairs (a, b, salt) with the row (a, ...) of their first set, of which each salt gets a copy: a crowd's pairs have several."""
+    return pairs.join(pairs.select("a", "salt").distinct().join(one, "a"), ["a", "salt"])
 
 
 def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids whose sketches and sizes leave a link possible."""
+    """The pairs (a, b, salt) of set ids whose sketches and sizes leave a link possible."""
     own = reps.select("sid", "n", "sketch")
     left = own.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
     right = own.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    both = spread(pairs.join(right, "b"), left, "a", "b").where((F.col("na") * 100 >= F.col("nb") * 75) & (F.col("nb") * 100 >= F.col("na") * 75)).select("a", "b", "ka", "kb")
+    both = with_first(pairs, left).join(right, "b").where((F.col("na") * 100 >= F.col("nb") * 75) & (F.col("nb") * 100 >= F.col("na") * 75)).select("a", "b", "salt", "ka", "kb")
 
     def keep(batches):
         for t in batches:
             if t.num_rows:
-                ok = (sketches(t.column(2)) == sketches(t.column(3))).sum(1) >= LEAST_EQUAL
-                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok))
+                ok = (sketches(t.column(3)) == sketches(t.column(4))).sum(1) >= LEAST_EQUAL
+                yield pa.RecordBatch.from_arrays(t.columns[:3], names=["a", "b", "salt"]).filter(pa.array(ok))
 
-    return both.mapInArrow(keep, "a long, b long")
+    return both.mapInArrow(keep, "a long, b long, salt int")
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= 75 * union."""
+    """The pairs (a, b) of pairs (a, b, salt) whose full sets have 100 * intersection >= 75 * union."""
     ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     held = text_of(ids, reps, texts)
     right, left = held.select(F.col("sid").alias("b"), F.col("_text").alias("tb")), held.select(F.col("sid").alias("a"), F.col("_text").alias("ta"))
-    rows = spread(pairs.join(right, "b"), left, "a", "b").select("a", "b", "ta", "tb")
+    rows = with_first(pairs, left).join(right, "b").select("a", "b", "ta", "tb")
 
     def check(batches):
         last, own = None, None
@@ -226,18 +242,19 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(sid, comp) of all ends of the edges (a, b): comp is the least id that can be reached. Alternates large and small stars."""
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
-    seen = None
+    seen, most = None, 2 * edges.count()
     while True:
         way = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = way.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = spread(way.where(F.col("b") > F.col("a")), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = spread(large, low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
+        least = way.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")).select("a", F.least("a", "m").alias("m"), "c")
+        large = joined(way.where(F.col("b") > F.col("a")), least, "a", "c", most).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        large = cut(large) if most > HOT else large
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        small = joined(large, low, "a", "c", most).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
         edges = cut(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if now == seen:
             break
-        seen = now
+        seen, most = now, 2 * now[0]
     return edges.select(F.col("a").alias("sid"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("sid"), F.col("b").alias("comp")).distinct())
 
 
@@ -315,10 +332,10 @@ def text_of(ids: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(wanted) if few else wanted, ["_id", "text_hash"]).select("sid", "_text").dropDuplicates(["sid"])
 
 
-def several(rows: DataFrame, at_least: int) -> DataFrame:
+def several(rows: DataFrame, at_least: int, most: int) -> DataFrame:
     """The rows (node, sid, comp, n) of nodes that hold several components, with the sets and the shingles of their node as ``c`` and ``weight``."""
     nodes = rows.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("weight"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where((F.col("lo") < F.col("hi")) & (F.col("c") >= at_least)).select("node", "c", "weight")
-    return spread(rows, nodes, "node", "sid").select("node", "sid", "comp", "n", "c", "weight")
+    return joined(rows, nodes, "node", "c", most).select("node", "sid", "comp", "n", "c", "weight")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,17 +359,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     signed = cut(map_docs(texts, start, "n long, sid long, keys array<long>, sketch binary", "_id", "_text", carry=("text_hash",)))
     own = F.struct("_id", "text_hash")
-    reps = cut(signed.where((F.col("n") > 0) & F.col("_id").isNotNull()).groupBy("sid").agg(F.min(own).alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")))
+    reps = cut(signed.where((F.col("n") > 0) & F.col("_id").isNotNull()).groupBy("sid").agg(F.min(own).alias("rep"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")))
     entry = reps.select("sid", "n", F.posexplode(F.slice("keys", 1, TREES * BRANCH)).alias("pos", "key")).select("sid", "n", F.xxhash64("pos", "key").alias("node"))
     nodes = entry.groupBy("node").agg(F.count("*").alias("c"), F.min("sid").alias("pivot")).where(F.col("c") > 1)
-    entry = cut(spread(entry, nodes, "node", "sid"))
+    sets = reps.count()
+    entry = cut(joined(entry, nodes, "node", "c", TREES * BRANCH * sets))
     # one comparison for each set of a node, with the node's first set
-    stars = entry.where(F.col("sid") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
+    salt = F.when(F.col("c") > CROWD, F.pmod(F.xxhash64("sid", F.lit("salt")), F.lit(SALTS))).otherwise(0).cast("int")
+    stars = entry.where(F.col("sid") != F.col("pivot")).groupBy(F.col("pivot").alias("a"), F.col("sid").alias("b")).agg(F.max(salt).alias("salt"))
     links = cut(confirmed(cut(alike(stars, reps)), reps, texts))
     comps = components(links)
     # nodes that still hold several components (of two sets, both have been compared)
     rows = entry.where(F.col("c") > 2).select("node", "sid", "n").join(comps, "sid", "left").select("node", "sid", F.coalesce("comp", "sid").alias("comp"), "n")
-    rows = cut(several(rows, 3))
+    rows = cut(several(rows, 3, TREES * BRANCH * sets))
     more = None
     for level in range(DEPTH + 1):
         fits = (F.col("c") <= SMALL) & (F.col("weight") <= LIGHT)
@@ -371,13 +390,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         turn = F.explode(F.array(*[F.lit(i) for i in range(BRANCH)]))
         child = hot.join(reps.select("sid", "keys"), "sid").withColumn("turn", turn).withColumn("coord", F.pmod(F.xxhash64("node", "turn", F.lit(level)), F.lit(KEYS)).cast("int"))
         child = child.select(F.xxhash64("node", "turn", "coord", F.element_at("keys", F.col("coord") + 1)).alias("node"), "sid", "comp", "n")
-        rows = cut(several(child, 2))
+        rows = cut(several(child, 2, BRANCH * hot.count()))
     if not more.isEmpty():
         comps = components(links.unionByName(more))
-    root = reps.select("sid", "rep").join(comps, "sid", "left").select("sid", "rep", F.coalesce("comp", "sid").alias("root"))
-    least = root.groupBy("root").agg(F.min("rep").alias("least"))
-    of = spread(root, least, "root", "sid").select("sid", "least")
-    out = spread(signed.select("_id", "n", "text_hash", F.when((F.col("n") > 0) & F.col("_id").isNotNull(), F.col("sid")).alias("sid")).where(F.col("sid").isNotNull()), of, "sid", "_id")
+    # the least row of each component; most sets are alone
+    members = reps.select("sid", "rep").join(comps, "sid")
+    least = members.groupBy("comp").agg(F.min("rep").alias("least"), F.count("*").alias("c"))
+    found = joined(members, least, "comp", "c", sets).select("sid", "least")
+    of = reps.select("sid", "rep", "copies").join(found, "sid", "left").select("sid", F.coalesce("least", "rep").alias("least"), "copies")
+    linked_rows = signed.where((F.col("n") > 0) & F.col("_id").isNotNull()).select("_id", "n", "text_hash", "sid")
+    out = joined(linked_rows, of, "sid", "copies", signed.count())
     alone = signed.where((F.col("n") == 0) | F.col("_id").isNull()).select("_id", "n", "text_hash", own.alias("least"))
     out = out.select("_id", "n", "text_hash", "least").unionByName(alone)
     component = F.col("least._id")

@@ -292,13 +292,15 @@ def choose_landmarks(texts: list[str], label: np.ndarray, count: int, least: flo
     """Units, and beginnings of four letters or more, that part the labels best; of alike ones the better.
 
     By the gain of knowing whether a text has a unit that is, or begins so. A
-    gain over all texts of label 1 below ``least`` is taken for chance. Of
+    gain over all texts of label 1 below ``least``, and below a fortieth of
+    their number, is taken for chance. Of
     texts in which it stands between the same two units only one counts, so
     copies are no evidence. Counted by chunks of texts, first in those of label
     1, then, of what enough of them hold, in all. Where that leaves nothing, as
     with a few texts, every text counts and any gain.
     """
     n1, n0 = int(label.sum()), int((1 - label).sum())
+    least = max(least, n1 / 40)
 
     def gain_of(with1, with0):
         a, b = (with1 + 0.5) / (n1 + 1), (with0 + 0.5) / (n0 + 1)

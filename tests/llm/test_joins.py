@@ -109,15 +109,14 @@ def corpus(seed, n=120):
     return rows + [(2000, None), (2001, ""), (2002, " \n "), (2003, "one"), (2004, "ONE"), (2005, "one two")]
 
 
-@pytest.mark.parametrize("small", [2048, 8])
-def test_classes_equal_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(near_dup, "SMALL", small)
+@pytest.mark.parametrize(("small", "light", "hot"), [(2048, 4_000_000, 1_000_000), (8, 300, 12)])
+def test_classes_equal_brute_force(spark, monkeypatch, small, light, hot):
+    for name, value in (("SMALL", small), ("LIGHT", light), ("HOT", hot), ("CROWD", hot), ("DEPTH", 1 if small == 8 else 6)):  # nodes split by sets and by shingles, keys held hot
+        monkeypatch.setattr(near_dup, name, value)
     rows = corpus(3)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, kept int")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.classes(df).collect()}
     assert got == plain_classes(rows)
-    monkeypatch.setattr(near_dup, "LIGHT", 300)  # nodes split by shingles too
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.classes(df).collect()} == got
 
 
 def test_classes_of_odd_rows(spark):
