@@ -9,12 +9,17 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes of an Arrow batch, at most: whole texts travel in them.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per context.
 
     Functions handed to Arrow operators are pickled by reference, so workers
     must be able to import them. A zip of the package travels through
     ``addPyFile``; no folder has to be shared between driver and executors.
+    The session's Arrow batches are bounded (``BATCH``), if they are larger.
     """
     sc = spark.sparkContext
     if getattr(sc, "_likeness_shipped", False):
@@ -28,6 +33,10 @@ def ship(spark: SparkSession) -> None:
                     p = os.path.join(d, n)
                     z.write(p, os.path.relpath(p, os.path.dirname(root)))
     sc.addPyFile(to)
+    for name, most in BATCH.items():
+        now = spark.conf.get(name, None)
+        if now is None or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
     sc._likeness_shipped = True
 
 
