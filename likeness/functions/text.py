@@ -98,3 +98,20 @@ def merged_map(base: Column, more: Column) -> Column:
     """Entries of both; of equal keys the later value."""
     keys = F.array_distinct(F.concat(F.map_keys(base), F.map_keys(more)))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(F.element_at(more, k), F.element_at(base, k))))
+
+
+def upload_error(content_type: Column, size: Column) -> Column:
+    """Why an uploaded file is not taken, or null: it must be there, be an image, and have at most 10 MB."""
+    return F.when(size.isNull() | (size == 0), "Image file is required").when(content_type.isNull() | ~content_type.startswith("image/"), "File must be an image").when(size > 10 * 1024 * 1024, "Image file is too large (max 10MB)")
+
+
+def stamp(t: Column) -> Column:
+    return F.date_format(t, "yyyy-MM-dd HH:mm:ss")
+
+
+def percent(share: Column) -> Column:
+    return F.format_string("%.2f%%", share * 100.0)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", x)

@@ -70,3 +70,13 @@ def identity_view(identities: DataFrame, samples: DataFrame) -> DataFrame:
     """Identity rows with their sample count, average quality and nested samples."""
     own = samples.groupBy("identity_id").agg(F.count("*").alias("sample_count"), F.avg("quality").alias("average_quality"), F.array_sort(F.collect_list(F.struct("sample_id", "quality", "source", F.size("features").alias("dimension")))).alias("samples"))
     return identities.join(own, identities["id"] == own["identity_id"], "left").drop("identity_id").withColumns({"sample_count": F.coalesce("sample_count", F.lit(0)), "average_quality": F.coalesce("average_quality", F.lit(0.0))})
+
+
+def meets_quality(quality: Column, threshold: float) -> Column:
+    """A sample without a quality meets no threshold."""
+    return F.coalesce(quality >= F.lit(threshold), F.lit(False))
+
+
+def identity_of(samples: DataFrame, identities: DataFrame, key: str = "identity") -> DataFrame:
+    """Samples with the columns of their identity; those of unknown identities go."""
+    return samples.join(identities, key)

@@ -59,12 +59,16 @@ def scan(img: np.ndarray, c: Cascade, least_side: int = 30, grow: float = 1.1, l
     g = luma(img)
     ih, iw = g.shape
     ii, sq = integral(g), integral(g.astype(np.int64) ** 2)
-    out, scale = [], max(least_side / c.width, 1.0)
-    while True:
-        w, h = round(c.width * scale), round(c.height * scale)
-        if w > iw or h > ih or (largest_side and max(w, h) > largest_side):
+    out, scale = [], least_side / c.width
+    nearest = lambda v: int(np.floor(v + 0.5))  # noqa: E731  halves go up
+    while scale <= min(iw / c.width, ih / c.height):
+        w, h = nearest(c.width * scale), nearest(c.height * scale)
+        if largest_side and max(w, h) > largest_side:
             break
-        step = max(1, round(2 * scale))
+        if min(w, h) < least_side or w > iw or h > ih:
+            scale *= grow
+            continue
+        step = max(1, nearest(2 * scale))
         y, x = (a.ravel() for a in np.mgrid[0 : ih - h + 1 : step, 0 : iw - w + 1 : step])
         n = w * h
         mean = box_sum(ii, x, y, w, h) / n

@@ -214,13 +214,11 @@ def skin_mask(rgb: np.ndarray, low: tuple = (0.0, 0.1, 0.2), high: tuple = (0.14
     """Skin by hue, saturation and value and by chroma; dark or pale images widen the ranges."""
     h, s, v = hsv(rgb)
     lo, hi = list(low), list(high)
-    if adaptive:
+    if adaptive:  # both ends of a range move by its margin
         step = max(h.size // min(10_000, h.size), 1)
-        if v.ravel()[::step].mean() < 0.4:
-            lo[2] = max(0.0, lo[2] - 0.1)
-        if s.ravel()[::step].mean() < 0.3:
-            lo[1] = max(0.0, lo[1] - 0.1)
-        hi[0] += 0.02
+        margins = (0.02, 0.1 if s.ravel()[::step].mean() < 0.3 else 0.0, 0.1 if v.ravel()[::step].mean() < 0.4 else 0.0)
+        lo = [max(0.0, x - m) for x, m in zip(lo, margins)]
+        hi = [min(1.0, x + m) for x, m in zip(hi, margins)]
     x = rgb.astype(float)
     cb = (128 - 0.169 * x[..., 0] - 0.331 * x[..., 1] + 0.5 * x[..., 2]).astype(int)
     cr = (128 + 0.5 * x[..., 0] - 0.419 * x[..., 1] - 0.081 * x[..., 2]).astype(int)
@@ -228,13 +226,13 @@ def skin_mask(rgb: np.ndarray, low: tuple = (0.0, 0.1, 0.2), high: tuple = (0.14
     return by_hue & (cb >= 77) & (cb <= 127) & (cr >= 133) & (cr <= 173)
 
 
-def skin_regions(rgb: np.ndarray, least_side: int = 30, largest_side: int = 1000, min_confidence: float = 0.3) -> list[dict]:
+def skin_regions(rgb: np.ndarray, least_side: int = 30, largest_side: int | None = None, min_confidence: float = 0.3) -> list[dict]:
     """Boxes of skin, most confident first: mask, opening and closing, parts, filters, greedy merge."""
     mask = dilate(erode(skin_mask(rgb), 3), 5)
     found = []
     for c in components(mask):
         fill, aspect = c["count"] / (c["w"] * c["h"]), c["w"] / c["h"]
-        if min(c["w"], c["h"]) >= least_side and max(c["w"], c["h"]) <= largest_side and 0.5 <= aspect <= 2 and fill >= 0.3:
+        if min(c["w"], c["h"]) >= least_side and (largest_side is None or max(c["w"], c["h"]) <= largest_side) and 0.5 <= aspect <= 2 and fill >= 0.3:
             conf = region_confidence(c["w"], c["h"], fill, least_side)
             if conf >= min_confidence:
                 found.append({"x": c["x"], "y": c["y"], "w": c["w"], "h": c["h"], "confidence": conf})

@@ -138,4 +138,26 @@ def predictions(distances: DataFrame, truth: DataFrame, threshold: float, metric
     return truth.select("probe_id", "actual", *extra).join(got, ["probe_id", *extra]).select("probe_id", *extra, "actual", F.coalesce("identity", F.lit("UNKNOWN")).alias("predicted"), "confidence", "distance")
 
 
+def status_flags(status: Column) -> dict[str, Column]:
+    """What a result's status says: recognised, a face was found at all, an error."""
+    return {"recognized": status == "RECOGNIZED", "detected": status.isin("RECOGNIZED", "UNKNOWN"), "failed": status == "ERROR"}
+
+
+def known_distance(d: Column) -> Column:
+    """The distance, or the largest double where there was nothing to compare with."""
+    return F.coalesce(d, F.lit(1.7976931348623157e308))
+
+
+def leave_one_out(samples: DataFrame, key: str, label: str, vector: str, metric: str) -> DataFrame:
+    """(key, actual, predicted): each sample by the nearest identity of all the others.
+
+    Every sample is a fold of its own, so blocks meet shards as in any
+    cross-validation and only an identity's least distance leaves a task. Keys must fit 32 bits.
+    """
+    own = samples.select(F.col(key).alias("probe_id"), F.col(label).alias("actual"), F.col(vector).alias("v"), F.col(key).cast("int").alias("fold"))
+    found = nearest_by_identity(own.select("probe_id", "v", "fold"), own.select(F.col("actual").alias("identity"), "v", "fold"), metric, "fold")
+    best = found.groupBy("probe_id").agg(F.min_by("identity", F.struct("distance", "identity")).alias("predicted"))
+    return own.select("probe_id", "actual").join(best, "probe_id").select(F.col("probe_id").alias(key), "actual", "predicted")
+
+
 __all__ = ["SCALES", "accepted", "block_distances", "centroids", "classify", "nearest_by_identity", "predictions", "top_alternatives", "top_matches"]

@@ -177,9 +177,24 @@ def paired_t_test(a: DataFrame, b: DataFrame, key: str = "fold", metric: str = "
 def timing_stats(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """n, min, max, mean, median, population deviation; p95 and p99 are the sorted values at floor(p * (n - 1)).
 
-    Ranks come from a window within the group's value order, not from a collected list.
+    A group may hold all rows, so it is never sorted as a whole: counts of 4096
+    equal intervals between its least and largest value tell in which of them
+    a rank lies, and only the different values of those are put in order.
     """
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("_r") == F.floor(F.lit(p) * (F.col("_n") - 1)), F.col(value)))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    own = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.to_json(F.struct(F.lit(1).alias("_"), *by)).alias("_g"))
+    stats = own.groupBy("_g").agg(*[F.first(k).alias(k) for k in by], F.count("*").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"))
+    last = F.col("n") - 1
+    ranks = {"lo": F.floor(last / 2), "hi": F.ceil(last / 2), "p95": F.floor(F.lit(0.95) * last), "p99": F.floor(F.lit(0.99) * last)}
+    stats = stats.select("*", *[r.alias(f"_{k}") for k, r in ranks.items()])
+    width = F.col("max") - F.col("min")
+    part = F.when(width > 0, F.floor((F.col("_v") - F.col("min")) / width * 4095)).otherwise(0).alias("_p")
+    placed = own.select("_g", "_v").join(stats.select("_g", "min", "max"), "_g").select("_g", "_v", part)
+    before = lambda *keys: Window.partitionBy("_g", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_g", "_p").agg(F.count("*").alias("_c")).withColumn("_o", F.coalesce(F.sum("_c").over(before("_p")), F.lit(0)))
+    holds = lambda k: (F.col(f"_{k}") >= F.col("_o")) & (F.col(f"_{k}") < F.col("_o") + F.col("_c"))
+    wanted = counts.join(stats.select("_g", *[f"_{k}" for k in ranks]), "_g").where(holds("lo") | holds("hi") | holds("p95") | holds("p99")).withColumnRenamed("_o", "_start").drop("_c")
+    inside = placed.join(wanted, ["_g", "_p"]).groupBy("_g", "_p", "_start", *[f"_{k}" for k in ranks], "_v").agg(F.count("*").alias("_c"))
+    inside = inside.withColumn("_o", F.col("_start") + F.coalesce(F.sum("_c").over(before("_p", "_v")), F.lit(0)))
+    found = inside.groupBy("_g").agg(*[F.max(F.when(holds(k), F.col("_v"))).alias(f"at_{k}") for k in ranks])
+    out = stats.join(found, "_g")
+    return out.select(*by, "n", "min", "max", "mean", ((F.col("at_lo") + F.col("at_hi")) / 2).alias("median"), "std", F.col("at_p95").alias("p95"), F.col("at_p99").alias("p99"))

@@ -16,15 +16,19 @@ def seeded(df: DataFrame, key: str, seed: int, by: str | None = None) -> DataFra
     """``rn`` (from 1) and ``cnt``: place of each row in the seeded order, and how many rows there are; within ``by`` if given."""
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     df = df.withColumn("_h", h)
-    if by:
-        w = Window.partitionBy(by)
-        return df.withColumn("rn", F.row_number().over(w.orderBy("_h", key))).withColumn("cnt", F.count("*").over(w)).drop("_h")
     df = df.withColumn("_b", F.substring("_h", 1, _DIGITS))
+    if by:  # a label may hold most rows, so it is ranked by buckets too
+        group = df.groupBy(F.col(by).alias("_g"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+        of = Window.partitionBy("_g")
+        group = group.select("_g", "_c", F.coalesce(F.sum("_n").over(of.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"), F.sum("_n").over(of).alias("cnt"))
+        ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_b").orderBy("_h", key)))
+        both = ranked.join(group, ranked[by].eqNullSafe(group["_g"]) & (ranked["_b"] == group["_c"]))
+        return both.withColumn("rn", F.col("_r") + F.col("_o")).drop("_h", "_b", "_r", "_o", "_g", "_c")
     counts = df.groupBy("_b").agg(F.count("*").alias("_n"))  # at most 16 ** _DIGITS rows
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("cnt"))
     inside = Window.partitionBy("_b").orderBy("_h", key)
-    return df.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(offsets), "_b").withColumn("rn", (F.col("_r") + F.col("_o")).cast("int")).drop("_h", "_b", "_r", "_o")
+    return df.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(offsets), "_b").withColumn("rn", F.col("_r") + F.col("_o")).drop("_h", "_b", "_r", "_o")
 
 
 def holdout(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
@@ -80,8 +84,8 @@ def stratified_holdout(df: DataFrame, key: str, label: str, ratio: float, seed:
 
 def limited_groups(df: DataFrame, key: str, label: str, at_least: int, at_most: int = 0) -> DataFrame:
     """Rows of labels with at least so many, of each the first ``at_most`` by key (0: all)."""
-    w = Window.partitionBy(label)
-    out = df.withColumn("_n", F.count("*").over(w)).where(F.col("_n") >= at_least).drop("_n")
+    sizes = df.groupBy(F.col(label).alias("_g")).agg(F.count("*").alias("_n")).where(F.col("_n") >= at_least)
+    out = df.join(sizes, df[label].eqNullSafe(sizes["_g"]), "left_semi")
     if at_most > 0:
-        out = out.withColumn("_r", F.row_number().over(w.orderBy(key))).where(F.col("_r") <= at_most).drop("_r")
+        out = out.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(key))).where(F.col("_r") <= at_most).drop("_r")
     return out

@@ -61,9 +61,9 @@ def quality_gate(spark, sf):
     return table(spark, sf, "labels").agg(F.count("*").alias("samples"), F.count_if(c("quality") == 1).alias("kept"), F.round(F.avg((c("quality") == c("toxic")).cast("double")), 6).alias("agreement"))
 
 
-@query("SELECT CAST(sum(length(html)) AS BIGINT) AS bytes, count(*) AS n FROM pages")
+@query("SELECT CAST(sum(strlen(html)) AS BIGINT) AS bytes, count(*) AS n FROM pages")
 def storage_size(spark, sf):
-    return table(spark, sf, "pages").agg(F.sum(F.length("html")).alias("bytes"), F.count("*").alias("n"))
+    return table(spark, sf, "pages").agg(F.sum(F.octet_length("html").cast("long")).alias("bytes"), F.count("*").alias("n"))
 
 
 @query("SELECT round(count(*) / sum(value), 6) AS per_unit, round(max(value), 6) AS peak, round(avg(value) - min(value), 6) AS above_base FROM events")

@@ -1,8 +1,9 @@
 """Image sets on disk as DataFrames (path, label, width, height, channels, data[, metadata]).
 
-Files are found and read by Spark's ``binaryFile`` source and decoded in Arrow
-batches: PGM by this package, other formats by Spark's ``image`` source. What
-cannot be decoded is dropped, or kept with a null raster.
+PGM files are read by Spark's ``binaryFile`` source and decoded in Arrow batches
+by this package; JPEG, PNG, BMP and GIF are decoded by Spark's ``image`` source.
+Both give the same columns. What cannot be decoded is dropped, or kept with a
+null raster (``keep_bad``); ``undecoded`` counts it by suffix.
 """
 
 from __future__ import annotations
@@ -57,26 +58,71 @@ def decoded(found: DataFrame, size: tuple[int, int] | None = SIZE, to_gray: bool
     return src.mapInArrow(run, schema)
 
 
-def decoded_by_spark(spark: SparkSession, path: str) -> DataFrame:
-    """JPEG, PNG and BMP by Spark's image source: path, width, height, channels, data (BGR bytes); bad files are dropped."""
-    return spark.read.format("image").option("dropInvalid", "true").load(path).select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+def _glob(suffixes: tuple[str, ...]) -> str:
+    return "*.{" + ",".join(x for s in suffixes for x in (s, s.upper(), s.capitalize())) + "}"
+
+
+def images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = text.IMAGE_SUFFIXES, recursive: bool = False, size: tuple[int, int] | None = SIZE, to_gray: bool = True, keep_bad: bool = False) -> DataFrame:
+    """path, width, height, channels, data of the image files of any of the formats under a folder."""
+    out = None
+    if "pgm" in suffixes:
+        out = decoded(files(spark, path, _glob(("pgm",)), recursive), size, to_gray, keep_bad)
+    coded = tuple(s for s in suffixes if s != "pgm")
+    if coded:
+        rest = decoded_by_spark(spark, path, coded, recursive, size, to_gray, keep_bad)
+        out = rest if out is None else out.unionByName(rest)
+    return out
+
+
+def decoded_by_spark(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png", "bmp", "gif"), recursive: bool = False, size: tuple[int, int] | None = SIZE, to_gray: bool = True, keep_bad: bool = False) -> DataFrame:
+    """JPEG, PNG, BMP and GIF by Spark's image source, as ``decoded`` gives PGM; colours are in the order red, green, blue."""
+    ship(spark)
+    r = spark.read.format("image").option("dropInvalid", str(not keep_bad).lower()).option("pathGlobFilter", _glob(suffixes))
+    found = (r.option("recursiveFileLookup", "true") if recursive else r).load(path)
+    i = F.col("image")
+    src = found.select(F.regexp_replace(i["origin"], "^file:/+", "file:/").alias("path"), i["width"].alias("width"), i["height"].alias("height"), i["nChannels"].alias("channels"), i["data"].alias("data"))
+
+    def one(w, h, k, data):
+        if not w or w < 1 or not data or k not in (1, 3, 4):
+            return None, None, None, None
+        g = np.frombuffer(data, np.uint8).reshape(h, w, k)
+        g = g[..., 0] if k == 1 else g[..., 2::-1]
+        g = gray(g.astype(np.int64)) if to_gray and g.ndim == 3 else g
+        g = resize(g, *size) if size and g.ndim == 2 else g
+        return g.shape[1], g.shape[0], 1 if g.ndim == 2 else 3, np.clip(g, 0, 255).astype(np.uint8).tobytes()
+
+    def run(batches):
+        for b in batches:
+            got = [one(*x) for x in zip(*(b.column(c).to_pylist() for c in range(1, 5)))]
+            extra = [pa.array([g[c] for g in got], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))]
+            out = pa.RecordBatch.from_arrays([b.column(0), *extra], names=["path", "width", "height", "channels", "data"])
+            yield out if keep_bad else out.filter(pa.array([g[0] is not None for g in got], pa.bool_()))
+
+    return src.mapInArrow(run, "path string, width int, height int, channels int, data binary")
+
+
+def undecoded(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """suffix, n: the image files under a folder that no decoder can read."""
+    bad = images(spark, path, recursive=recursive, size=None, keep_bad=True).where(F.col("data").isNull())
+    return bad.groupBy(F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("suffix")).agg(F.count("*").alias("n"))
 
 
 def orl(spark: SparkSession, path: str, **how) -> DataFrame:
     """Folders s*, files .pgm; the label is the folder."""
-    return decoded(files(spark, f"{path}/s*", "*.pgm").withColumn("label", text.parent_name(F.col("path"))), **how)
+    return images(spark, f"{path}/s*", ("pgm",), **how).withColumn("label", text.parent_name(F.col("path")))
 
 
 def yale(spark: SparkSession, path: str, **how) -> DataFrame:
-    """One folder; names subjectNN.condition.ext."""
+    """One folder; names subjectNN.condition.ext. Files named for their condition only are PGM or GIF by their content."""
     name = text.base_name(F.col("path"))
-    found = files(spark, path).withColumn("label", text.yale_label(name)).where(F.col("label").isNotNull())
-    return decoded(found.withColumn("metadata", F.create_map(F.lit("condition"), text.yale_condition(name))), **how)
+    bare = decoded(files(spark, path).where(~text.is_image(F.col("path"))), **how)
+    found = images(spark, path, **how).unionByName(bare).withColumn("label", text.yale_label(name)).where(F.col("label").isNotNull())
+    return found.withColumn("metadata", F.create_map(F.lit("condition"), text.yale_condition(name)))
 
 
 def lfw(spark: SparkSession, path: str, **how) -> DataFrame:
     """A folder for each person; underscores in its name are blanks."""
-    return decoded(files(spark, f"{path}/*").withColumn("label", F.replace(text.parent_name(F.col("path")), F.lit("_"), F.lit(" "))), **how)
+    return images(spark, f"{path}/*", **how).withColumn("label", F.replace(text.parent_name(F.col("path")), F.lit("_"), F.lit(" ")))
 
 
 def lfw_pairs(spark: SparkSession, pairs_file: str, images: DataFrame) -> DataFrame:
@@ -92,19 +138,19 @@ def lfw_pairs(spark: SparkSession, pairs_file: str, images: DataFrame) -> DataFr
 
 def by_person(spark: SparkSession, path: str, **how) -> DataFrame:
     """A folder for each person, image files by suffix."""
-    return decoded(files(spark, f"{path}/*").where(text.is_image(F.col("path"))).withColumn("label", text.parent_name(F.col("path"))), **how)
+    return images(spark, f"{path}/*", **how).withColumn("label", text.parent_name(F.col("path")))
 
 
 def flat(spark: SparkSession, path: str, separator: str = "_", **how) -> DataFrame:
     """One folder; the label is the name up to its last separator."""
-    return decoded(files(spark, path).where(text.is_image(F.col("path"))).withColumn("label", text.flat_label(text.base_name(F.col("path")), separator)), **how)
+    return images(spark, path, **how).withColumn("label", text.flat_label(text.base_name(F.col("path")), separator))
 
 
 def tree(spark: SparkSession, path: str, **how) -> DataFrame:
     """Image files at any depth; the label is the folder right below ``path``."""
     plain = re.sub(r"^[a-z0-9]+:/+([^/]*)", r"/\1", path.rstrip("/"))
     below = F.try_element_at(F.split(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), "/"), F.lit(len(plain.split("/")) + 1))
-    return decoded(files(spark, path, recursive=True).where(text.is_image(F.col("path"))).withColumn("label", below), **how)
+    return images(spark, path, recursive=True, **how).withColumn("label", below)
 
 
 def enrol_labels(name: Column, parent: Column, mode: str, fixed: str = "", pattern: str = r"(.+?)(?:_\d+)?\.[^.]+$") -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -119,10 +120,15 @@ class Store:
         self._copied(self._at(name), to)
 
     def import_(self, from_: str, name: str) -> dict | None:
-        self._copied(from_, self._at(name))
-        if self.load(name) is None:
-            self.delete(name)
-            raise ValueError(f"{from_} is no model")
+        """Take in an exported model. It is checked under a name of its own first: a bad one leaves the model of that name as it was."""
+        probe = f"{name}-incoming-{uuid.uuid4().hex}"
+        self._copied(from_, self._at(probe))
+        try:
+            if self.load(probe) is None:
+                raise ValueError(f"{from_} is no model")
+            self._copied(self._at(probe), self._at(name))
+        finally:
+            self.delete(probe)
         return self.info(name)
 
 

@@ -283,3 +283,27 @@ def test_metric_invariants(spark):
     same = spark.createDataFrame([(0, 0.5), (1, 0.7)], "fold int, accuracy double")
     assert math.isnan(metrics.paired_t_test(same, same).collect()[0].t)
     assert abs(one(spark, metrics.erfc(F.lit(1.0)).alias("e")).e - math.erfc(1)) < 2e-7
+
+
+def test_readers_give_the_same_rows_for_every_format(spark, tmp_path):
+    """One raster as PGM and, written by the JVM's own encoders, as PNG and BMP; a broken file is counted."""
+    from likeness.operators import images as I
+    from likeness.sources import images as S
+
+    g = (np.arange(48 * 64).reshape(64, 48) * 7 % 256).astype(np.uint8)
+    for kind in ("pgm", "png", "bmp"):
+        (tmp_path / kind / "Ann_Lee").mkdir(parents=True)
+    (tmp_path / "pgm" / "Ann_Lee" / "Ann_Lee_0001.pgm").write_bytes(I.write_pgm(g))
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(48, 64, 5)
+    for y in range(64):
+        for x in range(48):
+            v = int(g[y, x])
+            image.setRGB(x, y, (v << 16) | (v << 8) | v)
+    for kind in ("png", "bmp"):
+        assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(str(tmp_path / kind / "Ann_Lee" / f"Ann_Lee_0001.{kind}")))
+    got = {k: [(r.label, r.width, r.height, r.channels, bytes(r.data)) for r in S.lfw(spark, str(tmp_path / k)).collect()] for k in ("pgm", "png", "bmp")}
+    assert got["pgm"] == got["png"] == got["bmp"] == [("Ann Lee", 48, 64, 1, g.tobytes())]
+    (tmp_path / "png" / "Ann_Lee" / "bad.png").write_bytes(b"no image")
+    assert S.lfw(spark, str(tmp_path / "png")).count() == 1
+    assert [tuple(r) for r in S.undecoded(spark, str(tmp_path / "png"), recursive=True).collect()] == [("png", 1)]
