@@ -6,7 +6,7 @@ last return documents with their columns; the last returns packed pieces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from likeness.llm import near_dup, packing, pii, quality, registry, toxicity
 from likeness.runtime import cut, table
@@ -31,14 +31,24 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id. Documents without an id stay."""
-    found = cut(near_dup.classes(docs))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    n = found.where(F.col("doc_id").isNotNull()).agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).collect()[0]
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
-    if n["rows"] != n["ids"]:  # rows that repeat an id
-        out = out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.where(F.col("doc_id").isNull()))
-    return out.select(*docs.columns)
+    """One row of each group of near-duplicates: that with the smallest id, of several texts with that id the one with the smallest hash.
+
+    Decided by id and text, so unlike texts under one id all stay; of rows that
+    repeat an id and its text one stays. Documents without an id or without
+    words (a null text, too) are like nothing else. An empty table stays empty.
+    """
+    found = cut(near_dup.classes(docs).select("doc_id", "text_hash", "stays"))
+    known = found.where(F.col("doc_id").isNotNull())
+    gone = known.where(~F.col("stays")).select("doc_id", "text_hash").distinct()
+    twice = cut(known.where("stays").groupBy("doc_id", "text_hash").count().where(F.col("count") > 1).select("doc_id", "text_hash"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"))
+    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    out = keyed.join(small(gone), ["doc_id", "text_hash"], "left_anti")
+    if not twice.isEmpty():
+        first = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.to_json("_row")))
+        repeated = out.join(small(twice), ["doc_id", "text_hash"], "left_semi").withColumn("turn", first).where(F.col("turn") == 1).drop("turn")
+        out = out.join(small(twice), ["doc_id", "text_hash"], "left_anti").unionByName(repeated)
+    return out.select("_row.*")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
