@@ -72,8 +72,11 @@ class BallTree:
         size = np.sqrt((q.astype(float) ** 2).sum(1))
         who, node = np.arange(n), np.zeros(n, np.int64)
         for d in range(len(self.levels)):
-            bound = (q[who].astype(float) * self.centre[d][node]).sum(1) + size[who] * self.radius[d][node]
-            keep = bound * (1 + 1e-12) + 1e-6 >= least[who]
+            reach = size[who] * self.radius[d][node]
+            bound = (q[who].astype(float) * self.centre[d][node]).sum(1) + reach
+            # the slack covers rounding: it follows the size of the terms, not of their sum
+            bound += 1e-6 + 1e-12 * (size[who] * np.sqrt((self.centre[d] ** 2).sum(1))[node] + reach)
+            keep = bound >= least[who]
             who, node, bound = who[keep], node[keep], bound[keep]
             if d + 1 < len(self.levels):
                 kids = self.children[d][node]
@@ -83,12 +86,13 @@ class BallTree:
         who, node, bound = who[order], node[order], bound[order]
         first = np.searchsorted(who, np.arange(n))
         turn = np.arange(len(who)) - first[who]
-        best_s = np.full((n, k), -np.inf)
+        exact = dot(q[:1], self.x[:1]).dtype  # doubles hold every sum, or Python's integers
+        best_s = np.full((n, k), -np.inf).astype(exact)
         best_i = np.full((n, k), -1, np.int64)
-        kth = least.astype(float).copy()
+        kth = least.astype(exact)
         for t in range(int(turn.max()) + 1 if len(turn) else 0):
             at = np.flatnonzero(turn == t)
-            at = at[bound[at] * (1 + 1e-12) + 1e-6 >= kth[who[at]]]
+            at = at[(bound[at] >= kth[who[at]]).astype(bool)]
             by = np.argsort(node[at], kind="stable")
             at = at[by]
             cuts = np.flatnonzero(np.diff(node[at])) + 1
@@ -97,7 +101,7 @@ class BallTree:
                 rows = self.order[a:b]
                 w = who[part]
                 s = dot(q[w], self.x[rows])
-                s = np.where((ids[rows][None, :] == own_ids[w][:, None]), -np.inf, s)
+                s = np.where((ids[rows][None, :] == own_ids[w][:, None]), np.array(-np.inf).astype(exact), s)
                 all_s = np.hstack([best_s[w], s])
                 all_i = np.hstack([best_i[w], np.broadcast_to(rows, s.shape)])
                 key = np.where(all_i >= 0, ids[np.maximum(all_i, 0)], np.iinfo(np.int64).max)
@@ -105,7 +109,7 @@ class BallTree:
                 best_s[w] = np.take_along_axis(all_s, pick, 1)
                 best_i[w] = np.take_along_axis(all_i, pick, 1)
                 kth[w] = np.maximum(kth[w], best_s[w, k - 1])
-        hit = (best_i >= 0) & np.isfinite(best_s) & (best_s >= least[:, None])
+        hit = (best_i >= 0) & (best_s > -np.inf).astype(bool) & (best_s >= least[:, None]).astype(bool)
         i, j = np.nonzero(hit)
         return i, best_i[i, j], best_s[i, j]
 
@@ -117,13 +121,22 @@ def _top(s: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(by_key, by_score, 1)
 
 
-def exact_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products: in doubles where no sum can reach 2^53, else in Python's integers, cut off at the range of a long."""
+def exact_dot(a: np.ndarray, b: np.ndarray, largest: float | None = None) -> np.ndarray:
+    """Integer inner products, exact: doubles where no sum can reach 2^53 (by ``largest``, a bound of it, else by the values), else Python's integers."""
     a, b = np.asarray(a, float), np.asarray(b, float)
-    if not a.size or not b.size or np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2**53:
+    if largest is None:
+        largest = np.abs(a).max() * np.abs(b).max() * a.shape[1] if a.size and b.size else 0.0
+    if largest < 2**53:
         return a @ b.T
-    big = np.array([[sum(int(x) * int(y) for x, y in zip(r, t)) for t in b] for r in a], dtype=object)
-    return np.clip(big, -(2**63), 2**63 - 1).astype(np.int64).astype(float)
+    whole = lambda x: np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape)
+    return whole(a) @ whole(b).T
+
+
+def as_longs(scores: np.ndarray) -> np.ndarray:
+    """Scores as longs; what a long cannot hold becomes the nearest that it can."""
+    if scores.dtype != object:
+        return scores.astype(np.int64)
+    return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in scores], np.int64)
 
 
 def search(rows: DataFrame, k: int = 5, scale: int = 256, shard_rows: int = 4096, block: int = 8192, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -133,7 +146,8 @@ def search(rows: DataFrame, k: int = 5, scale: int = 256, shard_rows: int = 4096
     Rows with a null id, a null or empty vector, or null or non-finite
     components take no part; components that a shorter vector lacks count as 0.
     Of rows that repeat an id each counts, but never for its own id. An empty
-    table gives no rows; other columns are not read.
+    table gives no rows; other columns are not read. Inner products are exact; a
+    component or a score beyond a long is cut to a long's range, and such scores tie.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -152,9 +166,10 @@ def search(rows: DataFrame, k: int = 5, scale: int = 256, shard_rows: int = 4096
             return pa.table([pa.array([], pa.int64())] * 3, names=names)
         x, q = both(left.column("v"), right.column("q"))
         ids, own_ids = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
-        least = right.column("least").to_numpy()
-        i, j, s = BallTree(x).search(q, k, least, ids, own_ids, exact_dot)
-        return pa.table([pa.array(own_ids[i]), pa.array(ids[j]), pa.array(s.astype(np.int64))], names=names)
+        least = np.nextafter(right.column("least").to_numpy(), -np.inf)  # a long, rounded to a double, may have grown
+        largest = float(np.abs(x).max() * np.abs(q).max() * x.shape[1])  # one kind of number for the whole block
+        i, j, s = BallTree(x).search(q, k, least, ids, own_ids, lambda a, b: exact_dot(a, b, largest))
+        return pa.table([pa.array(own_ids[i]), pa.array(ids[j]), pa.array(as_longs(s), pa.int64())], names=names)
 
     def round_(against: DataFrame) -> DataFrame:
         against = against.select(F.col("block").alias("at_block"), F.col("shard").alias("at_shard"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "least")

@@ -64,6 +64,21 @@ def test_neighbours_recall_and_ties(spark):
     assert all(len(v) == 5 for v in got.values())
 
 
+def test_exact_topk_beyond_doubles(spark):
+    r = random.Random(8)
+    odd = lambda: float(r.choice([-1, 1]) * (2**r.randint(20, 30) + r.randint(0, 3)))  # noqa: E731  scores beyond 2^53 that differ by little
+    vs = [[odd() for _ in range(4)] for _ in range(300)]
+    assert exact_topk.exact_dot(np.array([[2.0**27 + 1, 1.0]]), np.array([[2.0**27 + 1, 1.0]]))[0, 0] == (2**27 + 1) ** 2 + 1
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "vec_id long, embedding array<double>")
+    got = {}
+    for x in exact_topk.search(df, scale=1, shard_rows=60).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    ints = [[int(x) for x in v] for v in vs]
+    for q in range(0, 300, 50):
+        want = sorted((-sum(a * b for a, b in zip(ints[q], ints[i])), i) for i in range(300) if i != q)[:5]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame(rows_of(np.eye(3)), SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id) for r in neighbours.search(df).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
