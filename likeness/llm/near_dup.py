@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from likeness.llm.arrow import binaries, map_docs
 from likeness.llm.pretoken import powers
-from likeness.runtime import cut, ship
+from likeness.runtime import cut, ship, tidy
 
 WORDS = 5
 TREES, BRANCH = 7, 2
@@ -251,6 +251,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
         small = joined(large, low, "a", "c", most).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
         edges = cut(small)
+        way = least = large = low = small = None
+        tidy(edges.sparkSession)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if now == seen:
             break
@@ -368,6 +370,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     salt = F.when(F.col("c") > CROWD, F.pmod(F.xxhash64("sid", F.lit("salt")), F.lit(SALTS))).otherwise(0).cast("int")
     stars = entry.where(F.col("sid") != F.col("pivot")).groupBy(F.col("pivot").alias("a"), F.col("sid").alias("b")).agg(F.max(salt).alias("salt"))
     links = cut(confirmed(cut(alike(stars, reps)), reps, texts))
+    del stars
     comps = components(links)
     # nodes that still hold several components (of two sets, both have been compared)
     rows = entry.where(F.col("c") > 2).select("node", "sid", "n").join(comps, "sid", "left").select("node", "sid", F.coalesce("comp", "sid").alias("comp"), "n")
@@ -377,6 +380,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         fits = (F.col("c") <= SMALL) & (F.col("weight") <= LIGHT)
         pairs = cut(compare_nodes(rows.where(fits), reps, texts))
         more = pairs if more is None else more.unionByName(pairs)
+        tidy(docs.sparkSession)
         hot = rows.where(~fits)
         if hot.isEmpty():
             break
