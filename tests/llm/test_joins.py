@@ -128,7 +128,7 @@ def corpus(seed, n=120):
 def test_classes_equal_brute_force(spark, monkeypatch, small, light, hot):
     for name, value in (("SMALL", small), ("LIGHT", light), ("HOT", hot), ("CROWD", hot), ("DEPTH", 1 if small == 8 else 6)):  # nodes split by sets and by shingles, keys held hot
         monkeypatch.setattr(near_dup, name, value)
-    rows = corpus(3)
+    rows = corpus(3, 120 if small > 8 else 40)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, kept int")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.classes(df).collect()}
     assert got == plain_classes(rows)
