@@ -60,12 +60,65 @@ def box_most_confident(spark, sf):
     return B.most_confident(X.boxes(spark, sf)).select("image_id", "box_id", "confidence")
 
 
-@query()
+_GREEDY_SQL = f"""
+WITH RECURSIVE {X.BOXES_SQL}, p AS (
+  SELECT a.image_id, a.box_id AS a, b.box_id AS b, {_IOU} AS s, a.w * a.h + b.w * b.h AS t
+  FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.box_id < b.box_id
+), near AS (
+  SELECT image_id, a AS box_id, list(b) AS others FROM p WHERE s / (t - s) > 0.3 GROUP BY image_id, a
+), turns AS (
+  SELECT image_id, box_id, coalesce(others, []) AS others FROM boxes LEFT JOIN near USING (image_id, box_id)
+), walk AS (
+  SELECT image_id, box_id, others AS used, others AS taken, TRUE AS kept FROM turns WHERE box_id = 1
+  UNION ALL
+  SELECT image_id, box_id, CASE WHEN gone THEN used ELSE list_concat(used, others) END,
+         list_filter(others, lambda o: NOT gone AND NOT list_contains(used, o)), NOT gone
+  FROM (
+    SELECT turns.image_id, turns.box_id, turns.others, walk.used, list_contains(walk.used, turns.box_id) AS gone
+    FROM walk JOIN turns ON turns.image_id = walk.image_id AND turns.box_id = walk.box_id + 1
+  )
+), best AS (
+  SELECT k.image_id, k.box_id, max(b.confidence) AS confidence
+  FROM (SELECT image_id, box_id, unnest(list_append(taken, box_id)) AS member FROM walk WHERE kept) k
+  JOIN boxes b ON b.image_id = k.image_id AND b.box_id = k.member
+  GROUP BY k.image_id, k.box_id
+), sizes AS (
+  SELECT image_id, count(*) AS n FROM boxes GROUP BY image_id
+)
+SELECT image_id, box_id, x, y, w, h,
+       CASE WHEN n = 1 THEN best.confidence ELSE least(CAST(1 AS DOUBLE), CAST(1.1 AS DOUBLE) * best.confidence) END AS confidence
+FROM boxes JOIN best USING (image_id, box_id) JOIN sizes USING (image_id)
+"""
+
+
+@query(_GREEDY_SQL)
 def box_greedy_merge(spark, sf):
     return B.merged_greedily(X.boxes(spark, sf))
 
 
-@query()
+_GROUPS_SQL = f"""
+WITH RECURSIVE {X.BOXES_SQL}, p AS (
+  SELECT a.image_id, a.box_id AS a, b.box_id AS b, {_IOU} AS s, a.w * a.h + b.w * b.h AS t
+  FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.box_id <> b.box_id
+), linked AS (
+  SELECT image_id, a, b FROM p WHERE s / (t - s) >= 0.1
+), reach AS (
+  SELECT image_id, box_id, box_id AS other FROM boxes
+  UNION
+  SELECT reach.image_id, reach.box_id, linked.b FROM reach JOIN linked ON linked.image_id = reach.image_id AND linked.a = reach.other
+), first AS (
+  SELECT image_id, box_id, min(other) AS head FROM reach GROUP BY image_id, box_id
+), merged AS (
+  SELECT image_id, head AS box_id, sum(x) // count(*) AS x, sum(y) // count(*) AS y, sum(w) // count(*) AS w, sum(h) // count(*) AS h, count(*) AS n
+  FROM boxes JOIN first USING (image_id, box_id) GROUP BY image_id, head
+)
+SELECT image_id, box_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h,
+       CAST(n AS DOUBLE) / max(n) OVER (PARTITION BY image_id) AS confidence
+FROM merged
+"""
+
+
+@query(_GROUPS_SQL)
 def box_merge_detections(spark, sf):
     return B.merged_detections(X.boxes(spark, sf), 0.1, 1)
 

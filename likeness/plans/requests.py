@@ -41,7 +41,26 @@ def client_key(spark, sf):
     return table(spark, sf, "events").select("event_id", T.client_key(header, F.lit("remote")).alias("client"))
 
 
-@query()
+_BUCKET_SQL = """
+WITH RECURSIVE log AS (
+  SELECT event_id AS request_id, CAST(user_id AS VARCHAR) AS client, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS now,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn
+  FROM events
+), run AS (
+  SELECT request_id, client, turn, now AS last, TRUE AS allowed, CAST(1 AS DOUBLE) AS tokens FROM log WHERE turn = 1
+  UNION ALL
+  SELECT request_id, client, turn, last, full_ >= 1, CASE WHEN full_ >= 1 THEN full_ - 1 ELSE full_ END
+  FROM (
+    SELECT log.request_id, log.client, log.turn, greatest(run.last, log.now) AS last,
+           least(CAST(2 AS DOUBLE), run.tokens + greatest(log.now - run.last, CAST(0 AS DOUBLE)) * CAST(2 AS DOUBLE) / 60) AS full_
+    FROM run JOIN log ON log.client = run.client AND log.turn = run.turn + 1
+  )
+)
+SELECT request_id, client, allowed FROM run
+"""
+
+
+@query(_BUCKET_SQL)
 def rate_limit(spark, sf):
     """At most two requests a minute and client."""
     e = table(spark, sf, "events").select(c("event_id").alias("request_id"), c("user_id").alias("client"), "ts")
