@@ -117,7 +117,7 @@ class Registry:
         raw = raw_features(probes, "probe_id", self.algorithm, required=True, **how)
         good = raw.where(F.col("error").isNull()).select("probe_id", "v")
         own = good if self.model is None else self.model.transform(good).select("probe_id", F.col("features").alias("v"))
-        got = M.classify(M.nearest_by_identity(own, self.gallery(averaged), metric), threshold, metric, k, scale)
+        got = M.classify(M.nearest_by_identity(own, self.gallery(averaged), metric, keep=max(k, 1)), threshold, metric, k, scale)
         names = self.identities.select(F.col("id").alias("identity"), "name")
         out = raw.select("probe_id", "error").join(got, "probe_id", "left").join(names, "identity", "left")
         status = F.when(F.col("error").contains("no face"), "NO_FACE_DETECTED").when(F.col("error").isNotNull(), "ERROR").otherwise(F.coalesce("status", F.lit("UNKNOWN")))
@@ -144,7 +144,7 @@ def evaluate(samples: DataFrame, metric: str = "euclidean", ratio: float = 0.7,
     """Split (id, identity, v), match the test rows against the train rows, and measure: predictions and their metrics by name."""
     rows = O.holdout(samples, "id", ratio, seed)
     probes = rows.where(~F.col("is_train")).select(F.col("id").alias("probe_id"), F.col("identity").cast("string").alias("actual"), "v")
-    d = M.nearest_by_identity(probes, rows.where("is_train").select("identity", "v"), metric)
+    d = M.nearest_by_identity(probes, rows.where("is_train").select("identity", "v"), metric, keep=1)
     p = M.predictions(d, probes, threshold, metric)
     points = E.curve_points(p)
     return {"predictions": p, "macro": E.macro(p), "matrix": E.macro_matrix(p), "micro": E.micro(p), "confusion": E.confusion(p), "classes": E.class_metrics(E.class_counts(p)), "roc": E.roc(points), "auc": E.auc(points), "eer": E.equal_error(points)}
@@ -154,7 +154,7 @@ def cross_validate(samples: DataFrame, k: int = 5, metric: str = "euclidean", st
     """Metrics by fold; all folds in one job."""
     rows = O.stratified_k_fold(samples, "id", "identity", k, seed) if stratified else O.k_fold(samples, "id", k, seed)
     p = rows.select(F.col("id").alias("probe_id"), F.col("identity").cast("string").alias("actual"), "v", "fold")
-    d = M.nearest_by_identity(p, rows.select("identity", "v", "fold"), metric, fold="fold")
+    d = M.nearest_by_identity(p, rows.select("identity", "v", "fold"), metric, fold="fold", keep=1)
     return E.macro(M.predictions(d, p, 0.0, metric, extra=("fold",)), ("fold",))
 
 

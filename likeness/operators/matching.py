@@ -50,18 +50,31 @@ def block_distances(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out) if metric in ("euclidean", "mahalanobis") else out
 
 
-def nearest_by_identity(probes: DataFrame, gallery: DataFrame, metric: str = "euclidean", fold: str | None = None) -> DataFrame:
+def nearest_by_identity(probes: DataFrame, gallery: DataFrame, metric: str = "euclidean", fold: str | None = None, keep: int | None = None) -> DataFrame:
     """(probe_id, identity, distance[, fold]): least distance of each probe to each identity's samples; NaN if any is NaN.
 
     probes (probe_id, v), gallery (identity, v), identities as text. With ``fold`` both have that column,
-    and a probe of a fold meets the samples of all other folds.
+    and a probe of a fold meets the samples of all other folds. With ``keep`` each probe's first ``keep``
+    by distance and identity are among the rows, and as few others as the dealing allows: an identity's
+    samples then lie in one shard, unless it has more than a shard of them, and a task returns a
+    probe's first ``keep`` of its identities. Larger identities are spread, and all their minima return.
     """
     ship(probes.sparkSession)
-    n, m = gallery.count(), probes.count()
+    own = gallery.withColumn("identity", F.col("identity").cast("string"))
+    sizes = own.groupBy("identity").count()
+    n, most = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).collect()[0]
+    m = probes.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
+    if keep is None:
+        own = own.withColumn("spread", F.lit(True))
+    elif most <= SHARD:
+        own = own.withColumn("spread", F.lit(False))
+    else:
+        own = own.join(sizes.where(F.col("count") > SHARD).select("identity", F.lit(True).alias("spread")), "identity", "left").withColumn("spread", F.coalesce("spread", F.lit(False)))
     f = F.col(fold) if fold else F.lit(0)
     left = probes.select("probe_id", F.col("v").alias("pv"), f.cast("int").alias("pf"), F.pmod(F.xxhash64("probe_id"), F.lit(blocks)).cast("int").alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("ps"))
-    right = gallery.select(F.col("identity").cast("string").alias("identity"), F.col("v").alias("gv"), f.cast("int").alias("gf"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("gb"), F.pmod(F.xxhash64("identity", "v"), F.lit(shards)).cast("int").alias("gs"))
+    dealt = F.pmod(F.xxhash64("identity", F.when(F.col("spread"), F.col("v"))), F.lit(shards)).cast("int")
+    right = own.select("identity", F.col("v").alias("gv"), f.cast("int").alias("gf"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("gb"), dealt.alias("gs"), "spread")
 
     def least(key, p, g):
         names = ["probe_id", "identity", "distance", "fold"]
@@ -72,15 +85,25 @@ def nearest_by_identity(probes: DataFrame, gallery: DataFrame, metric: str = "eu
         where, b, gf = where[order], matrix(g.column("gv"))[order], g.column("gf").to_numpy()[order]
         ids, a, pf = p.column("probe_id").to_numpy(), matrix(p.column("pv")), p.column("pf").to_numpy()
         cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
-        out = []
+        whole = np.flatnonzero(~g.column("spread").to_numpy()[order][cuts])  # identities that have all their samples here
+        found = []
         for lo in range(0, len(a), 256):
             d = block_distances(metric, a[lo : lo + 256], b)
             if fold:
                 d = np.where(gf[None, :] == pf[lo : lo + 256, None], np.inf, d)
-            out.append(np.minimum.reduceat(d, cuts, axis=1))  # keeps NaN
-        d = np.concatenate(out)
-        i, j = np.nonzero(~np.isposinf(d))
-        return pa.table([pa.array(ids[i]), pa.array(who[j].tolist(), pa.string()), pa.array(d[i, j]), pa.array(pf[i], pa.int32())], names=names)
+            d = np.minimum.reduceat(d, cuts, axis=1)  # keeps NaN
+            met = ~np.isposinf(d)
+            if keep is not None and len(whole) > keep:
+                # those met first, by distance (NaN last), and then in the order of identities
+                first = np.lexsort((d[:, whole], ~met[:, whole]), axis=1)[:, :keep]
+                among = np.ones(d.shape, bool)
+                among[:, whole] = False
+                np.put_along_axis(among, whole[first], True, 1)
+                met &= among
+            i, j = np.nonzero(met)
+            found.append((i + lo, j, d[i, j]))
+        i, j, d = (np.concatenate(x) for x in zip(*found))
+        return pa.table([pa.array(ids[i]), pa.array(who[j].tolist(), pa.string()), pa.array(d), pa.array(pf[i], pa.int32())], names=names)
 
     part = left.groupBy("pb", "ps").cogroup(right.groupBy("gb", "gs")).applyInArrow(least, "probe_id long, identity string, distance double, fold int")
     nan = F.max(F.isnan("distance"))
@@ -155,7 +178,7 @@ def leave_one_out(samples: DataFrame, key: str, label: str, vector: str, metric:
     cross-validation and only an identity's least distance leaves a task. Keys must fit 32 bits.
     """
     own = samples.select(F.col(key).alias("probe_id"), F.col(label).alias("actual"), F.col(vector).alias("v"), F.col(key).cast("int").alias("fold"))
-    found = nearest_by_identity(own.select("probe_id", "v", "fold"), own.select(F.col("actual").alias("identity"), "v", "fold"), metric, "fold")
+    found = nearest_by_identity(own.select("probe_id", "v", "fold"), own.select(F.col("actual").alias("identity"), "v", "fold"), metric, "fold", 1)
     best = found.groupBy("probe_id").agg(F.min_by("identity", F.struct("distance", "identity")).alias("predicted"))
     return own.select("probe_id", "actual").join(best, "probe_id").select(F.col("probe_id").alias(key), "actual", "predicted")
 

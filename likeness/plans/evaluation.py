@@ -80,7 +80,7 @@ cmf AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM cm)"""
 
 
 def _distances(spark, sf):
-    return M.nearest_by_identity(X.probes(spark, sf), X.gallery(spark, sf), "cosine")
+    return M.nearest_by_identity(X.probes(spark, sf), X.gallery(spark, sf), "cosine", keep=1)
 
 
 def _pred(spark, sf):
@@ -192,7 +192,7 @@ def threshold_sweep(spark, sf):
 def _folds(spark, sf, metric="cosine"):
     rows = O.stratified_k_fold(X.vectors(spark, sf), "vec_id", "identity", 5, SEED)
     p = rows.select(c("vec_id").alias("probe_id"), "v", "fold", c("identity").alias("actual"))
-    d = M.nearest_by_identity(p, rows.select("identity", "v", "fold"), metric, fold="fold")
+    d = M.nearest_by_identity(p, rows.select("identity", "v", "fold"), metric, fold="fold", keep=1)
     return M.predictions(d, p, 0.0, metric, extra=("fold",))
 
 

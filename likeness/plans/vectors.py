@@ -68,7 +68,7 @@ def _register_distances() -> None:
             p, g = X.probes(spark, sf), X.gallery(spark, sf)
             if shift:
                 p, g = (t.withColumn("v", F.transform("v", lambda e: e + 1)) for t in (p, g))
-            got = M.classify(M.nearest_by_identity(p, g, metric), threshold, metric, 5, scale)
+            got = M.classify(M.nearest_by_identity(p, g, metric, keep=5), threshold, metric, 5, scale)
             return got.select("probe_id", "status", "identity", r6("confidence").alias("confidence"), r6("distance").alias("distance"), F.array_join(F.transform("alternatives", lambda x: x["identity"]), ",").alias("alternatives"))
 
         query(
@@ -94,7 +94,7 @@ SELECT probe_id, identity, round(distance, 6) AS distance FROM (SELECT *, row_nu
 )
 def knn_centroid(spark, sf):
     cent = M.centroids(X.gallery(spark, sf))
-    got = M.top_matches(M.nearest_by_identity(X.probes(spark, sf), cent), 1, 0.0)
+    got = M.top_matches(M.nearest_by_identity(X.probes(spark, sf), cent, keep=1), 1, 0.0)
     return got.select("probe_id", "identity", r6("distance").alias("distance"))
 
 
@@ -104,7 +104,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY probe_id ORDER BY distance,
 SELECT probe_id, rn, identity, round(distance, 6) AS distance, round(exp(-distance / 0.5), 6) AS confidence, CASE WHEN exp(-best / 0.5) < 0.35 THEN 'UNKNOWN' ELSE 'RECOGNIZED' END AS status FROM r WHERE rn <= 3"""
 )
 def knn_top_matches(spark, sf):
-    got = M.top_matches(M.nearest_by_identity(X.probes(spark, sf), X.gallery(spark, sf), "cosine"), 3, 0.35, "cosine")
+    got = M.top_matches(M.nearest_by_identity(X.probes(spark, sf), X.gallery(spark, sf), "cosine", keep=3), 3, 0.35, "cosine")
     return got.select("probe_id", "rn", "identity", r6("distance").alias("distance"), r6("confidence").alias("confidence"), "status")
 
 
@@ -115,7 +115,7 @@ SELECT probe_id, string_agg(identity, ',' ORDER BY rn) AS names FROM r WHERE rn
 )
 def knn_alternatives_floor(spark, sf):
     """The first three matches, then those of enough confidence."""
-    d = M.nearest_by_identity(X.probes(spark, sf), X.gallery(spark, sf), "cosine")
+    d = M.nearest_by_identity(X.probes(spark, sf), X.gallery(spark, sf), "cosine", keep=8)
     alts = M.top_matches(d, 8, 0.0, "cosine").groupBy("probe_id").agg(F.collect_list(F.struct("confidence", "identity")).alias("a"))
     names = F.transform(M.top_alternatives(c("a"), 3, 0.3), lambda x: x["identity"])
     return alts.select("probe_id", F.array_join(names, ",").alias("names")).where(c("names") != "")

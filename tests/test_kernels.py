@@ -70,6 +70,30 @@ def test_matching_is_the_same_in_shards(spark, monkeypatch):
     assert whole == {(r.probe_id, r.identity): r.distance for r in matching.nearest_by_identity(p, g, "manhattan").collect()} and len(whole) == 210
 
 
+@pytest.mark.parametrize("fold", [None, "fold"])
+def test_first_identities_are_the_same_when_tasks_keep_few(spark, monkeypatch, fold):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(matching, "SHARD", 16)
+    monkeypatch.setattr(matching, "BLOCK", 7)
+    # one identity with a third of all samples, ties, and samples without direction (NaN by cosine)
+    who = ["large"] * 60 + [f"i{i % 40:02d}" for i in range(120)]
+    v = [rng.integers(-2, 3, 3).astype(float).tolist() for _ in who]
+    v[100] = v[110] = [0.0] * 3
+    g = spark.createDataFrame([(w, x, i % 3) for i, (w, x) in enumerate(zip(who, v))], "identity string, v array<double>, fold int")
+    p = spark.createDataFrame([(i, rng.integers(-2, 3, 3).astype(float).tolist() if i else [0.0] * 3, i % 3) for i in range(20)], "probe_id long, v array<double>, fold int")
+
+    def first(keep, k):
+        got = {}
+        for r in matching.nearest_by_identity(p, g, "cosine", fold, keep).collect():
+            got.setdefault(r.probe_id, []).append((math.isnan(r.distance), 0 if math.isnan(r.distance) else r.distance, r.identity))
+        return {i: sorted(x)[:k] for i, x in got.items()}, sum(map(len, got.values()))
+
+    for k in (1, 4, 41):
+        (want, most), (have, few) = first(None, k), first(k, k)
+        assert have == want and len(have) == 20
+        assert few < most if k == 1 else few <= most
+
+
 def test_geometry(spark):
     b = lambda *v: [F.lit(x) for x in v]
     iou = lambda a, c: one(spark, geometry.iou(*b(*a), *b(*c)).alias("v")).v
