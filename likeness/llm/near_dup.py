@@ -240,23 +240,26 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(sid, comp) of all ends of the edges (a, b): comp is the least id that can be reached. Alternates large and small stars."""
+    """(sid, comp) of all ends of the edges (a, b): comp is the least id that can be reached. Alternates large and small stars.
+
+    The edges are done when they form stars: each end has either one
+    neighbour, a smaller one, or none but larger ones.
+    """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
-    seen, most = None, 2 * edges.count()
     while True:
         way = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = way.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")).select("a", F.least("a", "m").alias("m"), "c")
-        large = joined(way.where(F.col("b") > F.col("a")), least, "a", "c", most).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        least = cut(way.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")))
+        open_, most = least.agg(F.count_if((F.col("m") < F.col("a")) & (F.col("c") > 1)), F.coalesce(F.sum("c"), F.lit(0))).collect()[0]
+        if not open_:
+            break
+        least = least.select("a", F.least("a", "m").alias("m"), "c")
+        large = joined(way.where(F.col("b") > F.col("a")), least, "a", "c", most).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut(large) if most > HOT else large
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
         small = joined(large, low, "a", "c", most).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
         edges = cut(small)
         way = least = large = low = small = None
         tidy(edges.sparkSession)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
-        if now == seen:
-            break
-        seen, most = now, 2 * now[0]
     return edges.select(F.col("a").alias("sid"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("sid"), F.col("b").alias("comp")).distinct())
 
 
@@ -396,7 +399,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         child = child.select(F.xxhash64("node", "turn", "coord", F.element_at("keys", F.col("coord") + 1)).alias("node"), "sid", "comp", "n")
         rows = cut(several(child, 2, BRANCH * hot.count()))
     if not more.isEmpty():
-        comps = components(links.unionByName(more))
+        comps = components(comps.select(F.col("sid").alias("a"), F.col("comp").alias("b")).unionByName(more))
     # the least row of each component; most sets are alone
     members = reps.select("sid", "rep").join(comps, "sid")
     least = members.groupBy("comp").agg(F.min("rep").alias("least"), F.count("*").alias("c"))
