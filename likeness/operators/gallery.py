@@ -10,8 +10,12 @@ def active(identities: DataFrame) -> DataFrame:
 
 
 def upsert(identities: DataFrame, incoming: DataFrame, key: str = "name") -> DataFrame:
-    """The registry with a row for every incoming name that it lacks; known names keep theirs."""
-    fresh = incoming.dropDuplicates([key]).join(identities.select(key), key, "left_anti")
+    """The registry with a row for every incoming name that it lacks; known names keep theirs.
+
+    Of incoming rows that repeat a name the first by their JSON text is taken.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in incoming.columns])
+    fresh = incoming.groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*").join(identities.select(key), key, "left_anti")
     return identities.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -37,6 +37,18 @@ def identity_anti(spark, sf):
     return G.not_enrolled(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").where(c("o_custkey") % 2 == 0).select(c("o_custkey").alias("c_custkey")), "c_custkey")
 
 
+@query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT c_custkey + 1000000, CASE WHEN c_custkey % 3 = 0 THEN c_name || ' (new)' ELSE c_name END FROM customer WHERE c_name <> CASE WHEN c_custkey % 3 = 0 THEN c_name || ' (new)' ELSE c_name END")
+def identity_upsert_all(spark, sf):
+    """Every customer is in the registry, and every one comes in again, every third under a new name."""
+    p = _people(spark, sf).select("id", "name")
+    return G.upsert(p, p.select((c("id") + 1000000).alias("id"), F.when(c("id") % 3 == 0, F.concat("name", F.lit(" (new)"))).otherwise(c("name")).alias("name")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def identity_anti_all(spark, sf):
+    return G.not_enrolled(table(spark, sf, "orders").select("o_orderkey"), table(spark, sf, "lineitem").select(c("l_orderkey").alias("o_orderkey")), "o_orderkey")
+
+
 @query("SELECT c_custkey AS id, c_name AS name, c_acctbal >= 0 AND c_custkey % 7 <> 0 AS active FROM customer")
 def identity_soft_delete(spark, sf):
     p = _people(spark, sf)
@@ -124,6 +136,12 @@ def text_truncate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.truncated(c("text"), 20).alias("short"), F.size(T.words(F.substring("text", 1, 60))).alias("words"))
 
 
+@query(r"SELECT doc_id, CAST(len(regexp_split_to_array(trim(text, ' '), '[ \t\n\x0B\f\r]+')) AS INTEGER) AS words FROM documents")
+def text_words(spark, sf):
+    """Words of the whole text."""
+    return table(spark, sf, "documents").select("doc_id", F.size(T.words(c("text"))).alias("words"))
+
+
 @query("SELECT DISTINCT p_type AS message, CASE WHEN contains(lower(p_type), 'no face') OR contains(lower(p_type), 'face not') THEN 'FACE_NOT_DETECTED' WHEN contains(lower(p_type), 'multiple face') THEN 'MULTIPLE_FACES' WHEN contains(lower(p_type), 'quality') THEN 'POOR_QUALITY' WHEN contains(lower(p_type), 'too small') OR contains(lower(p_type), 'dimension') THEN 'IMAGE_TOO_SMALL' WHEN contains(lower(p_type), 'too large') THEN 'IMAGE_TOO_LARGE' WHEN contains(lower(p_type), 'image') OR contains(lower(p_type), 'format') THEN 'INVALID_IMAGE_FORMAT' ELSE 'VALIDATION_ERROR' END AS code FROM part")
 def error_codes(spark, sf):
     return table(spark, sf, "part").select(c("p_type").alias("message")).distinct().select("message", T.error_code(c("message")).alias("code"))

@@ -126,6 +126,12 @@ def identity_centroids(spark, sf):
     return M.centroids(X.gallery(spark, sf)).select("identity", F.posexplode("v").alias("p", "x")).withColumn("x", r6("x"))
 
 
+@query(f"WITH {X.VECTORS_SQL} SELECT identity, CAST(p AS INTEGER) AS p, round(avg(x), 6) AS x FROM (SELECT identity, unnest(range(len(v))) AS p, unnest(v) AS x FROM vectors) GROUP BY ALL")
+def identity_means(spark, sf):
+    """The mean of all vectors of each identity; nothing is held out."""
+    return M.centroids(X.vectors(spark, sf)).select("identity", F.posexplode("v").alias("p", "x")).withColumn("x", r6("x"))
+
+
 @query("SELECT l_suppkey, l_orderkey, l_discount FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount DESC, l_orderkey) AS rn FROM lineitem) WHERE rn = 1")
 def identity_best_sample(spark, sf):
     return G.best_sample(X.table(spark, sf, "lineitem"), "l_suppkey", "l_orderkey", "l_discount")
