@@ -340,7 +340,8 @@ def text_of(ids: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
 def several(rows: DataFrame, at_least: int, most: int) -> DataFrame:
     """The rows (node, sid, comp, n) of nodes that hold several components, with the sets and the shingles of their node as ``c`` and ``weight``."""
     nodes = rows.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("weight"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where((F.col("lo") < F.col("hi")) & (F.col("c") >= at_least)).select("node", "c", "weight")
-    return joined(rows, nodes, "node", "c", most).select("node", "sid", "comp", "n", "c", "weight")
+    # merged, as Spark splits the rows of a crowded node between tasks in such a join only
+    return joined(rows, nodes.hint("merge"), "node", "c", most).select("node", "sid", "comp", "n", "c", "weight")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
