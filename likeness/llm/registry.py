@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from likeness.llm import bpe, exact_topk, near_dup, neighbours, packing, pii, quality, secrets, token_counts, toxicity
+from likeness.llm import bpe, exact_topk, filter_audit, near_dup, neighbours, packing, pii, quality, quality_rules, secrets, token_counts, toxicity
 from likeness.llm.samples import labelled_sample
 from likeness.runtime import table
 
@@ -96,8 +96,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_edits(docs, BYTE_BPE)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[native] Only Spark's own functions run on the executors."""
+    return quality_rules.judged(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.BASE_MEASURES, "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_pii, op4_neighbours, op5_secrets, op6_packing, op7_topk, op8_near_dup, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_pii, op4_neighbours, op5_secrets, op6_packing, op7_topk, op8_near_dup, op9_token_counts, op10_toxicity, op11_filter_audit, op12_quality_rules)}
 
 
 OP7_SQL = """
@@ -136,4 +145,4 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_neighbours": OP4_SQL, "op7_topk": OP7_SQL}
+    return {"op4_neighbours": OP4_SQL, "op7_topk": OP7_SQL, "op11_filter_audit": filter_audit.SQL, "op12_quality_rules": quality_rules.sql()}
