@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from likeness.llm import bpe, exact_topk, filter_audit, near_dup, neighbours, packing, pii, quality, quality_rules, secrets, token_counts, toxicity
+from likeness.llm import bpe, exact_topk, filter_audit, near_dup, neighbours, packing, pii, prefix_trie, quality, quality_rules, secrets, token_counts, toxicity
 from likeness.llm.samples import labelled_sample
 from likeness.runtime import table
 
@@ -105,8 +105,12 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.BASE_MEASURES, "base_failed", "kept")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_pii, op4_neighbours, op5_secrets, op6_packing, op7_topk, op8_near_dup, op9_token_counts, op10_toxicity, op11_filter_audit, op12_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_pii, op4_neighbours, op5_secrets, op6_packing, op7_topk, op8_near_dup, op9_token_counts, op10_toxicity, op11_filter_audit, op12_quality_rules, op13_prefix_trie)}
 
 
 OP7_SQL = """
@@ -145,4 +149,4 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_neighbours": OP4_SQL, "op7_topk": OP7_SQL, "op11_filter_audit": filter_audit.SQL, "op12_quality_rules": quality_rules.sql()}
+    return {"op4_neighbours": OP4_SQL, "op7_topk": OP7_SQL, "op11_filter_audit": filter_audit.SQL, "op12_quality_rules": quality_rules.sql(), "op13_prefix_trie": prefix_trie.SQL}
