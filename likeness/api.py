@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from likeness.operators import gallery as G, images as I, matching as M, metrics as E, order as O
+from likeness.operators import curves as C, gallery as G, images as I, matching as M, metrics as E, order as O
 from likeness.operators.haar import Cascade, detect
 from likeness.operators.models import EXTRACTORS, Subspace
 from likeness.runtime import table  # noqa: F401  part of the surface
@@ -159,12 +159,8 @@ def cross_validate(samples: DataFrame, k: int = 5, metric: str = "euclidean", st
 
 
 def learning_curve(samples: DataFrame, ratios: list[float], metric: str = "euclidean", seed: int = 42) -> DataFrame:
-    """Metrics by train share, split anew with one seed."""
-    out = None
-    for r in ratios:
-        one = evaluate(samples, metric, r, 0.0, seed)["macro"].withColumn("ratio", F.lit(float(r)))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Metrics by train share of one seeded order; each pair of rows is compared once for all shares."""
+    return C.learning_curve(samples, ratios, metric, seed)
 
 
 def timings(action: Callable[[], object], runs: int = 10, warm_up: int = 2) -> list[float]:

@@ -7,8 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from pyspark.sql import Column, DataFrame, functions as F
+
+from likeness.operators import raster
 from likeness.operators.boxes import union_find
 from likeness.operators.images import box_sum, integral, luma
+from likeness.runtime import cut
 
 
 @dataclass
@@ -91,6 +95,83 @@ def scan(img: np.ndarray, c: Cascade, least_side: int = 30, grow: float = 1.1, l
     return out
 
 
+#: Stages that one plan holds; then the windows that are left are written.
+_STAGES = 4
+
+
+def _grid(c: Cascade, least_side: int, grow: float, largest: float) -> list[tuple[float, int, int, int]]:
+    """Scale, width, height and step of the windows, up to a scale of ``largest``."""
+    nearest = lambda v: int(np.floor(v + 0.5))  # noqa: E731  halves go up
+    out, scale = [], least_side / c.width
+    while scale <= largest:
+        w, h = nearest(c.width * scale), nearest(c.height * scale)
+        if min(w, h) >= least_side:
+            out.append((scale, w, h, max(1, nearest(2 * scale))))
+        scale *= grow
+    return out
+
+
+def _corners(rects: list[tuple[int, int, int, int, float]], scale: float, w: int, h: int) -> dict[tuple[int, int], float]:
+    """What the integral counts for at each corner (dx, dy) of a window in a feature's value."""
+    out = {(w, h): 0.0}  # a corner that every window has, so that no feature is without rows
+    for rx, ry, rw, rh, weight in rects:
+        x, y = int(rx * scale + 0.5), int(ry * scale + 0.5)
+        bw, bh = min(int(rw * scale + 0.5), w - x), min(int(rh * scale + 0.5), h - y)
+        if bw > 0 and bh > 0:
+            for dx, dy, sign in ((0, 0, 1), (bw, bh, 1), (bw, 0, -1), (0, bh, -1)):
+                out[x + dx, y + dy] = out.get((x + dx, y + dy), 0.0) + sign * weight
+    return out
+
+
+def _literal(rows: list[tuple], names: tuple[str, ...]) -> Column:
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
+
+
+def windows(pixels: DataFrame, c: Cascade, least_side: int = 30, grow: float = 1.1) -> DataFrame:
+    """(image_id, x, y, w, h) of all windows of grey pixels (image_id, y, x, v) that pass every stage.
+
+    All positions of all scales are one table. A stage asks the integral table
+    for the corners of its features, adds up the leaves and keeps the windows
+    that reach its threshold, so the table thins out from stage to stage; no task
+    holds a picture. Windows of a variance below 1 are dropped before the first.
+    """
+    side = raster.sizes(pixels)
+    most = side.agg(F.max(F.least(F.col("w") / c.width, F.col("h") / c.height))).collect()[0][0]
+    scales = _grid(c, least_side, grow, most or 0)
+    if not scales:
+        return pixels.where("false").select("image_id", *[F.lit(0).alias(k) for k in "xywh"])
+    table = cut(raster.integral(pixels))
+    grid = _literal([(k, *s) for k, s in enumerate(scales)], ("k", "scale", "ww", "wh", "step"))
+    at = side.select("image_id", "w", "h", F.explode(grid).alias("g")).where("g.scale <= least(w / {0}, h / {1}) AND g.ww <= w AND g.wh <= h".format(float(c.width), float(c.height)))
+    along = lambda room, size: F.explode(F.sequence(F.lit(0), (F.col(room) - F.col(f"g.{size}")).cast("int"), F.col("g.step")))
+    at = at.select("*", along("h", "wh").alias("y")).select("image_id", "g.k", "y", along("w", "ww").alias("x"))
+
+    def met(live: DataFrame, corners: Column, keep: list[str]) -> DataFrame:
+        asked = live.select("image_id", "k", "y", "x", *keep, F.explode(F.get(corners, F.col("k"))).alias("c"))
+        asked = asked.select("image_id", "k", F.col("y").alias("wy"), F.col("x").alias("wx"), *keep, "c.*", (F.col("y") + F.col("c.dy")).alias("cy"), (F.col("x") + F.col("c.dx")).alias("cx"))
+        return asked.join(table.select("image_id", F.col("y").alias("cy"), F.col("x").alias("cx"), "s", "q"), ["image_id", "cy", "cx"])
+
+    frame = F.array(*[_literal([(w, h, 1), (0, 0, 1), (w, 0, -1), (0, h, -1)], ("dx", "dy", "sign")) for _, w, h, _ in scales])
+    area = F.get(F.array(*[F.lit(float(w * h)) for _, w, h, _ in scales]), F.col("k"))
+    own = met(at, frame, []).groupBy("image_id", "k", "wy", "wx").agg(F.sum(F.col("s") * F.col("sign")).alias("s"), F.sum(F.col("q") * F.col("sign")).alias("q"))
+    mean = F.col("s") / area
+    own = own.withColumn("var", F.greatest(F.lit(0.0), F.col("q") / area - mean * mean)).where("var >= 1")
+    live = own.select("image_id", "k", F.col("wy").alias("y"), F.col("wx").alias("x"), F.sqrt("var").alias("dev"))
+    for n, (threshold, weak) in enumerate(c.stages, 1):
+        asked = F.array(*[_literal([(i, dx, dy, v) for i, (at_, *_) in enumerate(weak) for (dx, dy), v in sorted(_corners(c.features[at_], scale, w, h).items())], ("weak", "dx", "dy", "coef")) for scale, w, h, _ in scales])
+        facts = _literal([(float(node), float(left), float(right)) for _, node, left, right in weak], ("node", "left", "right"))
+        value = met(live, asked, ["dev"]).groupBy("image_id", "k", "wy", "wx", "dev", "weak").agg(F.sum(F.col("s") * F.col("coef")).alias("value"))
+        fact = F.get(facts, F.col("weak"))
+        leaf = F.when(F.col("value") / area < fact["node"] * F.col("dev"), fact["left"]).otherwise(fact["right"])
+        voted = value.withColumn("leaf", leaf).groupBy("image_id", "k", "wy", "wx", "dev").agg(F.array_sort(F.collect_list(F.struct("weak", "leaf"))).alias("leaves"))
+        total = F.aggregate("leaves", F.lit(0.0), lambda a, x: a + x["leaf"])  # in the order of the stage
+        live = voted.where(total >= float(threshold)).select("image_id", "k", F.col("wy").alias("y"), F.col("wx").alias("x"), "dev")
+        if n % _STAGES == 0 and n < len(c.stages):
+            live = cut(live)
+    size = lambda i: F.get(F.array(*[F.lit(s[i]) for s in scales]), F.col("k"))
+    return live.select("image_id", "x", "y", size(1).alias("w"), size(2).alias("h"))
+
+
 def detect(img: np.ndarray, c: Cascade, min_members: int = 3, at_least: float = 0.4, min_confidence: float = 0.0, **how) -> list[dict]:
     """Windows merged by overlap; confidence is a group's size by the largest's; most confident first."""
     found = scan(img, c, **how)

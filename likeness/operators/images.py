@@ -108,7 +108,7 @@ def equalize(g: np.ndarray) -> np.ndarray:
 
 
 def clahe(g: np.ndarray, tile: int, limit: float) -> np.ndarray:
-    """Equalised by tiles whose histograms are clipped, tables blended bilinearly."""
+    """Equalised by tiles whose histograms are clipped, tables blended bilinearly; left and above the first tiles' centres the blend goes on outwards."""
     h, w = g.shape
     ny, nx = max(-(-h // tile), 1), max(-(-w // tile), 1)
     luts = np.zeros((ny, nx, 256))
@@ -116,17 +116,16 @@ def clahe(g: np.ndarray, tile: int, limit: float) -> np.ndarray:
         for i in range(nx):
             t = g[j * tile : (j + 1) * tile, i * tile : (i + 1) * tile]
             hist = np.bincount(t.ravel().astype(int), minlength=256)
-            top = max(int(limit * t.size / 256), 1)
-            extra = int(np.maximum(hist - top, 0).sum())
-            hist = np.minimum(hist, top) + extra // 256
-            luts[j, i] = hist.cumsum() * 255.0 / max(hist.sum(), 1)
+            top = int(limit * t.size / 256)
+            cdf = (np.minimum(hist, top) + int(np.maximum(hist - top, 0).sum()) // 256).cumsum()
+            low = cdf[cdf > 0].min(initial=cdf[-1])
+            luts[j, i] = np.floor((cdf - low) / (t.size - low) * 255 + 0.5) if t.size > low else np.arange(256)
     y, x = np.mgrid[0:h, 0:w]
-    fy, fx = np.clip((y + 0.5) / tile - 0.5, 0, ny - 1), np.clip((x + 0.5) / tile - 0.5, 0, nx - 1)
-    y0, x0 = fy.astype(int), fx.astype(int)
+    y0, x0 = np.maximum(np.floor(y / tile - 0.5), 0).astype(int), np.maximum(np.floor(x / tile - 0.5), 0).astype(int)
     y1, x1 = np.minimum(y0 + 1, ny - 1), np.minimum(x0 + 1, nx - 1)
-    ay, ax, v = fy - y0, fx - x0, g.astype(int)
+    ay, ax, v = y / tile - 0.5 - y0, x / tile - 0.5 - x0, g.astype(int)
     out = (luts[y0, x0, v] * (1 - ax) + luts[y0, x1, v] * ax) * (1 - ay) + (luts[y1, x0, v] * (1 - ax) + luts[y1, x1, v] * ax) * ay
-    return np.clip(out, 0, 255).astype(np.int64)
+    return np.clip(np.floor(out + 0.5), 0, 255).astype(np.int64)
 
 
 def align(img: np.ndarray, left: tuple[float, float], right: tuple[float, float], w: int, h: int, eye_distance: float = 0.35, eye_height: float = 0.35) -> np.ndarray:

@@ -27,7 +27,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Plan], P
 
 
 def _loaded() -> None:
-    from likeness.plans import checks, evaluation, identities, pictures, requests, vectors  # noqa: F401  they register their queries
+    from likeness.plans import checks, evaluation, identities, pictures, rasters, requests, vectors  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Plan]:

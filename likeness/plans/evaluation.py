@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from likeness.functions.vectors import confidence
-from likeness.operators import matching as M, metrics as E, order as O
+from likeness.operators import curves as C, matching as M, metrics as E, order as O
 from likeness.plans import fixtures as X
 from likeness.plans.catalogue import query
 
@@ -228,3 +228,28 @@ def compare_algorithms(spark, sf):
 def condition_test(spark, sf):
     p = _pred(spark, sf).withColumn("condition", c("probe_id") % 20)
     return r6(p.groupBy("condition").agg(F.avg((c("actual") == c("predicted")).cast("double")).alias("accuracy"), F.count("*").alias("n")), "accuracy")
+
+
+@query(f"""
+WITH {_ORD}, r(ratio) AS (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE), (0.9::DOUBLE)),
+d AS (
+  SELECT p.vec_id, p.identity AS actual, p.rn AS prn, g.identity, g.rn AS grn, p.cnt, list_sum(list_transform(list_zip(p.v, g.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS distance
+  FROM o p JOIN o g ON g.rn < p.rn
+), pred AS (
+  SELECT ratio, actual, identity AS predicted FROM (
+    SELECT ratio, actual, identity, row_number() OVER (PARTITION BY ratio, vec_id ORDER BY distance, identity) AS k
+    FROM d JOIN r ON prn > floor(cnt * ratio) AND grn <= floor(cnt * ratio)
+  ) WHERE k = 1
+), counts AS (
+  SELECT ratio, label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (
+    SELECT ratio, actual AS label, CAST(actual = predicted AS INT) AS tp, 0 AS fp, CAST(actual <> predicted AS INT) AS fn FROM pred
+    UNION ALL SELECT ratio, predicted, 0, 1, 0 FROM pred WHERE predicted <> actual
+  ) GROUP BY ALL
+), m AS (
+  SELECT ratio, avg(coalesce(tp / nullif(tp + fp, 0), 0)) AS p, avg(coalesce(tp / nullif(tp + fn, 0), 0)) AS r FROM counts GROUP BY ratio
+), a AS (SELECT ratio, avg(CAST(actual = predicted AS INT)) AS accuracy, count(*) AS tested FROM pred GROUP BY ratio)
+SELECT m.ratio, tested, round(accuracy, 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM m JOIN a ON m.ratio = a.ratio
+""")
+def learning_curve(spark, sf):
+    rows = X.vectors(spark, sf).select(c("vec_id").alias("id"), "identity", "v")
+    return r6(C.learning_curve(rows, [0.1, 0.3, 0.5, 0.7, 0.9], "euclidean", SEED), "accuracy", "precision", "recall", "f1")
