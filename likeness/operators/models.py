@@ -163,6 +163,55 @@ def fit_pca(df: DataFrame, components: int, vec: str = "v", normalise: bool = Tr
     return Subspace(mean, signed(v[:, :k]), w[:k], w[:k] / whole if whole else w[:k], "pca", normalise, {"n": n})
 
 
+def fit_pca_wide(df: DataFrame, components: int, vec: str = "v", normalise: bool = True, over: int = 10, rounds: int = 60, tolerance: float = 1e-12) -> Subspace:
+    """``fit_pca`` for vectors so long that dimension by dimension is too much for a driver: only dimension by ``components`` + ``over`` reaches it.
+
+    Subspace iteration on the rows: a round sends the current axes to all tasks,
+    adds up each row times its projections, dealt by blocks of components, and
+    makes the sum orthonormal. It ends when no wanted eigenvalue moves by more
+    than ``tolerance`` of the first, or after ``rounds``.
+    """
+    ship(df.sparkSession)
+    src = df.select(F.col(vec).cast("array<double>").alias("v"))
+    means = src.select(F.posexplode("v").alias("p", "x")).groupBy("p").agg(F.avg("x").alias("m"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("x").alias("n")).orderBy("p").collect()
+    if not means:
+        raise ValueError("there are no vectors")
+    n, mean = means[0]["n"], np.array([r["m"] for r in means])
+    whole = sum(r["q"] for r in means) - n * float(mean @ mean)
+    d = len(mean)
+    width = min(d, n, components + over)
+    axes = np.linalg.qr(np.random.default_rng(0).normal(size=(d, width)))[0]
+    values = np.zeros(width)
+
+    def pushed(axes: np.ndarray) -> np.ndarray:
+        def run(batches):
+            total = np.zeros((d, width))
+            for b in batches:
+                if b.num_rows:
+                    z = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) - mean
+                    total += z.T @ (z @ axes)
+            for at in range(0, d, _BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([at // _BLOCK], pa.int32()), pa.array([total[at : at + _BLOCK].tobytes()])], names=["block", "data"])
+
+        def add(key, t):
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": [sum(np.frombuffer(x) for x in t.column("data").to_pylist()).tobytes()]})
+
+        rows = src.mapInArrow(run, "block int, data binary").groupBy("block").applyInArrow(add, "block int, data binary").collect()
+        return np.concatenate([np.frombuffer(x).reshape(-1, width) for _, x in sorted((r["block"], bytes(r["data"])) for r in rows)])
+
+    for _ in range(rounds):
+        got = pushed(axes)
+        w, u = np.linalg.eigh(axes.T @ got)
+        order = np.argsort(-w, kind="stable")
+        w, ritz = w[order], axes @ u[:, order]
+        moved, values = np.abs(w - values)[:components].max(), w
+        if moved <= tolerance * max(w[0], 1e-300):
+            break
+        axes = np.linalg.qr(got @ u[:, order])[0]
+    k = min(components, int((values > LEAST_EIGENVALUE).sum()))
+    return Subspace(mean, signed(ritz[:, :k]), values[:k], values[:k] / whole if whole > 0 else values[:k], "pca", normalise, {"n": n})
+
+
 def fit_lda(df: DataFrame, label: str, components: int, vec: str = "v", normalise: bool = True) -> Subspace:
     """Discriminants in the space of the first n - c principal components; at least two labels."""
     few = _few(df, vec, label)

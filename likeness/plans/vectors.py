@@ -177,19 +177,78 @@ def lda_between(spark, sf):
     return _cells(spark, models.scatter(models.moments(X.vectors(spark, sf), "v", "identity"))[2])
 
 
-@query()
+def _eigen(source: str, k: int, squarings: int = 17) -> str:
+    """CTEs on a matrix ``a`` (rows of ``source``): ``axes`` (k, value, v) of its first eigenvectors by squaring its powers and deflating.
+
+    The normed power of a matrix tends to the projector on its first eigenvector;
+    the matrix less its product with that projector has the others left. The
+    component of largest size is positive.
+    """
+    return f"""
+it AS (
+  SELECT 1 AS k, 0 AS s, a, a AS p FROM {source}
+  UNION ALL
+  SELECT CASE WHEN s < {squarings} THEN k ELSE k + 1 END, CASE WHEN s < {squarings} THEN s + 1 ELSE 0 END,
+         CASE WHEN s < {squarings} THEN a ELSE less END, CASE WHEN s < {squarings} THEN list_transform(q, lambda r: list_transform(r, lambda x: x / t)) ELSE less END
+  FROM (
+    SELECT k, s, a, q, list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i][i])) AS t,
+           CASE WHEN s = {squarings} THEN list_transform(range(1, len(a) + 1), lambda i: list_transform(range(1, len(a) + 1), lambda j: a[i][j] - q[i][j])) END AS less
+    FROM (
+      SELECT k, s, a, list_transform(CASE WHEN s = {squarings} THEN a ELSE p END, lambda r: list_transform(pt, lambda col: list_dot_product(r, col))) AS q
+      FROM (SELECT *, list_transform(range(1, len(p) + 1), lambda j: list_transform(p, lambda r: r[j])) AS pt FROM it) WHERE k <= {k}
+    )
+  )
+), found AS (
+  SELECT k, list_sum(list_transform(range(1, len(a) + 1), lambda i: list_dot_product(a[i], list_transform(p, lambda r: r[i])))) AS value,
+         list_transform(p, lambda r: r[list_position(diagonal, list_max(diagonal))]) AS u
+  FROM (SELECT *, list_transform(range(1, len(p) + 1), lambda i: p[i][i]) AS diagonal FROM it WHERE s = {squarings} AND k <= {k})
+), axes AS (
+  SELECT k, value, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u)) * sign(u[list_position(sizes, list_max(sizes))])) AS v
+  FROM (SELECT *, list_transform(u, lambda x: abs(x)) AS sizes FROM found)
+)"""
+
+
+_MATRIX = "(SELECT list(r ORDER BY i) AS a FROM (SELECT i, list(s ORDER BY j) AS r FROM {cells} GROUP BY i))"
+_ALL_SQL = _LONG + ", m AS (SELECT p, avg(x) AS m FROM e GROUP BY p), z AS (SELECT vec_id, e.p, x - m AS z FROM e JOIN m ON e.p = m.p), total AS (SELECT a.p AS i, b.p AS j, sum(a.z * b.z) AS s FROM z a JOIN z b ON a.vec_id = b.vec_id GROUP BY ALL), centred AS (SELECT vec_id, list(z ORDER BY p) AS z FROM z GROUP BY vec_id)"
+_FEATURES = """, raw AS (
+  SELECT vec_id, list(list_dot_product(z, v) ORDER BY k) AS f FROM centred, axes GROUP BY vec_id
+)
+SELECT vec_id, list_transform(f, lambda x: round(x / CASE WHEN list_dot_product(f, f) = 0 THEN 1 ELSE sqrt(list_dot_product(f, f)) END, 5)) AS features FROM raw"""
+
+
+@query(f"WITH RECURSIVE {_ALL_SQL}, {_eigen(_MATRIX.format(cells='total'), 10)}, t AS (SELECT sum(s) AS whole FROM total WHERE i = j) SELECT CAST(k - 1 AS INTEGER) AS i, round(value, 6) AS value, round(value / whole, 6) AS ratio, round(sum(value / whole) OVER (ORDER BY k), 6) AS cumulative FROM axes, t")
 def pca_explained(spark, sf):
     m = models.fit_pca(X.vectors(spark, sf), 10)
-    return spark.createDataFrame([(i, float(v), float(q), float(t)) for i, (v, q, t) in enumerate(zip(m.values, m.ratio, models.cumulative(m)))], "i int, value double, ratio double, cumulative double")
+    rows = spark.createDataFrame([(i, float(v), float(q), float(t)) for i, (v, q, t) in enumerate(zip(m.values, m.ratio, models.cumulative(m)))], "i int, value double, ratio double, cumulative double")
+    return rows.withColumns({k: F.round(k, 6) for k in ("value", "ratio", "cumulative")})
 
 
-@query()
+@query(f"WITH RECURSIVE {_ALL_SQL}, {_eigen(_MATRIX.format(cells='total'), 10)}{_FEATURES}")
 def pca_project(spark, sf):
     v = X.vectors(spark, sf)
-    return models.fit_pca(v, 10).transform(v).select("vec_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
-
-
-@query()
+    return models.fit_pca(v, 10).transform(v).select("vec_id", F.transform("features", lambda x: F.round(x, 5)).alias("features"))
+
+
+_INVERSE = """
+ridge AS (
+  SELECT list(r ORDER BY i) AS w FROM (SELECT i, list(s + CASE WHEN i = j THEN 1e-6 ELSE 0 END ORDER BY j) AS r FROM inside GROUP BY i)
+), inv AS (
+  SELECT 0 AS n, w, list_transform(w, lambda r: list_transform(r, lambda x: x / pow(list_max(list_transform(w, lambda q: list_sum(list_transform(q, lambda y: abs(y))))), 2))) AS x FROM ridge
+  UNION ALL
+  SELECT n + 1, w, list_transform(range(1, len(x) + 1), lambda i: list_transform(range(1, len(x) + 1), lambda j: 2 * x[i][j] - xwx[i][j]))
+  FROM (
+    SELECT n, w, x, list_transform(list_transform(x, lambda r: list_transform(w, lambda q: list_dot_product(r, q))), lambda r: list_transform(list_transform(range(1, len(x) + 1), lambda j: list_transform(x, lambda y: y[j])), lambda q: list_dot_product(r, q))) AS xwx
+    FROM inv WHERE n < 30
+  )
+), ratio AS (
+  SELECT list_transform(x, lambda r: list_transform(b, lambda q: list_dot_product(r, q))) AS a FROM inv, (SELECT list(r ORDER BY i) AS b FROM (SELECT i, list(s ORDER BY j) AS r FROM outside GROUP BY i)) WHERE n = 30
+)"""
+_LABELS_SQL = _ALL_SQL + """, own AS (SELECT identity, p, avg(x) AS m, count(*) AS n FROM e GROUP BY ALL), y AS (SELECT vec_id, e.p, x - m AS z FROM e JOIN own ON e.p = own.p AND e.identity = own.identity),
+inside AS (SELECT a.p AS i, b.p AS j, sum(a.z * b.z) AS s FROM y a JOIN y b ON a.vec_id = b.vec_id GROUP BY ALL),
+outside AS (SELECT t.i, t.j, t.s - w.s AS s FROM total t JOIN inside w ON t.i = w.i AND t.j = w.j)"""
+
+
+@query(f"WITH RECURSIVE {_LABELS_SQL}, {_INVERSE}, {_eigen('ratio', 9)}{_FEATURES}")
 def lda_project(spark, sf):
     v = X.vectors(spark, sf)
-    return models.fit_lda(v, "identity", 9).transform(v).select("vec_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+    return models.fit_lda(v, "identity", 9).transform(v).select("vec_id", F.transform("features", lambda x: F.round(x, 5)).alias("features"))

@@ -207,6 +207,18 @@ def test_subspaces(spark):
         models.deep_extractor("x.onnx")
 
 
+def test_wide_components_equal_the_full_ones(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(300, 150)) * 0.9 ** np.arange(150) @ np.linalg.qr(r.normal(size=(150, 150)))[0] + 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(5)
+    one, two = models.fit_pca(df, 6), models.fit_pca_wide(df, 6)
+    assert np.allclose(one.values, two.values) and np.allclose(one.ratio, two.ratio) and np.allclose(one.axes, two.axes, atol=1e-5)
+    few = models.fit_pca_wide(df.limit(4), 6)
+    assert len(few.values) == 3 and np.allclose(few.axes.T @ few.axes, np.eye(3))
+    with pytest.raises(ValueError):
+        models.fit_pca_wide(df.limit(0), 2)
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}")
     df = spark.createDataFrame([(i, [float(i), float(i % 3), 1.0]) for i in range(9)], "id long, v array<double>")
