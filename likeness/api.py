@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from likeness.operators import curves as C, gallery as G, images as I, matching as M, metrics as E, order as O
 from likeness.operators.haar import Cascade, detect
 from likeness.operators.models import EXTRACTORS, Subspace
+from likeness.sources import images as S
+from likeness.sources.store import Snapshots
 from likeness.runtime import table  # noqa: F401  part of the surface
 
 #: Detectors by name: raster, settings -> boxes, most confident first.
@@ -125,6 +127,63 @@ class Registry:
         return out.join(own.withColumnRenamed("v", "features"), "probe_id", "left") if features else out
 
 
+    def recognize_folder(self, path: str, kind: str = "custom", threshold: float = 0.6, k: int = 5, metric: str = "euclidean", reader: dict | None = None, **how) -> DataFrame:
+        """Results of all image files under a folder, with ``expected``, the label that the folder's layout gives.
+
+        One plan from the files to the results. probe_id is the path; a file that cannot be decoded stays, with status ERROR.
+        """
+        found = S.read(self.spark, path, kind, size=None, to_gray=False, keep_bad=True, **(reader or {}))
+        probe = F.struct(F.col("path"), F.col("label").alias("expected"))  # travels with the picture, which is decoded once
+        got = self.recognize(found.select(probe.alias("probe_id"), "width", "height", "channels", "data"), threshold, k, metric, **how)
+        return got.select("probe_id.path", "probe_id.expected", *[c for c in got.columns if c != "probe_id"]).withColumnRenamed("path", "probe_id")
+
+    def snapshot(self, to: Snapshots, name: str) -> int:
+        """Keep identities, images, samples and model under a name, all at once."""
+        if self.samples is None:
+            raise ValueError("the registry is not trained")
+        tables = {"identities": self.identities, "images": self.images, "samples": self.samples}
+        if self.model is not None:
+            m = self.model
+            rows = [(-1, m.mean.tolist(), 0.0, 0.0), *((i, m.axes[:, i].tolist(), float(m.values[i]), float(m.ratio[i])) for i in range(m.axes.shape[1]))]
+            tables["model"] = self.spark.createDataFrame(rows, "i int, v array<double>, value double, ratio double")
+        return to.publish(name, tables, {"algorithm": self.algorithm, "normalise": self.model.normalise if self.model else None})
+
+    def train_on_pairs(self, pairs: DataFrame, components: int = 10, **how) -> Subspace:
+        """The extractor fitted on the pictures of verification pairs; the registry stays as it is.
+
+        pairs (a, b): keys of pictures, "identity id|sample id". A picture counts as often as it occurs, by its
+        weight; it is read and kept once. Keys without a picture are ignored.
+        """
+        if self.algorithm == "lbph":
+            raise ValueError("local patterns are not trained")
+        times = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("weight"))
+        keyed = self.images.withColumn("key", F.concat_ws("|", "identity_id", "sample_id")).join(times.select("key"), "key", "left_semi")
+        raw = raw_features(keyed, "key", self.algorithm, **how).where(F.col("error").isNull()).join(times, "key")
+        return EXTRACTORS[self.algorithm](raw.withColumn("label", F.substring_index("key", "|", 1)), "v", "label", components, "weight")
+
+
+def restored(spark: SparkSession, kept: Snapshots, name: str, version: int | None = None) -> Registry | None:
+    """The registry of a snapshot, the last one unless a version is named; nothing where there is none."""
+    found = kept.read(name, version)
+    if found is None:
+        return None
+    info, tables = found
+    model = None
+    if "model" in tables:
+        rows = sorted(tables["model"].collect(), key=lambda r: r["i"])
+        axes = np.array([r["v"] for r in rows[1:]]).T if len(rows) > 1 else np.zeros((len(rows[0]["v"]), 0))
+        model = Subspace(np.array(rows[0]["v"]), axes, np.array([r["value"] for r in rows[1:]]), np.array([r["ratio"] for r in rows[1:]]), info["algorithm"], info["normalise"])
+    return Registry(spark, tables["identities"], tables["images"], tables["samples"], model, info["algorithm"])
+
+
+def validation(results: DataFrame) -> DataFrame:
+    """correct, total, no_face, errors and accuracy (percent) of results with ``expected``; files in error do not count in the total."""
+    s = F.col("status")
+    right = (s == "RECOGNIZED") & F.col("name").eqNullSafe(F.col("expected"))
+    counts = results.agg(F.count_if(right).alias("correct"), F.count_if(s != "ERROR").alias("total"), F.count_if(s == "NO_FACE_DETECTED").alias("no_face"), F.count_if(s == "ERROR").alias("errors"))
+    return counts.withColumn("accuracy", F.when(F.col("total") > 0, F.col("correct") * 100.0 / F.col("total")).otherwise(0.0))
+
+
 def registry(spark: SparkSession, algorithm: str = "pca") -> Registry:
     people = spark.createDataFrame([], "id string, name string, external_id string, active boolean")
     images = spark.createDataFrame([], "identity_id string, sample_id string, width int, height int, channels int, data binary")

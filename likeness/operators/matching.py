@@ -71,19 +71,20 @@ def nearest_by_identity(probes: DataFrame, gallery: DataFrame, metric: str = "eu
         own = own.withColumn("spread", F.lit(False))
     else:
         own = own.join(sizes.where(F.col("count") > SHARD).select("identity", F.lit(True).alias("spread")), "identity", "left").withColumn("spread", F.coalesce("spread", F.lit(False)))
-    f = F.col(fold) if fold else F.lit(0)
-    left = probes.select("probe_id", F.col("v").alias("pv"), f.cast("int").alias("pf"), F.pmod(F.xxhash64("probe_id"), F.lit(blocks)).cast("int").alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("ps"))
+    f = (F.col(fold) if fold else F.lit(0)).cast("long")
+    kind = dict(probes.dtypes)["probe_id"]
+    left = probes.select("probe_id", F.col("v").alias("pv"), f.alias("pf"), F.pmod(F.xxhash64("probe_id"), F.lit(blocks)).cast("int").alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("ps"))
     dealt = F.pmod(F.xxhash64("identity", F.when(F.col("spread"), F.col("v"))), F.lit(shards)).cast("int")
-    right = own.select("identity", F.col("v").alias("gv"), f.cast("int").alias("gf"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("gb"), dealt.alias("gs"), "spread")
+    right = own.select("identity", F.col("v").alias("gv"), f.alias("gf"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("gb"), dealt.alias("gs"), "spread")
 
     def least(key, p, g):
         names = ["probe_id", "identity", "distance", "fold"]
         if not p.num_rows or not g.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.float64()), pa.array([], pa.int32())], names=names)
+            return pa.table([p.column("probe_id").slice(0, 0), pa.array([], pa.string()), pa.array([], pa.float64()), pa.array([], pa.int64())], names=names)
         who, where = np.unique(np.array(g.column("identity").to_pylist(), object), return_inverse=True)
         order = np.argsort(where, kind="stable")
         where, b, gf = where[order], matrix(g.column("gv"))[order], g.column("gf").to_numpy()[order]
-        ids, a, pf = p.column("probe_id").to_numpy(), matrix(p.column("pv")), p.column("pf").to_numpy()
+        ids, a, pf = p.column("probe_id").combine_chunks(), matrix(p.column("pv")), p.column("pf").to_numpy()
         cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
         whole = np.flatnonzero(~g.column("spread").to_numpy()[order][cuts])  # identities that have all their samples here
         found = []
@@ -103,12 +104,12 @@ def nearest_by_identity(probes: DataFrame, gallery: DataFrame, metric: str = "eu
             i, j = np.nonzero(met)
             found.append((i + lo, j, d[i, j]))
         i, j, d = (np.concatenate(x) for x in zip(*found))
-        return pa.table([pa.array(ids[i]), pa.array(who[j].tolist(), pa.string()), pa.array(d), pa.array(pf[i], pa.int32())], names=names)
+        return pa.table([ids.take(pa.array(i)), pa.array(who[j].tolist(), pa.string()), pa.array(d), pa.array(pf[i], pa.int64())], names=names)
 
-    part = left.groupBy("pb", "ps").cogroup(right.groupBy("gb", "gs")).applyInArrow(least, "probe_id long, identity string, distance double, fold int")
+    part = left.groupBy("pb", "ps").cogroup(right.groupBy("gb", "gs")).applyInArrow(least, f"probe_id {kind}, identity string, distance double, fold long")
     nan = F.max(F.isnan("distance"))
     out = part.groupBy("probe_id", "identity", "fold").agg(F.when(nan, F.lit(float("nan"))).otherwise(F.min("distance")).alias("distance"))
-    return out if fold else out.drop("fold")
+    return out.withColumn("fold", F.col("fold").cast(dict(probes.dtypes)[fold])) if fold else out.drop("fold")
 
 
 def centroids(gallery: DataFrame, label: str = "identity", vec: str = "v") -> DataFrame:
@@ -175,9 +176,9 @@ def leave_one_out(samples: DataFrame, key: str, label: str, vector: str, metric:
     """(key, actual, predicted): each sample by the nearest identity of all the others.
 
     Every sample is a fold of its own, so blocks meet shards as in any
-    cross-validation and only an identity's least distance leaves a task. Keys must fit 32 bits.
+    cross-validation and only an identity's least distance leaves a task. Keys are whole numbers of up to 64 bits.
     """
-    own = samples.select(F.col(key).alias("probe_id"), F.col(label).alias("actual"), F.col(vector).alias("v"), F.col(key).cast("int").alias("fold"))
+    own = samples.select(F.col(key).alias("probe_id"), F.col(label).alias("actual"), F.col(vector).alias("v"), F.col(key).cast("long").alias("fold"))
     found = nearest_by_identity(own.select("probe_id", "v", "fold"), own.select(F.col("actual").alias("identity"), "v", "fold"), metric, "fold", 1)
     best = found.groupBy("probe_id").agg(F.min_by("identity", F.struct("distance", "identity")).alias("predicted"))
     return own.select("probe_id", "actual").join(best, "probe_id").select(F.col("probe_id").alias(key), "actual", "predicted")

@@ -28,15 +28,16 @@ def mean_vector(df: DataFrame, vec: str = "v") -> DataFrame:
 _BLOCK = 64
 
 
-def moments(df: DataFrame, vec: str = "v", by: str | None = None) -> tuple[dict[str, tuple[int, np.ndarray]], np.ndarray]:
-    """label -> (n, mean), and the sum of x x^T over all rows.
+def moments(df: DataFrame, vec: str = "v", by: str | None = None, weight: str | None = None) -> tuple[dict[str, tuple[int, np.ndarray]], np.ndarray]:
+    """label -> (n, mean), and the sum of x x^T over all rows; with ``weight`` a row counts as so many equal ones (0: not at all).
 
     Each task sums its own rows; the partial matrices are dealt by block of
     rows and added, so no task holds more than one matrix and the driver gets one.
     """
     ship(df.sparkSession)
     label = F.col(by).cast("string") if by else F.lit("")
-    src = df.select(label.alias("label"), F.col(vec).cast("array<double>").alias("v"))
+    times = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    src = df.select(label.alias("label"), F.col(vec).cast("array<double>").alias("v"), times.alias("times")).where("times > 0")
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -46,11 +47,13 @@ def moments(df: DataFrame, vec: str = "v", by: str | None = None) -> tuple[dict[
                 continue
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             names = np.array(b.column(0).to_pylist(), object)
+            w = b.column(2).to_numpy().astype(float)
             for k in set(names.tolist()):
-                own = x[names == k]
-                got = np.append(len(own), own.sum(0))
+                own = names == k
+                got = np.append(w[own].sum(), w[own] @ x[own])
                 sums[k] = sums[k] + got if k in sums else got
-            outer = x.T @ x if outer is None else outer + x.T @ x
+            part = x.T @ (x * w[:, None])
+            outer = part if outer is None else outer + part
         for k, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([-1], pa.int32()), pa.array([v.tobytes()])], names=["label", "block", "data"])
         for at in range(0, 0 if outer is None else len(outer), _BLOCK):
@@ -145,15 +148,15 @@ class Subspace:
         return df.mapInArrow(run, StructType([*df.schema.fields]).add(out, ArrayType(DoubleType())))
 
 
-def fit_pca(df: DataFrame, components: int, vec: str = "v", normalise: bool = True) -> Subspace:
-    """Eigenvectors of the scatter about the mean, by falling eigenvalue; eigenvalues up to 1e-4 are dropped."""
-    few = _few(df, vec, None)
+def fit_pca(df: DataFrame, components: int, vec: str = "v", normalise: bool = True, weight: str | None = None) -> Subspace:
+    """Eigenvectors of the scatter about the mean, by falling eigenvalue; eigenvalues up to 1e-4 are dropped. With ``weight`` a row counts as so many equal ones."""
+    few = None if weight else _few(df, vec, None)
     if few:  # the eigenvectors of the small side
         n, mean = len(few[0]), few[0].mean(0)
         _, size, axes = np.linalg.svd(few[0] - mean, full_matrices=False)
         w, v = size**2, axes.T
     else:
-        mean, within, between, n = scatter(moments(df, vec))
+        mean, within, between, n = scatter(moments(df, vec, None, weight))
         w, v = np.linalg.eigh(within + between)
         order = np.argsort(-w, kind="stable")
         w, v = w[order], v[:, order]
@@ -212,16 +215,16 @@ def fit_pca_wide(df: DataFrame, components: int, vec: str = "v", normalise: bool
     return Subspace(mean, signed(ritz[:, :k]), values[:k], values[:k] / whole if whole > 0 else values[:k], "pca", normalise, {"n": n})
 
 
-def fit_lda(df: DataFrame, label: str, components: int, vec: str = "v", normalise: bool = True) -> Subspace:
-    """Discriminants in the space of the first n - c principal components; at least two labels."""
-    few = _few(df, vec, label)
+def fit_lda(df: DataFrame, label: str, components: int, vec: str = "v", normalise: bool = True, weight: str | None = None) -> Subspace:
+    """Discriminants in the space of the first n - c principal components; at least two labels. With ``weight`` a row counts as so many equal ones."""
+    few = None if weight else _few(df, vec, label)
     if few:
         x, names = few
         means = {k: (int((names == k).sum()), x[names == k].mean(0)) for k in sorted(set(names.tolist()))}
         n, mean = len(x), x.mean(0)
         base = np.linalg.svd(x - mean, full_matrices=False)[2].T
     else:
-        means, _ = m = moments(df, vec, label)
+        means, _ = m = moments(df, vec, label, weight)
         mean, within, between, n = scatter(m)
         w, v = np.linalg.eigh(within + between)
         base = v[:, np.argsort(-w, kind="stable")]
@@ -253,7 +256,7 @@ def cumulative(model: Subspace) -> np.ndarray:
 
 
 #: Extractors by name: what is fitted on (df, vec, label, components).
-EXTRACTORS: dict[str, Callable[..., Subspace]] = {"pca": lambda df, vec, label, k: fit_pca(df, k, vec), "lda": lambda df, vec, label, k: fit_lda(df, label, k, vec)}
+EXTRACTORS: dict[str, Callable[..., Subspace]] = {"pca": lambda df, vec, label, k, weight=None: fit_pca(df, k, vec, weight=weight), "lda": lambda df, vec, label, k, weight=None: fit_lda(df, label, k, vec, weight=weight)}
 
 
 def deep_extractor(path: str):

@@ -30,6 +30,9 @@ def problems(algorithm: Column, version: Column, model_id: Column, rows: Column,
     return F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in rules]))
 
 
+_INFO = "name string, algorithm string, version int, dimension int, components int, normalise boolean, checksum string, saved_at long, corrupt string"
+
+
 class Store:
     """A folder of models and one of backups."""
 
@@ -85,10 +88,25 @@ class Store:
         at = self._path(f"{self.root}/{kind}")
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
+    def catalogue(self) -> DataFrame:
+        """A row for each model's sidecar: its fields, ``folder``, and ``corrupt`` with the text of one that is no JSON of them.
+
+        One scan of all sidecars, whatever the number of models. Folders without one are not models.
+        """
+        at = f"{self.root}/models/*/info"
+        found = self._fs.globStatus(self._path(at))
+        if not found:
+            return self.spark.createDataFrame([], f"{_INFO}, folder string")
+        read = self.spark.read.schema(_INFO).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").json(at)
+        rows = read.select("*", F.regexp_extract("_metadata.file_path", r"/([^/]+)/info/[^/]+$", 1).alias("folder"))
+        lost = F.col("corrupt").isNull() & F.col("name").isNull()
+        return rows.withColumn("corrupt", F.when(lost, "the name is missing").otherwise(F.col("corrupt")))
+
     def models(self, algorithm: str | None = None) -> list[dict]:
-        """Info rows, last saved first; folders without one are skipped."""
-        out = [self.info(n) for n in self._names("models") if self.exists(n)]
-        return sorted((i for i in out if algorithm in (None, i["algorithm"])), key=lambda i: -i["saved_at"])
+        """Info rows, last saved first; folders without one and broken ones are skipped."""
+        rows = self.catalogue().where("corrupt IS NULL")
+        rows = rows if algorithm is None else rows.where(F.col("algorithm") == algorithm)
+        return sorted((r.asDict() for r in rows.drop("corrupt", "folder").collect()), key=lambda i: (-(i["saved_at"] or 0), i["name"]))
 
     def size(self) -> int:
         at = self._path(f"{self.root}/models")
@@ -132,6 +150,70 @@ class Store:
         return self.info(name)
 
 
+class Snapshots:
+    """Named sets of tables that are replaced in one step.
+
+    The tables of a snapshot are written to a folder of its own; then a numbered
+    manifest that names this folder is moved into place. Readers take the
+    manifest with the highest number, so they see all tables of the old snapshot
+    or all of the new one; what a failed writer leaves is named by no manifest.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, f"{root.rstrip('/')}/snapshots"
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _versions(self, name: str) -> list[int]:
+        found = self._fs.globStatus(self._path(f"{self.root}/{checked_name(name)}/manifest-*.json"))
+        return sorted(int(re.search(r"manifest-(\d+)\.json$", s.getPath().getName())[1]) for s in found or [])
+
+    def _write(self, path: str, text: str) -> None:
+        out = self._fs.create(self._path(path), False)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def publish(self, name: str, tables: dict[str, DataFrame], info: dict) -> int:
+        """Write ``tables`` and ``info``, then let readers see them; the version's number. A writer that comes second to a number takes the next."""
+        at = f"{self.root}/{checked_name(name)}"
+        data = f"data-{uuid.uuid4().hex}"
+        for key, df in tables.items():
+            df.write.parquet(f"{at}/{data}/{checked_name(key)}")
+        text = json.dumps({"data": data, "tables": sorted(tables), "info": info})
+        while True:
+            version = (self._versions(name) or [0])[-1] + 1
+            draft = f"{at}/.draft-{uuid.uuid4().hex}"
+            self._write(draft, text)
+            to = self._path(f"{at}/manifest-{version:010d}.json")
+            if not self._fs.exists(to) and self._fs.rename(self._path(draft), to):
+                return version
+            self._fs.delete(self._path(draft), False)
+
+    def manifest(self, name: str, version: int | None = None) -> dict | None:
+        known = self._versions(name)
+        if not known or (version is not None and version not in known):
+            return None
+        rows = self.spark.read.text(f"{self.root}/{name}/manifest-{version or known[-1]:010d}.json").collect()
+        return json.loads("\n".join(r[0] for r in rows))
+
+    def read(self, name: str, version: int | None = None) -> tuple[dict, dict[str, DataFrame]] | None:
+        """Info and tables of the last version, or of one by its number; nothing where there is none."""
+        found = self.manifest(name, version)
+        if found is None:
+            return None
+        at = f"{self.root}/{name}/{found['data']}"
+        return found["info"], {k: self.spark.read.parquet(f"{at}/{k}") for k in found["tables"]}
+
+    def prune(self, name: str, keep: int = 2) -> int:
+        """Delete all versions but the last ``keep``, and data that no manifest names; how many folders went. Not to be run beside a writer."""
+        known = self._versions(name)
+        for v in known[: max(len(known) - max(keep, 1), 0)]:
+            self._fs.delete(self._path(f"{self.root}/{name}/manifest-{v:010d}.json"), False)
+        live = {self.manifest(name, v)["data"] for v in self._versions(name)}
+        gone = [s.getPath() for s in self._fs.globStatus(self._path(f"{self.root}/{name}/data-*")) if s.getPath().getName() not in live]
+        return sum(self._fs.delete(g, True) for g in gone)
+
+
 def markdown(rows: list[dict], title: str = "Results") -> str:
     """A table of result rows; numbers with four decimals."""
     if not rows:
@@ -151,6 +233,43 @@ def html(rows: list[dict], title: str = "Results") -> str:
     return f"<!DOCTYPE html><html><head><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table><tr>{''.join(f'<th>{escape(c)}</th>' for c in cols)}</tr>{body}</table></body></html>"
 
 
+def comparison(results: DataFrame, name: str, measures: tuple[str, ...], larger: tuple[str, ...] | None = None) -> DataFrame:
+    """Each row of ``results`` with, for each measure, its rank (1: best), its difference from the best, and ``wins``: measures in which it is best.
+
+    Larger is better for the measures in ``larger`` (by default all), smaller for
+    the others. A null measure ranks last. Only few rows: one for each thing compared.
+    """
+    from pyspark.sql import Window
+
+    up = measures if larger is None else larger
+    out = results.select(name, *measures)
+    for m in measures:
+        best = (F.max if m in up else F.min)(m).over(Window.partitionBy())
+        order = F.desc_nulls_last(m) if m in up else F.asc_nulls_last(m)
+        out = out.withColumns({f"{m}_rank": F.rank().over(Window.partitionBy().orderBy(order)), f"{m}_from_best": F.abs(F.col(m) - best)})
+    wins = [F.when((F.col(f"{m}_rank") == 1) & F.col(m).isNotNull(), 1).otherwise(0) for m in measures]
+    return out.withColumn("wins", sum(wins[1:], wins[0]))
+
+
+def comparison_text(compared: DataFrame, name: str, measures: tuple[str, ...]) -> str:
+    """The comparison in words: a line for each measure with its best and its spread, and the one that wins most; ties by name."""
+    rows = [r.asDict() for r in compared.orderBy(name).collect()]
+    if not rows:
+        return "Nothing to compare.\n"
+    lines = []
+    for m in measures:
+        known = [r for r in rows if r[m] is not None]
+        if not known:
+            lines.append(f"{m}: not measured")
+            continue
+        best = min(known, key=lambda r: (r[f"{m}_rank"], r[name]))
+        spread = max(r[f"{m}_from_best"] for r in known)
+        lines.append(f"{m}: {best[name]} is best with {best[m]:.4f}; the others are up to {spread:.4f} away")
+    top = max(rows, key=lambda r: r["wins"])
+    lines.append(f"Overall: {top[name]} is best in {top['wins']} of {len(measures)}")
+    return "\n".join(lines) + "\n"
+
+
 def write_results(results: DataFrame, to: str, kind: str = "csv") -> None:
     """CSV with quotes doubled, or JSON lines without null fields, or Parquet."""
     w = results.write.mode("overwrite")

@@ -70,6 +70,23 @@ def outcome_counts(requests: DataFrame, outcome: str = "outcome") -> DataFrame:
     return requests.groupBy(outcome).agg(F.count("*").alias("n"))
 
 
+def put_batch(rows: DataFrame, batch: int, to: str) -> None:
+    """Write a batch of the enrolment log to a folder of its number; one that is delivered again takes its own place."""
+    rows.write.mode("overwrite").parquet(f"{to}/batch={batch}")
+
+
 def enrolment_stream(samples: DataFrame, to: str, checkpoint: str):
-    """Append enrolled samples of a stream to a Parquet table."""
-    return samples.writeStream.format("parquet").option("path", to).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Log the enrolled samples of a stream, each batch once, however often it is delivered after a restart."""
+    return samples.writeStream.foreachBatch(lambda rows, batch: put_batch(rows, batch, to)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def enrolled(log: DataFrame, key: tuple[str, ...], order: str | None = None) -> DataFrame:
+    """The log's last row for each key: of the highest batch, in it the one with the largest ``order``, of equal ones the largest by its JSON text.
+
+    ``log`` is the table that ``enrolment_stream`` writes, with its column ``batch``. The first rows to meet are
+    put together before the shuffle, so a key that is enrolled very often is not collected.
+    """
+    cols = [c for c in log.columns if c != "batch"]
+    whole = F.struct(*[F.col(f"`{c}`") for c in cols])
+    rank = F.struct(F.col("batch").cast("long"), *[F.col(order)] * (order is not None), F.to_json(whole))
+    return log.groupBy(*key).agg(F.max_by(whole, rank).alias("_row")).select("_row.*")
