@@ -22,35 +22,37 @@ from likeness.sources.store import Snapshots
 from likeness.runtime import table  # noqa: F401  part of the surface
 
 #: Detectors by name: raster, settings -> boxes, most confident first.
-DETECTORS: dict[str, Callable[..., list[dict]]] = {"none": lambda img: [], "skin": lambda img: I.skin_regions(img) if img.ndim == 3 else [], "haar": lambda img, cascade, **how: detect(img, cascade, **how)}
+DETECTORS: dict[str, Callable[..., list[dict]]] = {"none": lambda img: [], "skin": lambda img, **how: I.skin_regions(img, **how) if img.ndim == 3 else [], "haar": lambda img, cascade, **how: detect(img, cascade, **how)}
 SIZE = (48, 64)
 
 
-def preprocess(img: np.ndarray, detector: str = "none", size: tuple[int, int] = SIZE, align: bool = False, required: bool = False, cascade: Cascade | None = None) -> np.ndarray | None:
-    """Largest region, cropped, aligned, scaled and grey. Without a detector the image passes through.
+def preprocess(img: np.ndarray, detector: str = "none", size: tuple[int, int] = SIZE, align: bool = False, required: bool = False, cascade: Cascade | None = None, equalize: bool = False, options: dict | None = None) -> np.ndarray | None:
+    """Largest region, cropped, aligned, scaled and grey, and equalised if so wanted. Without a detector the image passes through.
 
-    Where none is found the whole image is used, or None returned if one is ``required``.
+    Where none is found the whole image is used, or None returned if one is ``required``. ``options`` are the detector's.
     """
+    done = I.equalize if equalize else lambda g: g
     if detector != "none":
-        found = DETECTORS[detector](img, cascade) if detector == "haar" else DETECTORS[detector](img)
+        how = options or {}
+        found = DETECTORS[detector](img, cascade, **how) if detector == "haar" else DETECTORS[detector](img, **how)
         if found:
             r = max(found, key=lambda b: b["w"] * b["h"])
             if align:
-                return I.align_region(img, r["x"], r["y"], r["w"], r["h"], *size)
+                return done(I.align_region(img, r["x"], r["y"], r["w"], r["h"], *size))
             img = I.crop(img, r["x"], r["y"], r["w"], r["h"])
         elif required:
             return None
-    return I.resize(I.gray(img), *size)
+    return done(I.resize(I.gray(img), *size))
 
 
-def raw_features(images: DataFrame, key: str, algorithm: str, **how) -> DataFrame:
-    """(key, v, quality, error): pixels for the subspace models, pattern histograms for "lbph". A failing image stays, with its error."""
+def raw_features(images: DataFrame, key: str, algorithm: str, patterns: dict | None = None, **how) -> DataFrame:
+    """(key, v, quality, error): pixels for the subspace models, pattern histograms for "lbph" (``patterns``: their grid and radius). A failing image stays, with its error."""
 
     def one(img: np.ndarray) -> dict:
         g = preprocess(img, **how)
         if g is None:
             raise ValueError("no face detected")
-        v = I.lbp_histogram(g) if algorithm == "lbph" else g.astype(float).ravel()
+        v = I.lbp_histogram(g, **(patterns or {})) if algorithm == "lbph" else g.astype(float).ravel()
         return {"v": v.tolist(), "quality": float(I.quality(img)["score"])}
 
     return I.map_images(images, one, "v array<double>, quality double", key)

@@ -37,12 +37,14 @@ def flat_label(name: Column, separator: str = "_") -> Column:
 
 
 def yale_label(name: Column) -> Column:
+    """The name, in lower case, up to its first dot, if it begins with "subject"."""
+    name = F.lower(name)
     return F.when(name.startswith("subject"), F.substring_index(name, ".", 1))
 
 
 def yale_condition(name: Column) -> Column:
-    """Text between the first and the last dot, else null."""
-    return F.nullif(F.regexp_extract(name, r"^[^.]*\.(.+)\.[^.]*$", 1), F.lit(""))
+    """Text between the first and the last dot, in lower case, else null."""
+    return F.nullif(F.regexp_extract(F.lower(name), r"^[^.]*\.(.+)\.[^.]*$", 1), F.lit(""))
 
 
 def words(s: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def active(identities: DataFrame) -> DataFrame:
@@ -60,9 +60,9 @@ def dataset_info(samples: DataFrame, label: str) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Of rows with one key the last by ``order``."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+    """Of rows with one key the last by ``order``; of equal ones the largest by its JSON text."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy(key).agg(F.max_by(whole, F.struct(F.col(order), F.to_json(whole))).alias("_row")).select("_row.*")
 
 
 def model_state(training: Column, failed: Column, trained: Column, samples: Column) -> Column:

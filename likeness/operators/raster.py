@@ -7,8 +7,11 @@ the order in which partial sums meet. Rows with a null position take no part.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from likeness.functions import colour
 from likeness.operators.graph import components as graph_components
 
 _WIDE = 1 << 32  # a position is y * _WIDE + x
@@ -169,3 +172,64 @@ def integral(pixels: DataFrame) -> DataFrame:
     s = pixels.withColumns({"s": F.sum(v).over(across), "q": F.sum(v * v).over(across)})
     s = s.withColumns({"s": F.sum("s").over(down), "q": F.sum("q").over(down)})
     return s.select("image_id", (F.col("y") + 1).cast("int").alias("y"), (F.col("x") + 1).cast("int").alias("x"), "s", "q")
+
+
+# -------------------------------------------------------------- neighbourhoods
+def neighbours(pixels: DataFrame) -> DataFrame:
+    """The pixels inside a picture with their eight neighbours n, ne, e, se, s, sw, w, nw; the border has not all of them and goes."""
+    across, down = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    p = pixels.select("image_id", "y", "x", "v").withColumns({"w": F.lag("v").over(across), "e": F.lead("v").over(across)})
+    p = p.withColumns({f"{a}{b}": f(b or "v").over(down) for a, f in (("n", F.lag), ("s", F.lead)) for b in ("", "w", "e")})
+    return p.where(" AND ".join(f"{k} IS NOT NULL" for k in ("n", "s", "w", "e", "nw", "ne", "sw", "se")))
+
+
+def patterns(pixels: DataFrame) -> DataFrame:
+    """(image_id, y, x, code): bit i of the local pattern is set where the neighbour at an eighth of a turn times i, one pixel away, is not darker.
+
+    Neighbours on the diagonals lie between pixels and are blended of four.
+    """
+    far = math.sqrt(0.5)
+
+    def blend(a: str, b: str, c: str, d: str, fx: float, fy: float) -> Column:
+        return F.floor((F.col(a) * (1 - fx) + F.col(b) * fx) * (1 - fy) + (F.col(c) * (1 - fx) + F.col(d) * fx) * fy + 0.5)
+
+    near = [F.col("e"), blend("n", "ne", "v", "e", far, 1 - far), F.col("n"), blend("nw", "n", "w", "v", 1 - far, 1 - far), F.col("w"), blend("w", "v", "sw", "s", 1 - far, far), F.col("s"), blend("v", "e", "s", "se", far, far)]
+    bits = [F.when(x >= F.col("v"), 1 << i).otherwise(0) for i, x in enumerate(near)]
+    return neighbours(pixels).select("image_id", "y", "x", sum(bits[1:], bits[0]).cast("int").alias("code"))
+
+
+def quality(pixels: DataFrame) -> DataFrame:
+    """(image_id, brightness, contrast, sharpness, score) of grey pictures; the weights are fixed values. A picture without an inside is not sharp."""
+    v = F.col("v") / F.lit(255.0)
+    own = pixels.groupBy("image_id").agg(F.avg(v).alias("brightness"), F.stddev_pop(v).alias("contrast"), (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    lap = 4 * F.col("v") - F.col("w") - F.col("e") - F.col("n") - F.col("s")
+    sharp = neighbours(pixels).groupBy("image_id").agg((F.sqrt(F.avg(lap * lap)) / 255).alias("sharpness"))
+    out = own.join(sharp, "image_id", "left").withColumn("sharpness", F.coalesce("sharpness", F.lit(0.0)))
+    one = lambda c: F.least(c, F.lit(1.0))
+    score = 0.2 * (1 - 2 * F.abs(F.col("brightness") - 0.5)) + 0.3 * one(4 * F.col("contrast")) + 0.3 * one(10 * F.col("sharpness")) + 0.2 * one(F.least("w", "h") / 160)
+    return out.select("image_id", "brightness", "contrast", "sharpness", score.alias("score"))
+
+
+def skin(pixels: DataFrame, adaptive: bool = True, most: int = 10_000) -> DataFrame:
+    """(image_id, y, x, skin) of colour pixels (image_id, y, x, r, g, b), by hue, saturation and value and by chroma.
+
+    ``adaptive``: in a picture whose saturation or value is low on average, both
+    ends of that range move by a margin; the average is over every n-th pixel in
+    row-major order, about ``most`` of them.
+    """
+    p = pixels.withColumn("k", colour.hsv(F.col("r"), F.col("g"), F.col("b"))).withColumn("m", colour.ycbcr(F.col("r"), F.col("g"), F.col("b")))
+    low, high = [list(map(F.lit, x)) for x in (colour.SKIN_LOW, colour.SKIN_HIGH)]
+    if adaptive:
+        side = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("_w"), F.count("*").alias("_n"))
+        sized = p.join(side, "image_id")
+        step = F.greatest(F.floor(F.col("_n") / F.least(F.col("_n"), F.lit(most))), F.lit(1))
+        drawn = (F.col("y") * F.col("_w") + F.col("x")) % step == 0
+        mean = sized.where(drawn).groupBy("image_id").agg(F.avg("k.s").alias("_s"), F.avg("k.v").alias("_v"))
+        p = p.join(mean, "image_id")
+        by = [F.lit(0.02), F.when(F.col("_s") < 0.3, 0.1).otherwise(0.0), F.when(F.col("_v") < 0.4, 0.1).otherwise(0.0)]
+        low = [F.greatest(F.lit(0.0), x - d) for x, d in zip(low, by)]
+        high = [F.least(F.lit(1.0), x + d) for x, d in zip(high, by)]
+    h = F.col("k.h")
+    inside = lambda c, i: (F.col(c) >= low[i]) & (F.col(c) <= high[i])
+    by_hue = (inside("k.h", 0) | ((h > 0.9) & (h <= 1.0))) & inside("k.s", 1) & inside("k.v", 2)
+    return p.select("image_id", "y", "x", (by_hue & colour.skin_ycbcr(F.col("m.cb"), F.col("m.cr"))).alias("skin"))

@@ -79,12 +79,13 @@ def rectangle_sum(spark, sf):
     return total.groupBy("image_id").agg(F.sum(sign * c("total")).alias("total"))
 
 
-@query(f"WITH {X.PAIRS_SQL} SELECT vec_id, CASE WHEN len(v) = len(CASE WHEN vec_id % 2 = 1 THEN list_slice(u, 1, len(u) - 1) ELSE u END) THEN 'fits' ELSE 'differs' END AS guard FROM pairs")
+@query(f"WITH {X.PAIRS_SQL}, s AS (SELECT vec_id, v, CASE WHEN vec_id % 2 = 1 THEN list_slice(u, 1, len(u) - 1) ELSE u END AS u FROM pairs) SELECT vec_id, CASE WHEN len(v) = len(u) THEN 'fits' ELSE 'differs' END AS guard, CASE WHEN len(v) = len(u) THEN round(list_sum(list_transform(list_zip(v, u), lambda t: t[1] * t[2])), 6) END AS dot FROM s")
 def dimension_guard(spark, sf):
-    """Vectors of another length are never compared: every second one is cut short here."""
+    """Vectors of another length are never compared: every second one is cut short here. The guard raises for those that reach it."""
     short = F.when(c("vec_id") % 2 == 1, F.slice("u", 1, F.size("u") - 1)).otherwise(c("u"))
-    fits = V.compatible(c("v"), F.lit(""), short, F.lit(""))
-    return X.pairs(spark, sf).select("vec_id", F.when(fits, "fits").otherwise("differs").alias("guard"))
+    own = X.pairs(spark, sf).select("vec_id", "v", short.alias("u"))
+    fits = V.compatible(c("v"), F.lit(""), c("u"), F.lit(""))
+    return own.select("vec_id", F.when(fits, "fits").otherwise("differs").alias("guard"), F.round(F.when(fits, V.checked(c("v"), c("u"), V.dot(c("v"), c("u")))), 6).alias("dot"))
 
 
 @query(f"WITH {X.BOXES_SQL} SELECT image_id, box_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, w * h DESC, box_id) AS BIGINT) AS place FROM boxes")

@@ -123,6 +123,12 @@ def box_merge_detections(spark, sf):
     return B.merged_detections(X.boxes(spark, sf), 0.1, 1)
 
 
+@query("SELECT image_id, box_id, x, y, w, h, confidence FROM (" + _GROUPS_SQL.replace(">= 0.1", ">= 0.2").replace("AS confidence\nFROM merged", "AS confidence, n\nFROM merged").strip().replace("WITH RECURSIVE", "WITH RECURSIVE", 1) + ") WHERE n >= 2")
+def box_merge_members(spark, sf):
+    """Groups of two and more, linked by an overlap of a fifth."""
+    return B.merged_detections(X.boxes(spark, sf), 0.2, 2)
+
+
 @query(f"WITH {X.BOXES_SQL} SELECT image_id, box_id, round(sqrt(w * w + h * h), 6) AS eyes, round(degrees(atan2(CAST(h AS DOUBLE), CAST(w AS DOUBLE))), 6) AS angle, CAST((x + x + w) // 2 AS INTEGER) AS mid, round(sqrt(w * w + h * h) / 60.0, 6) AS scale FROM boxes")
 def landmark_geometry(spark, sf):
     p = c("x"), c("y"), c("x") + c("w"), c("y") + c("h")
@@ -164,11 +170,6 @@ def pixel_skin_mask(spark, sf):
     return own.groupBy(skin.alias("skin")).agg(F.count("*").alias("n"))
 
 
-@query("WITH u AS (SELECT CAST(i AS INTEGER) AS code, ((i << 1) & 255) | (i >> 7) AS t FROM range(0, 256) r(i)) SELECT code, bit_count(xor(code, CAST(t AS INTEGER))) <= 2 AS uniform FROM u")
-def lbp_uniform(spark, sf):
-    return spark.range(256).select(c("id").cast("int").alias("code")).select("code", K.is_uniform(c("code")).alias("uniform"))
-
-
 # ------------------------------------------------------------------- pictures
 def _row():
     return Window.partitionBy("image_id", "y").orderBy("x")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from likeness.operators import haar, raster
+from likeness.functions import colour as K
+from likeness.operators import gallery as G, haar, raster
 from likeness.plans import fixtures as X
 from likeness.plans.catalogue import query
 
@@ -170,3 +171,75 @@ SELECT image_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(w AS INT
 def cascade_windows(spark, sf):
     """All windows of every picture that pass the two stages, at four scales."""
     return haar.windows(X.pixels(spark, sf), CASCADE, 4, 1.25)
+
+
+_AROUND = X.PIXELS_SQL + """, r AS (
+  SELECT *, lag(v) OVER q AS w, lead(v) OVER q AS e FROM pixels WINDOW q AS (PARTITION BY image_id, y ORDER BY x)
+), around AS (
+  SELECT * FROM (SELECT *, lag(v) OVER d AS n, lead(v) OVER d AS s, lag(w) OVER d AS nw, lag(e) OVER d AS ne, lead(w) OVER d AS sw, lead(e) OVER d AS se FROM r WINDOW d AS (PARTITION BY image_id, x ORDER BY y))
+  WHERE nw IS NOT NULL AND ne IS NOT NULL AND sw IS NOT NULL AND se IS NOT NULL AND n IS NOT NULL AND s IS NOT NULL AND w IS NOT NULL AND e IS NOT NULL
+)"""
+
+
+def _blend(a, b, d, e, fx, fy):
+    far, close = "sqrt(0.5::DOUBLE)", "(1 - sqrt(0.5::DOUBLE))"
+    gx, gy = {"far": f"(1 - {far})", "close": f"(1 - {close})"}[fx], {"far": f"(1 - {far})", "close": f"(1 - {close})"}[fy]
+    fx, fy = {"far": far, "close": close}[fx], {"far": far, "close": close}[fy]
+    return f"floor(({a} * {gx} + {b} * {fx}) * {gy} + ({d} * {gx} + {e} * {fx}) * {fy} + 0.5)"
+
+
+_CODES = _AROUND + f""", codes AS (
+  SELECT image_id, y, x, CAST(e >= v AS INT) + 2 * CAST({_blend("n", "ne", "v", "e", "far", "close")} >= v AS INT) + 4 * CAST(n >= v AS INT)
+         + 8 * CAST({_blend("nw", "n", "w", "v", "close", "close")} >= v AS INT) + 16 * CAST(w >= v AS INT) + 32 * CAST({_blend("w", "v", "sw", "s", "close", "far")} >= v AS INT)
+         + 64 * CAST(s >= v AS INT) + 128 * CAST({_blend("v", "e", "s", "se", "far", "far")} >= v AS INT) AS code
+  FROM around
+)"""
+
+
+@query(f"WITH {_CODES} SELECT image_id, y, x, CAST(code AS INTEGER) AS code FROM codes")
+def lbp_codes(spark, sf):
+    """The full local pattern of every pixel inside a picture."""
+    return raster.patterns(X.pixels(spark, sf))
+
+
+@query(f"WITH {_CODES} SELECT CAST(code AS INTEGER) AS code, count(*) AS n, len(list_filter(range(0, 8), lambda i: ((code >> i) & 1) <> ((code >> ((i + 1) % 8)) & 1))) <= 2 AS uniform FROM codes GROUP BY code")
+def lbp_uniform(spark, sf):
+    """How often each local pattern occurs, and whether its bits, in a circle, change at most twice."""
+    return lbp_codes(spark, sf).groupBy("code").agg(F.count("*").alias("n")).select("code", "n", K.is_uniform(c("code")).alias("uniform"))
+
+
+@query(f"""
+WITH {_AROUND}, b AS (
+  SELECT image_id, avg(v / 255.0::DOUBLE) AS b, stddev_pop(v / 255.0::DOUBLE) AS c, max(x) + 1 AS w, max(y) + 1 AS h FROM pixels GROUP BY image_id
+), l AS (
+  SELECT image_id, sqrt(avg((4 * v - w - e - n - s) * (4 * v - w - e - n - s))) / 255 AS s FROM around GROUP BY image_id
+), q AS (
+  SELECT image_id, round(0.2 * (1 - 2 * abs(b - 0.5)) + 0.3 * least(4 * c, 1) + 0.3 * least(10 * s, 1) + 0.2 * least(least(w, h) / 160.0::DOUBLE, 1), 6) AS score FROM b JOIN l USING (image_id)
+)
+SELECT image_id, score, score >= 0.63 AS kept FROM q
+""")
+def quality_gate(spark, sf):
+    """The quality score of every picture, and whether it passes the gate."""
+    return raster.quality(X.pixels(spark, sf)).withColumn("score", F.round("score", 6)).select("image_id", "score", G.meets_quality(c("score"), 0.63).alias("kept"))
+
+
+_COLOURS = "colours AS (SELECT image_id, y, x, v AS r, (v * 3 + y * 20) % 256 AS g, (v * 2 + x * 9) % 256 AS b FROM pixels)"
+
+
+@query(f"""
+WITH {X.PIXELS_SQL}, {_COLOURS}, k AS (
+  SELECT *, CASE WHEN d = 0 THEN 0 WHEN rf = top THEN ((gf - bf) / d + CASE WHEN gf < bf THEN 6 ELSE 0 END) / 6 WHEN gf = top THEN ((bf - rf) / d + 2) / 6 ELSE ((rf - gf) / d + 4) / 6 END AS h,
+         CASE WHEN top = 0 THEN 0 ELSE d / top END AS s, trunc(128.0::DOUBLE - r * 0.169::DOUBLE - g * 0.331::DOUBLE + b * 0.5::DOUBLE) AS cb, trunc(128.0::DOUBLE + r * 0.5::DOUBLE - g * 0.419::DOUBLE - b * 0.081::DOUBLE) AS cr
+  FROM (SELECT *, greatest(rf, gf, bf) AS top, greatest(rf, gf, bf) - least(rf, gf, bf) AS d FROM (SELECT *, r / 255.0::DOUBLE AS rf, g / 255.0::DOUBLE AS gf, b / 255.0::DOUBLE AS bf FROM colours))
+), m AS (
+  SELECT image_id, CASE WHEN avg(s) FILTER (WHERE (y * 8 + x) % 3 = 0) < 0.3 THEN 0.1::DOUBLE ELSE 0 END AS ds, CASE WHEN avg(top) FILTER (WHERE (y * 8 + x) % 3 = 0) < 0.4 THEN 0.1::DOUBLE ELSE 0 END AS dv FROM k GROUP BY image_id
+)
+SELECT image_id, y, x, ((h >= greatest(0, 0 - 0.02::DOUBLE) AND h <= 0.14::DOUBLE + 0.02::DOUBLE) OR (h > 0.9 AND h <= 1)) AND s >= 0.1::DOUBLE - ds AND s <= 0.7::DOUBLE + ds
+       AND top >= 0.2::DOUBLE - dv AND top <= least(1, 0.95::DOUBLE + dv) AND cb BETWEEN 77 AND 127 AND cr BETWEEN 133 AND 173 AS skin
+FROM k JOIN m USING (image_id)
+""")
+def skin_adaptive(spark, sf):
+    """The skin mask of every picture in colour, its ranges widened by the averages over every third pixel."""
+    v = c("v")
+    seen = X.pixels(spark, sf).select("image_id", "y", "x", v.alias("r"), ((v * 3 + c("y") * 20) % 256).alias("g"), ((v * 2 + c("x") * 9) % 256).alias("b"))
+    return raster.skin(seen, most=20)

@@ -75,11 +75,6 @@ def status_summary(spark, sf):
     return out.withColumn("percent", F.round(F.lit(100.0) * c("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6))  # a row for each status
 
 
-@query("SELECT count(*) AS samples, count(*) FILTER (quality = 1) AS kept, round(avg(CAST(quality = toxic AS INT)), 6) AS agreement FROM labels")
-def quality_gate(spark, sf):
-    return table(spark, sf, "labels").agg(F.count("*").alias("samples"), F.count_if(c("quality") == 1).alias("kept"), F.round(F.avg((c("quality") == c("toxic")).cast("double")), 6).alias("agreement"))
-
-
 @query("SELECT CAST(sum(strlen(html)) AS BIGINT) AS bytes, count(*) AS n FROM pages")
 def storage_size(spark, sf):
     return table(spark, sf, "pages").agg(F.sum(F.octet_length("html").cast("long")).alias("bytes"), F.count("*").alias("n"))

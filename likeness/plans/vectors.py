@@ -121,11 +121,6 @@ def knn_alternatives_floor(spark, sf):
     return alts.select("probe_id", F.array_join(names, ",").alias("names")).where(c("names") != "")
 
 
-@query(f"WITH {X.GALLERY_SQL} SELECT identity, CAST(p AS INTEGER) AS p, round(avg(x), 6) AS x FROM (SELECT identity, unnest(range(len(v))) AS p, unnest(v) AS x FROM gallery) GROUP BY ALL")
-def identity_centroids(spark, sf):
-    return M.centroids(X.gallery(spark, sf)).select("identity", F.posexplode("v").alias("p", "x")).withColumn("x", r6("x"))
-
-
 @query(f"WITH {X.VECTORS_SQL} SELECT identity, CAST(p AS INTEGER) AS p, round(avg(x), 6) AS x FROM (SELECT identity, unnest(range(len(v))) AS p, unnest(v) AS x FROM vectors) GROUP BY ALL")
 def identity_means(spark, sf):
     """The mean of all vectors of each identity; nothing is held out."""

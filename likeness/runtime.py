@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import zipfile
 
@@ -44,14 +45,17 @@ def ship(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (as in tests) is a local one set. Never a local checkpoint: the
-    copies must survive the loss of an executor.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a
+    session in one process (as in tests) gets a temporary one; on a cluster it is
+    an error. Never a local checkpoint: the copies must survive the loss of an
+    executor.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         conf = sc.getConf().get("spark.checkpoint.dir", None)
+        if conf is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="likeness-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -62,8 +62,15 @@ def _glob(suffixes: tuple[str, ...]) -> str:
     return "*.{" + ",".join(x for s in suffixes for x in (s, s.upper(), s.capitalize())) + "}"
 
 
-def images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = text.IMAGE_SUFFIXES, recursive: bool = False, size: tuple[int, int] | None = SIZE, to_gray: bool = True, keep_bad: bool = False) -> DataFrame:
-    """path, width, height, channels, data of the image files of any of the formats under a folder."""
+def images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = text.IMAGE_SUFFIXES, recursive: bool = False, size: tuple[int, int] | None = SIZE, to_gray: bool = True, keep_bad: bool = False, strict: bool = False) -> DataFrame:
+    """path, width, height, channels, data of the image files of any of the formats under a folder.
+
+    ``strict``: a file that cannot be decoded fails the job with its path, rather than being dropped or kept.
+    """
+    if strict:
+        kept = images(spark, path, suffixes, recursive, size, to_gray, keep_bad=True)
+        data = F.when(F.col("data").isNotNull(), F.col("data")).otherwise(F.raise_error(F.concat(F.lit("cannot be decoded: "), F.col("path"))).cast("binary"))
+        return kept.select("path", "width", "height", "channels", data.alias("data"))
     out = None
     if "pgm" in suffixes:
         out = decoded(files(spark, path, _glob(("pgm",)), recursive), size, to_gray, keep_bad)
@@ -101,6 +108,17 @@ def decoded_by_spark(spark: SparkSession, path: str, suffixes: tuple[str, ...] =
     return src.mapInArrow(run, "path string, width int, height int, channels int, data binary")
 
 
+def one(spark: SparkSession, path: str, size: tuple[int, int] | None = None, to_gray: bool = False) -> DataFrame:
+    """The row of one image file. A file that is missing or no image raises at once, one that cannot be decoded when the row is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise FileNotFoundError(path)
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix not in text.IMAGE_SUFFIXES:
+        raise ValueError(f"{path} has no image's suffix")
+    return images(spark, path, (suffix,), size=size, to_gray=to_gray, strict=True)
+
+
 def undecoded(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """suffix, n: the image files under a folder that no decoder can read."""
     bad = images(spark, path, recursive=recursive, size=None, keep_bad=True).where(F.col("data").isNull())
@@ -113,10 +131,9 @@ def orl(spark: SparkSession, path: str, **how) -> DataFrame:
 
 
 def yale(spark: SparkSession, path: str, **how) -> DataFrame:
-    """One folder; names subjectNN.condition.ext. Files named for their condition only are PGM or GIF by their content."""
+    """One folder; names subjectNN.condition.ext in any case. Files without an image's suffix take no part."""
     name = text.base_name(F.col("path"))
-    bare = decoded(files(spark, path).where(~text.is_image(F.col("path"))), **how)
-    found = images(spark, path, **how).unionByName(bare).withColumn("label", text.yale_label(name)).where(F.col("label").isNotNull())
+    found = images(spark, path, **how).withColumn("label", text.yale_label(name)).where(F.col("label").isNotNull())
     return found.withColumn("metadata", F.create_map(F.lit("condition"), text.yale_condition(name)))
 
 

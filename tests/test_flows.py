@@ -10,9 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from likeness import api
-from likeness.operators import images, matching, models
-from likeness.sources import headers, store
+from likeness import api, settings
+from likeness.operators import gallery, haar, images, matching, models
+from likeness.sources import headers, images as readers, store
 from likeness.streaming import requests
 
 RASTER = "width int, height int, channels int, data binary"
@@ -214,3 +214,52 @@ def test_comparison_in_words(spark):
     text = store.comparison_text(got, "algorithm", ("accuracy", "ms"))
     assert text.splitlines()[0].startswith("accuracy: lbph is best with 0.9500") and "ms: pca is best with 12.0000" in text
     assert store.comparison_text(got.where("false"), "algorithm", ("ms",)) == "Nothing to compare.\n"
+
+
+def test_strict_readers_raise(spark, tmp_path):
+    (tmp_path / "good.pgm").write_bytes(images.write_pgm(face(1, 1)))
+    (tmp_path / "bad.pgm").write_bytes(b"P5 broken")
+    (tmp_path / "Subject02.Happy.pgm").write_bytes(images.write_pgm(face(1, 1)))
+    (tmp_path / "subject03").write_bytes(images.write_pgm(face(1, 1)))
+    at = f"file://{tmp_path}"
+    assert readers.one(spark, f"{at}/good.pgm").collect()[0].width == 48
+    with pytest.raises(FileNotFoundError):
+        readers.one(spark, f"{at}/none.pgm")
+    with pytest.raises(ValueError):
+        readers.one(spark, f"{at}/subject03")
+    for failing in (readers.one(spark, f"{at}/bad.pgm"), readers.images(spark, at, strict=True)):
+        with pytest.raises(Exception, match="cannot be decoded: .*bad.pgm"):
+            failing.collect()
+    assert readers.images(spark, at).count() == 2
+    assert [(r.label, r.metadata) for r in readers.yale(spark, at).collect()] == [("subject02", {"condition": "happy"})]
+
+
+def test_settings_choose_the_parts(spark):
+    assert settings.settings()["classification.metric"] == "euclidean"
+    for bad in ({"detection.type": "eyes"}, {"nothing": 1}, {"image.width": "3"}, {"quality.on_enrol": "maybe"}, {"recognition.threshold": "x"}):
+        with pytest.raises(ValueError):
+            settings.settings(bad)
+    spark.conf.set("spark.likeness.extraction.algorithm", "LDA")
+    spark.conf.set("spark.likeness.recognition.threshold", "0.0")
+    try:
+        own = settings.from_session(spark)
+    finally:
+        spark.conf.unset("spark.likeness.extraction.algorithm")
+        spark.conf.unset("spark.likeness.recognition.threshold")
+    assert own["extraction.algorithm"] == "lda" and own["recognition.threshold"] == 0.0
+    with pytest.raises(ValueError):
+        settings.configured(spark, {"detection.type": "haar"})
+    rows = [(f"P{i}", f"s{n}", 48, 64, 1, bytearray(face(i, n).tobytes())) for i in range(3) for n in range(3)]
+    people = spark.createDataFrame(rows, "name string, sample_id string, " + RASTER)
+    probes = spark.createDataFrame([(i, 48, 64, 1, bytearray(face(i, 4).tobytes())) for i in range(3)], "probe_id long, " + RASTER)
+    for given in ({"extraction-algorithm".replace("-", "."): "lbph", "extraction.lbph.grid": 4, "classification.metric": "chi_square"}, {"extraction.algorithm": "lda", "classification.average": "true"}):
+        who = settings.configured(spark, {**given, "recognition.threshold": 0.0, "image.width": 40, "image.height": 50, "quality.min_score": 0.0}).enroll(people).train()
+        got = {r.probe_id: r.name for r in who.recognize(probes).collect()}
+        assert got == {i: f"P{i}" for i in range(3)}
+    who = settings.configured(spark, {"detection.type": "haar", "recognition.threshold": 0.0}, haar.Cascade(12, 12, [(9.0, [(0, 0.0, 1.0, 1.0)])], [[(0, 0, 12, 12, 1.0)]]))
+    assert {r.status for r in settings.Recognizer(trained(spark), who.settings, who.cascade).recognize(probes).collect()} == {"NO_FACE_DETECTED"}
+
+
+def test_the_last_row_of_equal_ones_is_fixed(spark):
+    df = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 4, "z"), (None, 1, "n"), (2, None, "m")], "k int, o int, v string")
+    assert sorted((r.k or 0, r.v) for r in gallery.last_wins(df, "k", "o").collect()) == [(0, "n"), (1, "b"), (2, "m")]

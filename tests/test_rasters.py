@@ -146,6 +146,31 @@ def test_cascade_windows_equal_the_array_kernel(spark):
     assert haar.windows(table(spark, {1: np.zeros((3, 3), int)}), c, 4).count() == 0
 
 
+def test_patterns_and_quality_equal_the_array_kernels(spark):
+    own = pictures()
+    got = {}
+    for r in raster.patterns(table(spark, own)).collect():
+        got.setdefault(r.image_id, {})[r.y, r.x] = r.code
+    for i, g in own.items():
+        want = {k: int(v) for k, v in np.ndenumerate(images.lbp(g)) if 0 < k[0] < g.shape[0] - 1 and 0 < k[1] < g.shape[1] - 1}
+        assert got.get(i, {}) == want
+    for r in raster.quality(table(spark, own)).collect():
+        want = images.quality(own[r.image_id])
+        assert all(abs(r[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("adaptive", [True, False])
+def test_skin_equals_the_array_kernel(spark, adaptive):
+    r = np.random.default_rng(6)
+    skin = lambda h, w, spread, dark: np.clip(np.array([190, 140, 115]) * dark + r.normal(0, spread, (h, w, 3)), 0, 255).astype(int)
+    own = {1: skin(20, 15, 30, 1.0), 2: skin(12, 12, 20, 0.4), 3: np.full((6, 6, 3), 90), 4: r.integers(0, 256, (10, 10, 3)), 5: skin(130, 110, 40, 0.9)}
+    rows = [(i, y, x, *map(int, g[y, x])) for i, g in own.items() for y in range(g.shape[0]) for x in range(g.shape[1])]
+    frame = spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int")
+    got = {(p.image_id, p.y, p.x): p.skin for p in raster.skin(frame, adaptive).collect()}
+    want = {(i, y, x): bool(m[y, x]) for i, g in own.items() for m in [images.skin_mask(g, adaptive=adaptive)] for y in range(g.shape[0]) for x in range(g.shape[1])}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
 def test_curve_equals_splitting_anew(spark, monkeypatch):
     r = np.random.default_rng(4)
     rows = [(2**40 + i, f"p{i % 7}", r.normal(size=5).tolist()) for i in range(90)]
