@@ -107,6 +107,62 @@ def test_counts_after_edits_equal_a_full_count(seed):
     assert got["n_chars_after"].tolist() == [len(x) for x in after]
 
 
+SCRIPTS = {
+    "japanese": "本日は晴天なり今日も良い天気ですね東京都に住んでいる人々は毎日電車で会社へ通い",
+    "japanese_marks": "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。",
+    "cyrillic": "съешьжеещёэтихмягкихфранцузскихбулокдавыпейчаю",
+    "cyrillic_words": "Все счастливые семьи похожи друг на друга, каждая несчастливая. ",
+    "code": "for(i=0;i<n;++i){a[i]=b[i]*c+=d_e(f->g);}",
+    "digits": "31415926535897932384626433832795028841971",
+    "markup": '<div class="a|b"><p id=7>x|y</p></div>',
+    "marks": "=-=-=-~~~~....!!!!",
+    "white": " " * 37 + "\n",
+    "one_word": "abcdefghijklmnopqrstuvwxyz",
+    "joined": "e\u0301👩‍👩‍👧‍👦ﷺ",
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_an_edit_costs_little_in_any_script(script):
+    r = random.Random(len(script))
+    enc = bpe.Encoder(bpe.Bpe(BYTE))
+    t = Tokenizer.from_file(BYTE)
+    size = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    bits = ["", "7", "本", "xy", " ", "'s", "'", ".", "ж", "\n", "<|endoftext|>", "ing", "00"]
+    text = (SCRIPTS[script] * 400)[:4000]
+    edits = [[(r.randint(0, 4000), r.choice([0, 1, 3]), r.choice(bits))] for _ in range(60)] + [[(2000, 0, "")], [(0, 1, "")], [(4000, 0, "x")]]
+    got = token_counts.count_chunk(enc, [text] * len(edits), edits)
+    assert got["n_tokens_after"].tolist() == [size(token_counts.edited(text, e)) for e in edits]
+    assert max(got["n_chars_encoded"]) < 200, script
+    many = [[(r.randint(0, 4000), r.choice([0, 1, 3, 40]), r.choice(bits)) for _ in range(r.randint(2, 25))] for _ in range(40)]
+    near = [[(1990 + r.randint(0, 20), r.choice([0, 1, 2]), r.choice(bits)) for _ in range(30)] for _ in range(10)]
+    got = token_counts.count_chunk(enc, [text] * 50, many + near)
+    assert got["n_tokens_after"].tolist() == [size(token_counts.edited(text, e)) for e in many + near]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_edits_around_special_tokens_and_cuts(seed):
+    r = random.Random(seed)
+    enc = bpe.Encoder(bpe.Bpe(BYTE))
+    t = Tokenizer.from_file(BYTE)
+    size = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    bits = ["<|endoftext|>", "<|", "|>", "endof", "text", " ", "  ", "\n", "a", "'re", "'", "12", "本日", "." * 60, "z" * 70, "é", "<"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(150)]
+    edits = [[(r.randint(0, 300), r.choice([0, 1, 2, 5, 13, 90]), r.choice(["", *bits])) for _ in range(r.randint(1, 8))] for _ in texts]
+    got = token_counts.count_chunk(enc, texts, edits)
+    assert got["n_tokens"].tolist() == [size(x) for x in texts]
+    assert got["n_tokens_after"].tolist() == [size(token_counts.edited(x, e)) for x, e in zip(texts, edits)]
+    assert got["n_chars_after"].tolist() == [len(token_counts.edited(x, e)) for x, e in zip(texts, edits)]
+
+
+def test_counts_of_odd_tables(spark):
+    schema = "doc_id long, text string, edits array<struct<at:long,delete:long,insert:string>>, n_tokens string, _text string, _edits int"
+    rows = [(1, "a b", [(1, 0, "x"), None, (None, None, None)], "n", "t", 1), (1, "a b", [(1, 0, "x"), None, (None, None, None)], "n", "t", 1), (None, None, None, None, None, None)]
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_edits, r.n_tokens_after) for r in token_counts.count_edits(spark.createDataFrame(rows, schema), BYTE).collect())
+    assert got == [(0, 0, 0, 0), (1, 2, 2, 2), (1, 2, 2, 2)]
+    assert token_counts.count_edits(spark.createDataFrame([], schema), BYTE).count() == 0
+
+
 def test_only_regions_are_encoded(spark):
     docs = spark.createDataFrame([(1, "plain words " * 1000, [(600, 0, " new")]), (2, None, [(0, 5, "x")]), (3, "abc", None)], "doc_id long, text string, edits array<struct<at:long,delete:long,insert:string>>")
     got = {r.doc_id: r for r in token_counts.count_edits(docs, BYTE).collect()}
