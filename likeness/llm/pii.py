@@ -330,7 +330,8 @@ def stretches(t: str) -> list[list[tuple[int, int]]]:
     """Spans of pieces in runs that hold every live piece of the text, FREE + SEEN pieces before and after it. No two runs share a piece."""
     out: list[list[tuple[int, int]]] = []
     last = 0  # end of the last piece that is in a run
-    for m in _LIVE.finditer(t):
+    m = _LIVE.search(t)
+    while m:  # once for each live piece, however many of its letters are
         if m.start() >= last:
             s = m.start()
             while s > last and not t[s - 1].isspace():
@@ -347,12 +348,14 @@ def stretches(t: str) -> list[list[tuple[int, int]]]:
         else:  # within the pieces that follow an earlier live one
             while out[-1][-1][0] > m.start():
                 out[-1].pop()
+        done = out[-1][-1][1]
         for _ in range(FREE + SEEN):
             found = _PIECE.search(t, out[-1][-1][1])
             if not found:
                 break
             out[-1].append(found.span())
         last = out[-1][-1][1]
+        m = _LIVE.search(t, done)
     return out
 
 

@@ -33,10 +33,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, eligible
         draw = draw | ((F.col("label") == label) & (turn <= min(up_to, 2**63 - 1)))
     few = known.where(draw).withColumn("turn", turn)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    rows = texts.join(F.broadcast(few), "doc_id").orderBy("turn", "text").limit(int(3 * per_class)).select("doc_id", "label", "text").collect()
+    one = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "label", "turn").agg(F.min("text").alias("text"))  # a repeated id takes one place
+    rows = one.orderBy("turn", "doc_id").limit(int(3 * per_class)).select("doc_id", "label", "text").collect()
     out_t, out_l, seen, taken = [], [], set(), {0: 0, 1: 0}
     for r in rows:
-        if r["doc_id"] not in seen and taken[r["label"]] < 1.5 * per_class:
+        if taken[r["label"]] < 1.5 * per_class:
             seen.add(r["doc_id"])
             taken[r["label"]] += 1
             out_t.append(r["text"])

@@ -165,6 +165,8 @@ _PAD = re.compile(r"={0,2}")
 _START = re.compile(r"(?:^|(?<=[/_-]))[Mb]")
 _SSH_BEGIN = "b3BlbnNzaC1rZXktdjE"
 _ALL_HEX = re.compile(r"[0-9A-Fa-f]+")
+#: Digits of a key within a run or on lines, at most: over three times those of the largest in use. A run that is a key as a whole may be longer.
+LONGEST_KEY = 1 << 16
 
 
 def is_encrypted_body(head: str, data: bytes) -> bool:
@@ -173,8 +175,8 @@ def is_encrypted_body(head: str, data: bytes) -> bool:
     return bool(m and _ENCRYPTED.search(head)) and len(m[1]) in (16, 32) and len(data) >= 24 and len(data) % (len(m[1]) // 2) == 0
 
 
-def key_at(text: str, s: int) -> tuple[int, int] | None:
-    """(kind, end) of the base64 key that begins at ``s``, on one line or on lines of one width."""
+def key_at(text: str, s: int, stop: int) -> tuple[int, int] | None:
+    """(kind, end) of the base64 key that begins at ``s``, on one line, whose digits end at ``stop``, or on lines of one width."""
     need = None  # digits by the length that the structure's first bytes give
     if text[s] == "M":
         data = from_base64(text[s : s + 8])
@@ -186,8 +188,10 @@ def key_at(text: str, s: int) -> tuple[int, int] | None:
         need = -(-4 * (2 + k + (int.from_bytes(data[2 : 2 + k], "big") if k else data[1])) // 3)
     elif not text.startswith(_SSH_BEGIN, s):
         return None
-    m = _LINE.match(text, s)
-    width, got, end = m.end() - s, [m[0]], m.end()
+    width = stop - s
+    if width > (LONGEST_KEY if need is None else need) or (need or 0) > LONGEST_KEY:
+        return None
+    got, end = [text[s:stop]], stop
     size, ends = width, []
     while need is None or size < need:
         m = _NEXT.match(text, end)
@@ -200,6 +204,8 @@ def key_at(text: str, s: int) -> tuple[int, int] | None:
         end = m.end()
         if len(m[1]) < width:
             break
+        if size > LONGEST_KEY:
+            return None
     if need is not None and size != need:
         return None
     for n, end in [*([] if need else ends), (len(got), end)][::-1]:
@@ -211,17 +217,22 @@ def key_at(text: str, s: int) -> tuple[int, int] | None:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what decodes and parses."""
-    out, taken = [], []
+    out, blocks = [], []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
             data = from_base64(m[3].replace("\\n", "").replace("\\r", "").replace("\\", ""))
             if data and (is_private_der(data) or is_openssh_private(data) or is_encrypted_body(m[2], data)):
                 out.append((m.start(), 6, m.end()))
-                taken.append(m.span())
+                blocks.append(m.span())
     if "ey" in text and "." in text:
         out += [(m.start(), 3, m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
+    upcoming, until = iter([*blocks, (len(text) + 1, 0)]), 0  # blocks and runs are met in order; all before ``until`` is taken
+    begin, finish = next(upcoming)
     for m in _RUN.finditer(text):
-        if any(a <= m.start() < b for a, b in taken):
+        while begin <= m.start():
+            until = max(until, finish)
+            begin, finish = next(upcoming)
+        if m.start() < until:
             continue
         run = m[0]
         tries = [bytes.fromhex(run)] if len(run) % 2 == 0 and _ALL_HEX.fullmatch(run) else []
@@ -235,13 +246,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
                 out.append((m.start(), 5, m.end()))
                 break
         else:
+            stop = m.start() + len(run.rstrip("="))
             end = m.start()
             for at in _START.finditer(run):
                 s = m.start() + at.start()
-                if s >= end and (found := key_at(text, s)):
+                if s >= end and (found := key_at(text, s, stop)):
                     end = found[1]
                     out.append((s, *found))
-                    taken.append((s, end))
+            until = max(until, end)
     return out
 
 

@@ -1,7 +1,9 @@
 """Operator 10: toxicity by a support vector machine on a subsequence string kernel.
 
 A text is a bag of units: its words, lower-cased and reduced to letters, with
-runs of single letters joined ("i d i o t"). Two strings are compared by the
+runs of single letters joined ("i d i o t"), one or two digits or marks between
+letters read as the letters that they look like ("m0r0n"); and, of a word with
+marks or digits between its letters, the parts too ("you,bad"). Two strings are compared by the
 gap-weighted subsequence kernel: all common subsequences of three letters
 count, each discounted by the stretch it spans on either side, so inserted or
 dropped letters lower the value but do not end it. It is normalised, and what
@@ -51,6 +53,8 @@ SHORTEST, STRETCH, LONGEST = 3, 4, 16
 STEP, BLOCK = 1 << 18, 1 << 14
 #: Units known to have no value for any landmark that a task remembers, at most (8 bytes each).
 KNOWN = 1 << 21
+# Digits and marks that stand for letters.
+LOOKS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 #: A longer text is cut here: between two units of at least two letters.
 _SAFE = regex.compile(r"(?<=\p{L}\p{L})(?=\s\p{L}\p{L})")
 
@@ -72,12 +76,31 @@ def lower_table() -> np.ndarray:
 
 
 def spelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case letters of all texts, where the units of at least ORDER letters begin and end in them, and the text of each."""
+    """Lower-case letters of all texts, where the units of at least ORDER letters begin and end in them, and the text of each; parts of a unit overlap it."""
     cps, _ = code_points(texts)
     cls = tables()[0][cps]
-    keep = (cls == LETTER) | (cls == SPACE) | (cls == SEP)
-    cps, cls = cps[keep], cls[keep]
     edge = lambda g: (np.flatnonzero((g == LETTER) & (np.append(SEP, g[:-1]) != LETTER)), np.flatnonzero((g == LETTER) & (np.append(g[1:], SEP) != LETTER)) + 1)
+    ps, pe = edge(cls)  # parts: runs of letters
+    looks = np.fromiter(map(ord, LOOKS), np.uint32)
+    like = np.flatnonzero(np.isin(cps, looks))
+    if len(like):
+        around = np.pad(cls, 2, constant_values=SEP)  # around[i + 2] is cls[i]
+        letter, look = around == LETTER, np.zeros(len(around), bool)
+        look[like + 2] = True
+        i = like + 2
+        between = (letter[i - 1] & letter[i + 1]) | (letter[i - 1] & look[i + 1] & letter[np.minimum(i + 2, len(letter) - 1)]) | (letter[i - 2] & look[i - 1] & letter[i + 1])
+        at = like[between]
+        cps[at] = np.fromiter(map(ord, LOOKS.values()), np.uint32)[(cps[at][:, None] == looks).argmax(1)]
+        cls = cls.copy()
+        cls[at] = LETTER
+
+    def dropped(keep: np.ndarray) -> None:
+        nonlocal cps, cls, ps, pe
+        new = np.cumsum(keep) - 1
+        ps, pe = new[ps], new[pe - 1] + 1
+        cps, cls = cps[keep], cls[keep]
+
+    dropped((cls == LETTER) | (cls == SPACE) | (cls == SEP))
     s, e = edge(cls)
     if len(s):
         single = e - s == 1
@@ -86,9 +109,15 @@ def spelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             drop = np.zeros(len(cls) + 1, np.int32)
             np.add.at(drop, e[:-1][joins], 1)
             np.add.at(drop, s[1:][joins], -1)
-            keep = np.cumsum(drop)[:-1] == 0
-            cps, cls = cps[keep], cls[keep]
+            dropped(np.cumsum(drop)[:-1] == 0)
             s, e = edge(cls)
+        long = pe - ps >= ORDER
+        ps, pe = ps[long], pe[long]
+        unit = np.searchsorted(s, ps, "right") - 1
+        part = (ps != s[unit]) | (pe != e[unit])
+        s, e = np.append(s, ps[part]), np.append(e, pe[part])
+        order = np.lexsort((e, s))
+        s, e = s[order], e[order]
     owner = np.searchsorted(np.flatnonzero(cls == SEP), s)
     ok = e - s >= ORDER
     return lower_table()[cps], s[ok], e[ok], owner[ok]
@@ -392,7 +421,8 @@ def fit(texts: list[str], label, prior: float | None = None, landmarks: int = 64
     if not chosen:
         return constant(share)
     x = Machine(chosen, np.zeros(len(chosen)), 0.0, 1.0, 0.0).text_values(texts)
-    own = np.array([[max(0.0, (kernel(a, b) / np.sqrt(kernel(a, a) * kernel(b, b)) - FLOOR) / (1 - FLOOR)) for b in chosen] for a in chosen])
+    own = Machine(chosen, np.zeros(len(chosen)), 0.0, 1.0, 0.0).text_values(chosen)  # as texts are valued
+    own = (own + own.T) / 2
     val, vec = np.linalg.eigh(own)
     root = vec @ np.diag(np.where(val > 1e-3, 1 / np.sqrt(np.maximum(val, 1e-3)), 0.0)) @ vec.T
     z = np.hstack([x @ root, np.ones((len(x), 1))])

@@ -213,6 +213,24 @@ def test_quality_is_learned():
     assert quality.fit([], []).scores(["a"]) == [0.5] and quality.fit(["a"], [1]).scores(["b"])[0] > 0.9
 
 
+def test_network_scores_equal_plain_loops():
+    """A filter at each byte, the largest response of each chunk, a dense layer, the largest of all chunks, a logistic curve."""
+    m = quality.fit(["good words here"] * 3 + ["b@d !!"] * 3, [1, 1, 1, 0, 0, 0], epochs=2)
+    half, width = quality.HALF, quality.WIDTH
+    for t in ["", "a", "é" * 40, "some words " * 60, "\0x", "z" * (2 * half), "z" * (2 * half - width), "y" * (3 * half + 1)]:
+        raw = t.encode()
+        n = max(2, -(-(len(raw) + width) // half))
+        data = raw.ljust(n * half, b"\0") + b"\0" * width
+        d = m.embed.shape[1]
+        response = np.array([[sum(float(m.embed[data[i + k]] @ m.filters[k * d : (k + 1) * d, f]) for k in range(width)) + m.fbias[f] for f in range(len(m.fbias))] for i in range(n * half)])
+        best = -np.inf
+        for c in range(n - 1):
+            pre = np.maximum(response[c * half : (c + 2) * half].max(0), 0) @ m.dense + m.dbias
+            best = np.maximum(best, np.where(pre > 0, pre, 0.01 * pre))
+        want = 1 / (1 + np.exp(-(best @ m.out + m.obias[0])))
+        assert abs(m.scores([t])[0] - want) < 1e-4, t
+
+
 def test_gradient_of_the_network():
     rng = np.random.default_rng(1)
     p = {"embed": rng.normal(0, 0.5, (256, 3)), "filters": rng.normal(0, 0.3, (18, 4)), "fbias": np.zeros(4), "dense": rng.normal(0, 0.5, (4, 3)), "dbias": np.zeros(3), "out": rng.normal(0, 0.5, 3), "obias": np.zeros(1)}
@@ -250,15 +268,29 @@ def test_kernel_equals_the_sum_over_subsequences():
         assert abs(toxicity.kernel(s, t) - brute(s, t, toxicity.ORDER, toxicity.DECAY)) < 1e-9
 
 
+def plain_units(t):
+    """Words of letters, with look-alikes between letters read as letters; runs of single letters joined; and the parts of words."""
+    looks = "".join(map(re.escape, toxicity.LOOKS))
+    out, single = [], ""
+    for w in t.lower().split():
+        whole = re.sub(rf"(?<=[^\W\d_])[{looks}]{{1,2}}(?=[^\W\d_])", lambda m: "".join(toxicity.LOOKS[c] for c in m[0]), w)
+        whole = re.sub(r"[\W\d_]", "", whole)
+        if len(whole) == 1:
+            single += whole
+            continue
+        if whole:
+            out += [single, whole]
+            single = ""
+        out += [p for p in re.findall(r"[^\W\d_]+", w) if p != whole]
+    return [u for u in [*out, single] if len(u) >= toxicity.ORDER]
+
+
 def plain_values(texts, landmarks):
     """Straight from the definition: every unit and, for landmarks of four letters or more, every stretch of it."""
     out = np.zeros((len(texts), len(landmarks)))
     for i, t in enumerate(texts):
-        words = re.sub(r"[^\W_]*\d[^\W_]*", lambda m: re.sub(r"\d", "", m[0]), t.lower())
-        words = re.sub(r"[^\w\s]|_", "", words)
-        words = re.sub(r"(?:(?<=\s)|^)\w(?:\s+\w(?=\s|$))+", lambda m: re.sub(r"\s", "", m[0]), words).split()
         for j, x in enumerate(landmarks):
-            for w in words:
+            for w in plain_units(t):
                 parts = [w] if len(x) < toxicity.STRETCH else {w[a:b] for a in range(len(w)) for b in range(a + 3, min(len(w), a + 2 * len(x)) + 1)}
                 for p in parts:
                     own = toxicity.kernel(p, p)
@@ -270,7 +302,7 @@ def plain_values(texts, landmarks):
 def test_text_values_equal_the_definition():
     landmarks = ["abac", "bad", "abcda", "ccbbaad"]
     m = toxicity.Machine(landmarks, np.zeros(4), 0.0, 1.0, 0.0)
-    texts = noise(60, "abcd abcdabcde ,.1", 5, 50) + [" ".join("abcdaabacbad"), "x" * 90 + "abxcda" + "x" * 90, "", "bad", "badly bad", "ab-acus b.a.d"]
+    texts = noise(60, "abcd abcdabcde ,.1@48 x", 5, 50) + [" ".join("abcdaabacbad"), "x" * 90 + "abxcda" + "x" * 90, "", "bad", "badly bad", "ab-acus b.a.d"]
     assert np.abs(m.text_values(texts) - plain_values(texts, landmarks)).max() < 1e-9
     assert np.abs(m.text_values(texts[::-1])[::-1] - plain_values(texts, landmarks)).max() < 1e-9  # with units known from before
     long = ["ab cd " * 100_000 + "abcda", "abcda " + "ab cd " * 100_000]
@@ -280,7 +312,28 @@ def test_text_values_equal_the_definition():
 def test_units():
     low, s, e, owner = toxicity.spelled(["You i d i o t!", "", "st.u.pid  ab", "É" * 60])
     words = [low[a:b].tobytes().decode("utf-32-le") for a, b in zip(s, e)]
-    assert words == ["you", "idiot", "stupid", "é" * 60] and owner.tolist() == [0, 0, 2, 3]
+    assert words == ["you", "idiot", "stupid", "pid", "é" * 60] and owner.tolist() == [0, 0, 2, 2, 3]
+    for t in ("you,bad m0r0n", "a1b a11b a111b 1abc abc1 $tu$id", "b a d 5 x", "x-y-z not-bad 12 ab3c", "\U0001f600ab@cd"):
+        low, s, e, _ = toxicity.spelled([t])
+        assert sorted(low[a:b].tobytes().decode("utf-32-le") for a, b in zip(s, e)) == sorted(plain_units(t)), t
+
+
+def test_marks_part_units_and_digits_stand_for_letters():
+    m = toxicity.Machine(["bad", "moron"], np.array([1.0, 1.0]), 0.0, 1.0, 0.0)
+    assert (m.text_values(["you bad", "you,bad", "bad/me", "you_bad5me"])[:, 0] == 1).all()
+    assert (m.text_values(["moron", "m0r0n", "m0r0n!!", "you.m0ron"])[:, 1] == 1).all()
+    assert not m.text_values(["badly", "mp3 2015 r0", "a1b2c3"]).any()
+
+
+def test_scores_equal_the_definition():
+    """Every step of a score by plain loops: values, weights, logistic curve."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randint(3, 6)))
+    texts = [" ".join(word() for _ in range(6)) + (" dacbad" if i % 3 == 0 else "") for i in range(60)]
+    m = toxicity.fit(texts, [int(i % 3 == 0) for i in range(60)], landmarks=6)
+    new = ["dac,bad", "", "d4cbad here", *texts[:9]]
+    want = [1 / (1 + np.exp(-(m.slope * (sum(v * w for v, w in zip(row, m.weights)) + m.bias) + m.shift))) for row in plain_values(new, m.landmarks)]
+    assert m.landmarks and np.abs(m.scores(new) - want).max() < 1e-9
 
 
 def test_copies_are_no_evidence():
@@ -370,3 +423,47 @@ def test_sample_is_bounded(spark):
     assert 60 < sum(label) <= 150 and 60 < len(label) - sum(label) <= 150 and abs(share - 0.25) < 0.05
     assert all(int(t[1:]) % 5 for t in texts)
     assert labelled_sample(docs, labels.limit(0), "toxic", F.lit(True), 10, 100) == ([], [], None)
+
+
+def test_repeated_rows_do_not_crowd_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    from likeness.llm.samples import labelled_sample
+
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    often = docs.unionByName(docs.where("doc_id = 7").crossJoin(spark.range(5000)).select("doc_id", F.concat("text", F.lit(""), (F.col("id") % 3).cast("string")).alias("text"))).unionByName(docs)
+    one = labelled_sample(docs, labels, "quality", F.lit(True), 1200, 1000)
+    two = labelled_sample(often, labels.unionByName(labels), "quality", F.lit(True), 1200, 1000)
+    assert len(one[0]) == 400 and one == two
+
+
+def test_searches_take_linear_time():
+    from likeness.llm.pii import stretches
+
+    began = time.time()
+    stretches("7" * 1_000_000 + " " + "x" * 1_000_000 + " 7")
+    stretches("7 x " * 200_000)
+    for t in ("/MIIE" * 200_000, "/b3BlbnNzaC1rZXktdjE" * 5_000, ("/MIIE" * 12 + "\n") * 20_000, "M" * 1_000_000):
+        secrets.confirmed_spans(t)
+    assert time.time() - began < 20
+    key = base64.b64encode(b"\x30\x2e\x02\x01\x00\x30\x05\x06\x03\x2b\x65\x70\x04\x22\x04\x20" + bytes(range(32))).decode()
+    began = time.time()
+    assert len(secrets.confirmed_spans(f"{key} " * 5_000)) == 5_000 and time.time() - began < 5
+
+
+def test_secrets_of_odd_tables(spark):
+    schema = "doc_id long, text string, spans string, n_hex string"
+    rows = [(1, "token = abcdefghijkl", "s", "n"), (1, "token = abcdefghijkl", "s", "n"), (None, None, None, None), (2, "", None, None), (3, "deadbeefdeadbeef " * 60_000, None, None)]
+    got = sorted((r.doc_id or 0, r.n_assign, r.n_hex) for r in secrets.find(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(0, 0, 0), (1, 1, 0), (1, 1, 0), (2, 0, 0), (3, 0, 60_000)]
+    assert secrets.find(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_classifiers_on_an_empty_table(spark):
+    from likeness.llm import registry
+
+    docs = spark.createDataFrame([], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.score(docs, registry.quality_model(docs, labels)).count() == 0
+    assert toxicity.score(docs, registry.toxicity_model(docs, labels)).count() == 0
