@@ -50,6 +50,14 @@ def most_confident(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("image_id").agg(F.max_by(F.struct("box_id", "x", "y", "w", "h", "confidence"), F.struct("confidence", -F.col("box_id"))).alias("b")).select("image_id", "b.*")
 
 
+def placed(boxes: DataFrame) -> DataFrame:
+    """``place`` (from 1) of each box in its image: the most confident first, then the largest, then by box_id."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("image_id").orderBy(F.desc("confidence"), F.desc(area(F.col("w"), F.col("h"))), "box_id")
+    return boxes.withColumn("place", F.row_number().over(w).cast("long"))
+
+
 def _per_image(boxes: DataFrame, f) -> DataFrame:
     """Apply f(list of boxes in order) to each image's boxes; images are streamed from sorted partitions."""
     ship(boxes.sparkSession)

@@ -198,3 +198,22 @@ def timing_stats(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataF
     found = inside.groupBy("_g").agg(*[F.max(F.when(holds(k), F.col("_v"))).alias(f"at_{k}") for k in ranks])
     out = stats.join(found, "_g")
     return out.select(*by, "n", "min", "max", "mean", ((F.col("at_lo") + F.col("at_hi")) / 2).alias("median"), "std", F.col("at_p95").alias("p95"), F.col("at_p99").alias("p99"))
+
+
+def throughput(runs: DataFrame, amount: str) -> DataFrame:
+    """per_unit: rows by the sum of ``amount``; peak; above_base: mean less the least."""
+    return runs.agg((F.count("*") / F.sum(amount)).alias("per_unit"), F.max(amount).alias("peak"), (F.avg(amount) - F.min(amount)).alias("above_base"))
+
+
+def accuracy_by(pred: DataFrame, by: str) -> DataFrame:
+    """(by, accuracy, n): the predictions of each condition."""
+    return pred.groupBy(by).agg(F.avg((F.col("actual") == F.col("predicted")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+
+
+def compared(predictions: dict[str, DataFrame]) -> DataFrame:
+    """(algorithm, accuracy) of several algorithms' predictions."""
+    rows = [p.agg(F.avg((F.col("actual") == F.col("predicted")).cast("double")).alias("accuracy")).select(F.lit(k).alias("algorithm"), "accuracy") for k, p in predictions.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

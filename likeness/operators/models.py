@@ -251,6 +251,13 @@ def fit_lda(df: DataFrame, label: str, components: int, vec: str = "v", normalis
     return Subspace(mean, signed(axes), val, val / total if total else val, "lda", normalise, {"n": n, "labels": sorted(means)})
 
 
+def restored(df: DataFrame, model: Subspace, features: str = "features", out: str = "restored") -> DataFrame:
+    """All columns, and the vector that the features stand for (of a model that does not normalise): the mean and the axes times them, in JVM expressions."""
+    rows = F.array(*[F.array(*map(F.lit, r)) for r in model.axes.tolist()])
+    dot = lambda r: F.aggregate(F.zip_with(r, F.col(features), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return df.withColumn(out, F.zip_with(F.array(*map(F.lit, model.mean.tolist())), F.transform(rows, dot), lambda m, x: m + x))
+
+
 def cumulative(model: Subspace) -> np.ndarray:
     return model.ratio.cumsum()
 

@@ -89,3 +89,8 @@ def limited_groups(df: DataFrame, key: str, label: str, at_least: int, at_most:
     if at_most > 0:
         out = out.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(key))).where(F.col("_r") <= at_most).drop("_r")
     return out
+
+
+def first_groups(df: DataFrame, label: str, n: int) -> DataFrame:
+    """Rows of the first ``n`` labels in order."""
+    return df.join(df.select(label).distinct().orderBy(label).limit(n), label, "left_semi").select(*df.columns)

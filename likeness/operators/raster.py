@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from likeness.functions import colour
+from likeness.operators.boxes import merged_greedily
 from likeness.operators.graph import components as graph_components
 
 _WIDE = 1 << 32  # a position is y * _WIDE + x
@@ -188,12 +189,14 @@ def patterns(pixels: DataFrame) -> DataFrame:
 
     Neighbours on the diagonals lie between pixels and are blended of four.
     """
-    far = math.sqrt(0.5)
 
-    def blend(a: str, b: str, c: str, d: str, fx: float, fy: float) -> Column:
+    def blend(i: int, a: str, b: str, c: str, d: str) -> Column:
+        turn = 2 * math.pi * i / 8
+        sx, sy = F.col("x") + F.lit(math.cos(turn)), F.col("y") - F.lit(math.sin(turn))
+        fx, fy = sx - F.floor(sx), sy - F.floor(sy)
         return F.floor((F.col(a) * (1 - fx) + F.col(b) * fx) * (1 - fy) + (F.col(c) * (1 - fx) + F.col(d) * fx) * fy + 0.5)
 
-    near = [F.col("e"), blend("n", "ne", "v", "e", far, 1 - far), F.col("n"), blend("nw", "n", "w", "v", 1 - far, 1 - far), F.col("w"), blend("w", "v", "sw", "s", 1 - far, far), F.col("s"), blend("v", "e", "s", "se", far, far)]
+    near = [F.col("e"), blend(1, "n", "ne", "v", "e"), F.col("n"), blend(3, "nw", "n", "w", "v"), F.col("w"), blend(5, "w", "v", "sw", "s"), F.col("s"), blend(7, "v", "e", "s", "se")]
     bits = [F.when(x >= F.col("v"), 1 << i).otherwise(0) for i, x in enumerate(near)]
     return neighbours(pixels).select("image_id", "y", "x", sum(bits[1:], bits[0]).cast("int").alias("code"))
 
@@ -233,3 +236,43 @@ def skin(pixels: DataFrame, adaptive: bool = True, most: int = 10_000) -> DataFr
     inside = lambda c, i: (F.col(c) >= low[i]) & (F.col(c) <= high[i])
     by_hue = (inside("k.h", 0) | ((h > 0.9) & (h <= 1.0))) & inside("k.s", 1) & inside("k.v", 2)
     return p.select("image_id", "y", "x", (by_hue & colour.skin_ycbcr(F.col("m.cb"), F.col("m.cr"))).alias("skin"))
+
+
+# ------------------------------------------------------------------ morphology
+def _window(mask: DataFrame, k: int, f) -> DataFrame:
+    """``f`` of the column m over the k x k window of each pixel, clipped at the borders, as two one-dimensional passes."""
+    r = k // 2
+    across, down = (Window.partitionBy("image_id", a).orderBy(b).rowsBetween(-r, r) for a, b in (("y", "x"), ("x", "y")))
+    return mask.select("image_id", "y", "x", "m").withColumn("m", f("m").over(across)).withColumn("m", f("m").over(down))
+
+
+def eroded(mask: DataFrame, k: int) -> DataFrame:
+    """(image_id, y, x, m) of a mask of every pixel: true where the whole window is; the border of k // 2 is false."""
+    r = k // 2
+    inside = (F.col("y") >= r) & (F.col("x") >= r) & (F.col("y") < F.col("h") - r) & (F.col("x") < F.col("w") - r)
+    return _window(mask, k, F.min).join(sizes(mask), "image_id").select("image_id", "y", "x", (F.col("m") & inside).alias("m"))
+
+
+def dilated(mask: DataFrame, k: int) -> DataFrame:
+    """(image_id, y, x, m) of a mask of every pixel: true where any of the window is."""
+    return _window(mask, k, F.max)
+
+
+def skin_regions(pixels: DataFrame, least_side: int = 30, largest_side: int | None = None, min_confidence: float = 0.3, least: int = 100, adaptive: bool = True) -> DataFrame:
+    """Boxes of skin (image_id, box_id, x, y, w, h, confidence) of colour pixels: mask, erosion and dilation, parts, filters, greedy merge.
+
+    box_id follows the first pixel of the part, in row-major order.
+    """
+    mask = skin(pixels, adaptive).withColumnRenamed("skin", "m")
+    found = components(dilated(eroded(mask, 3), 5), F.col("m"), least)
+    fill, shape = F.col("count") / (F.col("w") * F.col("h")), F.col("w") / F.col("h")
+    side = F.least("w", "h")
+    by_size = F.when(side < 2 * least_side, 0.7).when(side < 5 * least_side, 1.0).otherwise(0.8)
+    sure = F.least(F.lit(1.0), F.least(fill / 0.6, F.lit(1.0)) * 0.4 + F.greatest(F.lit(0.0), 1 - F.abs(shape - 0.85)) * 0.3 + by_size * 0.3)
+    ok = (side >= least_side) & shape.between(0.5, 2.0) & (fill >= 0.3) & (sure >= min_confidence)
+    if largest_side is not None:
+        ok = ok & (F.greatest("w", "h") <= largest_side)
+    order = Window.partitionBy("image_id").orderBy("first_y", "first_x")
+    kept = found.withColumn("confidence", sure).where(ok).withColumn("box_id", F.row_number().over(order).cast("long"))
+    whole = [F.col(c).cast("int").alias(c) for c in "xywh"]
+    return merged_greedily(kept.select(F.col("image_id").cast("long").alias("image_id"), "box_id", *whole, "confidence"))

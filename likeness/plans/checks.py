@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from likeness.functions import text as T, vectors as V
-from likeness.operators import gallery as G, matching as M
+from likeness.operators import boxes as B, gallery as G, matching as M, order as O
 from likeness.plans import fixtures as X
 from likeness.plans.catalogue import query
 from likeness.runtime import table
@@ -90,14 +90,12 @@ def dimension_guard(spark, sf):
 
 @query(f"WITH {X.BOXES_SQL} SELECT image_id, box_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, w * h DESC, box_id) AS BIGINT) AS place FROM boxes")
 def face_order(spark, sf):
-    w = Window.partitionBy("image_id").orderBy(F.desc("confidence"), F.desc(c("w") * c("h")), "box_id")
-    return X.boxes(spark, sf).select("image_id", "box_id", F.row_number().over(w).cast("long").alias("place"))
+    return B.placed(X.boxes(spark, sf)).select("image_id", "box_id", "place")
 
 
 @query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY c_nationkey ORDER BY c_nationkey LIMIT 5)")
 def limit_identities(spark, sf):
-    own = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    return own.join(own.select("c_nationkey").distinct().orderBy("c_nationkey").limit(5), "c_nationkey", "left_semi").select("c_custkey", "c_nationkey")
+    return O.first_groups(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", 5)
 
 
 @query("SELECT o.o_orderkey, c.c_name AS name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")

@@ -220,14 +220,12 @@ def cv_ttest(spark, sf):
 
 @query(f"WITH {_CV_COS} SELECT 'cosine' AS algorithm, round(avg(CAST(actual = predicted AS INT)), 6) AS accuracy FROM pred UNION ALL SELECT * FROM (WITH {_CV_EUC} SELECT 'manhattan', round(avg(CAST(actual = predicted AS INT)), 6) FROM pred)")
 def compare_algorithms(spark, sf):
-    rows = [_folds(spark, sf, m).agg(F.round(F.avg((c("actual") == c("predicted")).cast("double")), 6).alias("accuracy")).select(F.lit(m).alias("algorithm"), "accuracy") for m in ("cosine", "manhattan")]
-    return rows[0].unionByName(rows[1])
+    return r6(E.compared({m: _folds(spark, sf, m) for m in ("cosine", "manhattan")}), "accuracy")
 
 
 @query(f"WITH {_PRED}, k AS (SELECT probe_id % 20 AS condition, avg(CAST(actual = predicted AS INT)) AS accuracy, count(*) AS n FROM pred GROUP BY ALL) SELECT condition, round(accuracy, 6) AS accuracy, n FROM k")
 def condition_test(spark, sf):
-    p = _pred(spark, sf).withColumn("condition", c("probe_id") % 20)
-    return r6(p.groupBy("condition").agg(F.avg((c("actual") == c("predicted")).cast("double")).alias("accuracy"), F.count("*").alias("n")), "accuracy")
+    return r6(E.accuracy_by(_pred(spark, sf).withColumn("condition", c("probe_id") % 20), "condition"), "accuracy")
 
 
 @query(f"""

@@ -60,7 +60,7 @@ def box_most_confident(spark, sf):
     return B.most_confident(X.boxes(spark, sf)).select("image_id", "box_id", "confidence")
 
 
-_GREEDY_SQL = f"""
+GREEDY_SQL = f"""
 WITH RECURSIVE {X.BOXES_SQL}, p AS (
   SELECT a.image_id, a.box_id AS a, b.box_id AS b, {_IOU} AS s, a.w * a.h + b.w * b.h AS t
   FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.box_id < b.box_id
@@ -91,7 +91,7 @@ FROM boxes JOIN best USING (image_id, box_id) JOIN sizes USING (image_id)
 """
 
 
-@query(_GREEDY_SQL)
+@query(GREEDY_SQL)
 def box_greedy_merge(spark, sf):
     return B.merged_greedily(X.boxes(spark, sf))
 
@@ -253,14 +253,3 @@ def morph_erode(spark, sf):
 @query(f"WITH {_MASK.format(f='bool_or')} SELECT image_id, y, x, m FROM m2")
 def morph_dilate(spark, sf):
     return _window3(X.pixels(spark, sf).withColumn("m", c("v") >= 120), F.max).select("image_id", "y", "x", "m")
-
-
-@query()
-def image_kernels(spark, sf):
-    """Full local patterns, sharpness and components of every picture, by the array kernels."""
-    data = X.pictures(spark, sf).select("image_id", "width", F.lit(X.SIDE).alias("height"), F.lit(1).alias("channels"), F.unhex(F.array_join(F.transform("v", lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("data"))
-
-    def kernels(g):
-        return {"patterns": I.lbp(g).ravel().tolist(), "sharpness": round(I.sharpness(g), 6), "parts": len(I.components(g >= 120, 3))}
-
-    return I.map_images(data, kernels, "patterns array<int>, sharpness double, parts int")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import math
+
+from pyspark.sql import Window, functions as F
 
 from likeness.functions import colour as K
-from likeness.operators import gallery as G, haar, raster
+from likeness.operators import boxes as B, gallery as G, haar, images as I, raster
+from likeness.plans import pictures as P
 from likeness.plans import fixtures as X
 from likeness.plans.catalogue import query
 
@@ -139,8 +142,7 @@ CASCADE = haar.Cascade(
 _RECTS = "(0, 0, 0, 4, 4, -1), (0, 0, 0, 2, 4, 2), (1, 0, 0, 4, 4, -1), (1, 0, 1, 4, 2, 2), (2, 0, 0, 2, 2, 1), (2, 2, 2, 2, 2, 1)"
 
 
-@query(f"""
-WITH RECURSIVE {X.PIXELS_SQL}, scales AS (
+_SCAN = f"""{X.PIXELS_SQL}, scales AS (
   SELECT 1.0::DOUBLE AS s UNION ALL SELECT s * 1.25::DOUBLE FROM scales WHERE s * 1.25::DOUBLE <= 2
 ), sized AS (
   SELECT s, CAST(floor(4 * s + 0.5) AS BIGINT) AS w, greatest(1, CAST(floor(2 * s + 0.5) AS BIGINT)) AS step FROM scales
@@ -165,9 +167,11 @@ placed AS (
          sum(CASE WHEN f = 0 THEN CASE WHEN val < 0.125 * dev THEN -0.75 ELSE 0.75 END ELSE 0 END) AS one,
          sum(CASE WHEN f = 1 THEN CASE WHEN val < -0.0625 * dev THEN -0.5 ELSE 0.5 END WHEN f = 2 THEN CASE WHEN val < 0.25 * dev THEN 0.25 ELSE -0.25 END ELSE 0 END) AS two
   FROM val GROUP BY image_id, s, w, x, y
-)
-SELECT image_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(w AS INTEGER) AS w, CAST(w AS INTEGER) AS h FROM votes WHERE one >= -0.5 AND two >= 0
-""")
+)"""
+_PASSED = "SELECT image_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(w AS INTEGER) AS w, CAST(w AS INTEGER) AS h FROM votes WHERE one >= -0.5 AND two >= 0"
+
+
+@query(f"WITH RECURSIVE {_SCAN} {_PASSED}")
 def cascade_windows(spark, sf):
     """All windows of every picture that pass the two stages, at four scales."""
     return haar.windows(X.pixels(spark, sf), CASCADE, 4, 1.25)
@@ -181,17 +185,17 @@ _AROUND = X.PIXELS_SQL + """, r AS (
 )"""
 
 
-def _blend(a, b, d, e, fx, fy):
-    far, close = "sqrt(0.5::DOUBLE)", "(1 - sqrt(0.5::DOUBLE))"
-    gx, gy = {"far": f"(1 - {far})", "close": f"(1 - {close})"}[fx], {"far": f"(1 - {far})", "close": f"(1 - {close})"}[fy]
-    fx, fy = {"far": far, "close": close}[fx], {"far": far, "close": close}[fy]
-    return f"floor(({a} * {gx} + {b} * {fx}) * {gy} + ({d} * {gx} + {e} * {fx}) * {fy} + 0.5)"
+def _blend(i, a, b, d, e):
+    """Four neighbours around the point an eighth of a turn times i away."""
+    sx, sy = f"(x + {math.cos(2 * math.pi * i / 8)!r}::DOUBLE)", f"(y - {math.sin(2 * math.pi * i / 8)!r}::DOUBLE)"
+    fx, fy = f"({sx} - floor({sx}))", f"({sy} - floor({sy}))"
+    return f"floor(({a} * (1 - {fx}) + {b} * {fx}) * (1 - {fy}) + ({d} * (1 - {fx}) + {e} * {fx}) * {fy} + 0.5)"
 
 
 _CODES = _AROUND + f""", codes AS (
-  SELECT image_id, y, x, CAST(e >= v AS INT) + 2 * CAST({_blend("n", "ne", "v", "e", "far", "close")} >= v AS INT) + 4 * CAST(n >= v AS INT)
-         + 8 * CAST({_blend("nw", "n", "w", "v", "close", "close")} >= v AS INT) + 16 * CAST(w >= v AS INT) + 32 * CAST({_blend("w", "v", "sw", "s", "close", "far")} >= v AS INT)
-         + 64 * CAST(s >= v AS INT) + 128 * CAST({_blend("v", "e", "s", "se", "far", "far")} >= v AS INT) AS code
+  SELECT image_id, y, x, CAST(e >= v AS INT) + 2 * CAST({_blend(1, "n", "ne", "v", "e")} >= v AS INT) + 4 * CAST(n >= v AS INT)
+         + 8 * CAST({_blend(3, "nw", "n", "w", "v")} >= v AS INT) + 16 * CAST(w >= v AS INT) + 32 * CAST({_blend(5, "w", "v", "sw", "s")} >= v AS INT)
+         + 64 * CAST(s >= v AS INT) + 128 * CAST({_blend(7, "v", "e", "s", "se")} >= v AS INT) AS code
   FROM around
 )"""
 
@@ -216,11 +220,11 @@ WITH {_AROUND}, b AS (
 ), q AS (
   SELECT image_id, round(0.2 * (1 - 2 * abs(b - 0.5)) + 0.3 * least(4 * c, 1) + 0.3 * least(10 * s, 1) + 0.2 * least(least(w, h) / 160.0::DOUBLE, 1), 6) AS score FROM b JOIN l USING (image_id)
 )
-SELECT image_id, score, score >= 0.63 AS kept FROM q
+SELECT image_id, score, score >= 0.5825 AS kept FROM q
 """)
 def quality_gate(spark, sf):
     """The quality score of every picture, and whether it passes the gate."""
-    return raster.quality(X.pixels(spark, sf)).withColumn("score", F.round("score", 6)).select("image_id", "score", G.meets_quality(c("score"), 0.63).alias("kept"))
+    return raster.quality(X.pixels(spark, sf)).withColumn("score", F.round("score", 6)).select("image_id", "score", G.meets_quality(c("score"), 0.5825).alias("kept"))
 
 
 _COLOURS = "colours AS (SELECT image_id, y, x, v AS r, (v * 3 + y * 20) % 256 AS g, (v * 2 + x * 9) % 256 AS b FROM pixels)"
@@ -243,3 +247,139 @@ def skin_adaptive(spark, sf):
     v = c("v")
     seen = X.pixels(spark, sf).select("image_id", "y", "x", v.alias("r"), ((v * 3 + c("y") * 20) % 256).alias("g"), ((v * 2 + c("x") * 9) % 256).alias("b"))
     return raster.skin(seen, most=20)
+
+
+_PARTS = """lit AS (
+  SELECT image_id, y * 8 + x AS p, y, x FROM pixels WHERE v >= 120
+), near AS (
+  SELECT a.image_id, a.p, b.p AS q FROM lit a JOIN lit b ON a.image_id = b.image_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1
+), reach AS (
+  SELECT image_id, p, p AS q FROM lit
+  UNION
+  SELECT reach.image_id, reach.p, near.q FROM reach JOIN near ON near.image_id = reach.image_id AND near.p = reach.q
+), part AS (
+  SELECT image_id, p, min(q) AS label FROM reach GROUP BY image_id, p
+)"""
+
+
+@query(f"""
+WITH RECURSIVE {_CODES}, {_PARTS}, sized AS (
+  SELECT image_id, count(*) AS parts FROM (SELECT image_id, label FROM part GROUP BY image_id, label HAVING count(*) >= 3) GROUP BY image_id
+), sharp AS (
+  SELECT image_id, round(sqrt(avg((4 * v - w - e - n - s) * (4 * v - w - e - n - s))) / 255, 6) AS sharpness FROM around GROUP BY image_id
+), lists AS (
+  SELECT p.image_id, list(CAST(coalesce(c.code, 0) AS INTEGER) ORDER BY p.y, p.x) AS patterns FROM pixels p LEFT JOIN codes c USING (image_id, y, x) GROUP BY p.image_id
+)
+SELECT image_id, patterns, sharpness, CAST(coalesce(parts, 0) AS INTEGER) AS parts, CAST(NULL AS VARCHAR) AS error FROM lists JOIN sharp USING (image_id) LEFT JOIN sized USING (image_id)
+""")
+def image_kernels(spark, sf):
+    """Full local patterns, sharpness and components of every picture, by the array kernels."""
+    data = X.pictures(spark, sf).select("image_id", "width", F.lit(X.SIDE).alias("height"), F.lit(1).alias("channels"), F.unhex(F.array_join(F.transform("v", lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("data"))
+
+    def kernels(g):
+        return {"patterns": I.lbp(g).ravel().tolist(), "sharpness": round(I.sharpness(g), 6), "parts": len(I.components(g >= 120, 3))}
+
+    return I.map_images(data, kernels, "patterns array<int>, sharpness double, parts int")
+
+
+@query(f"WITH {X.PIXELS_SQL} SELECT image_id, y, x, v FROM pixels")
+def decode_pgm(spark, sf):
+    """Every picture written as a PGM file, raw or as text, and decoded again."""
+    from likeness.sources import images as S
+
+    own = X.pictures(spark, sf)
+    raw = F.concat(F.lit(f"P5\n# a comment\n{X.SIDE} {X.SIDE}\n255\n").cast("binary"), F.unhex(F.array_join(F.transform("v", lambda x: F.lpad(F.hex(x), 2, "0")), "")))
+    written = F.concat(F.lit(f"P2 {X.SIDE} {X.SIDE} 255\n"), F.array_join(c("v").cast("array<string>"), " ")).cast("binary")
+    found = own.select("image_id", F.when(c("image_id") % 2 == 0, raw).otherwise(written).alias("content"))
+    seen = S.decoded(found, size=None)
+    byte = lambda i: F.conv(F.hex(F.substring(c("data"), i + 1, F.lit(1))), 16, 10).cast("int")
+    values = F.transform(F.sequence(F.lit(0), c("width") * c("height") - 1), byte)
+    return I.pixels(seen.select("image_id", "width", values.alias("v"))).select("image_id", "y", "x", "v")
+
+
+@query(f"""
+WITH {X.PIXELS_SQL}, b AS (SELECT DISTINCT image_id, image_id % 5 AS bx, image_id % 4 AS by_, 2 + image_id % 9 AS bw, 3 + image_id % 3 AS bh FROM pixels)
+SELECT image_id, CAST(y - by_ AS BIGINT) AS y, CAST(x - bx AS BIGINT) AS x, v FROM pixels JOIN b USING (image_id) WHERE x >= bx AND x < bx + bw AND y >= by_ AND y < by_ + bh
+""")
+def image_crop(spark, sf):
+    """A box of every picture; where it reaches beyond, what is inside."""
+    i = c("image_id")
+    box = X.pictures(spark, sf).select("image_id", (i % 5).alias("bx"), (i % 4).alias("by"), (2 + i % 9).alias("bw"), (3 + i % 3).alias("bh"))
+    return raster.cropped(X.pixels(spark, sf), box).select("image_id", c("y").cast("long").alias("y"), c("x").cast("long").alias("x"), "v")
+
+
+_LINK = "(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)))"
+
+
+@query(f"""
+WITH RECURSIVE {_SCAN}, boxes AS (
+  SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY w, y, x) AS box_id FROM ({_PASSED})
+), linked AS (
+  SELECT a.image_id, a.box_id AS a, b.box_id AS b FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.box_id <> b.box_id
+  WHERE {_LINK} >= 0.4 * (a.w * a.h + b.w * b.h - {_LINK})
+), met AS (
+  SELECT image_id, box_id, box_id AS other FROM boxes
+  UNION
+  SELECT met.image_id, met.box_id, linked.b FROM met JOIN linked ON linked.image_id = met.image_id AND linked.a = met.other
+), head AS (
+  SELECT image_id, box_id, min(other) AS head FROM met GROUP BY image_id, box_id
+), merged AS (
+  SELECT image_id, head AS box_id, CAST(sum(x) // count(*) AS INTEGER) AS x, CAST(sum(y) // count(*) AS INTEGER) AS y, CAST(sum(w) // count(*) AS INTEGER) AS w, CAST(sum(h) // count(*) AS INTEGER) AS h, count(*) AS n
+  FROM boxes JOIN head USING (image_id, box_id) GROUP BY image_id, head
+)
+SELECT image_id, box_id, x, y, w, h, confidence FROM (SELECT *, CAST(n AS DOUBLE) / max(n) OVER (PARTITION BY image_id) AS confidence FROM merged) WHERE n >= 3
+""")
+def cascade_faces(spark, sf):
+    """The windows that pass the cascade, merged where they overlap by two fifths; groups of fewer than three go."""
+    w = Window.partitionBy("image_id").orderBy("w", "y", "x")
+    found = haar.windows(X.pixels(spark, sf), CASCADE, 4, 1.25)
+    boxes = found.select("image_id", F.row_number().over(w).cast("long").alias("box_id"), "x", "y", "w", "h", F.lit(1.0).alias("confidence"))
+    return B.merged_detections(boxes)
+
+
+def _sliding(name: str, source: str, f: str, r: int) -> str:
+    between = f"ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING"
+    return f"{name}_row AS (SELECT image_id, y, x, {f}(m) OVER (PARTITION BY image_id, y ORDER BY x {between}) AS m FROM {source}), {name} AS (SELECT image_id, y, x, {f}(m) OVER (PARTITION BY image_id, x ORDER BY y {between}) AS m FROM {name}_row)"
+
+
+_TINTS = """colours AS (
+  SELECT image_id, y, x, CASE WHEN i THEN least(255, v + 60) ELSE v END AS r, CASE WHEN i THEN CAST(floor(v * 0.75::DOUBLE + 20.5::DOUBLE) AS INTEGER) ELSE v END AS g,
+         CASE WHEN i THEN CAST(floor(v * 0.5::DOUBLE + 30.5::DOUBLE) AS INTEGER) ELSE v END AS b
+  FROM (SELECT *, (x < 3 + image_id % 4 AND y < 3 + image_id % 5) OR (x >= 6 AND y >= 5) AS i FROM pixels)
+)"""
+_REGIONS_SQL = f"""{X.PIXELS_SQL}, {_TINTS}, k AS (
+  SELECT *, CASE WHEN d = 0 THEN 0 WHEN rf = top THEN ((gf - bf) / d + CASE WHEN gf < bf THEN 6 ELSE 0 END) / 6 WHEN gf = top THEN ((bf - rf) / d + 2) / 6 ELSE ((rf - gf) / d + 4) / 6 END AS h,
+         CASE WHEN top = 0 THEN 0 ELSE d / top END AS s, trunc(128.0::DOUBLE - r * 0.169::DOUBLE - g * 0.331::DOUBLE + b * 0.5::DOUBLE) AS cb, trunc(128.0::DOUBLE + r * 0.5::DOUBLE - g * 0.419::DOUBLE - b * 0.081::DOUBLE) AS cr
+  FROM (SELECT *, greatest(rf, gf, bf) AS top, greatest(rf, gf, bf) - least(rf, gf, bf) AS d FROM (SELECT *, r / 255.0::DOUBLE AS rf, g / 255.0::DOUBLE AS gf, b / 255.0::DOUBLE AS bf FROM colours))
+), seen AS (
+  SELECT image_id, y, x, ((h >= 0 AND h <= 0.14::DOUBLE) OR (h > 0.9 AND h <= 1)) AND s >= 0.1::DOUBLE AND s <= 0.7::DOUBLE AND top >= 0.2::DOUBLE AND top <= 0.95::DOUBLE AND cb BETWEEN 77 AND 127 AND cr BETWEEN 133 AND 173 AS m FROM k
+), {_sliding("worn", "seen", "bool_and", 1)}, inside AS (
+  SELECT image_id, y, x, m AND y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 AS m FROM worn
+), {_sliding("grown", "inside", "bool_or", 2)}, lit AS (
+  SELECT image_id, y * 8 + x AS p, y, x FROM grown WHERE m
+), touch AS (
+  SELECT a.image_id, a.p, b.p AS q FROM lit a JOIN lit b ON a.image_id = b.image_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1
+), reach AS (
+  SELECT image_id, p, p AS q FROM lit
+  UNION
+  SELECT reach.image_id, reach.p, touch.q FROM reach JOIN touch ON touch.image_id = reach.image_id AND touch.p = reach.q
+), part AS (
+  SELECT image_id, p, min(q) AS label FROM reach GROUP BY image_id, p
+), sized AS (
+  SELECT image_id, label, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS n FROM part JOIN lit USING (image_id, p) GROUP BY image_id, label HAVING count(*) >= 4
+), sure AS (
+  SELECT *, least(1.0::DOUBLE, least(n / (w * h) / 0.6::DOUBLE, 1.0::DOUBLE) * 0.4::DOUBLE + greatest(0.0::DOUBLE, 1 - abs(w / h - 0.85::DOUBLE)) * 0.3::DOUBLE + CASE WHEN least(w, h) < 4 THEN 0.7::DOUBLE WHEN least(w, h) < 10 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END * 0.3::DOUBLE) AS confidence FROM sized
+), boxes AS (
+  SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY label) AS box_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h, confidence
+  FROM sure WHERE least(w, h) >= 2 AND w / h BETWEEN 0.5 AND 2 AND n / (w * h) >= 0.3 AND confidence >= 0.3
+)"""
+
+
+@query("SELECT image_id, box_id, x, y, w, h, round(confidence, 6) AS confidence FROM (" + P.GREEDY_SQL.replace(X.BOXES_SQL, _REGIONS_SQL) + ")")
+def skin_regions(spark, sf):
+    """Boxes of skin of every picture in colour: mask, erosion and dilation, parts, filters and greedy merge."""
+    v = c("v")
+    i = ((c("x") < 3 + c("image_id") % 4) & (c("y") < 3 + c("image_id") % 5)) | ((c("x") >= 6) & (c("y") >= 5))
+    warm = {"r": F.least(F.lit(255), v + 60), "g": F.floor(v * 0.75 + 20.5).cast("int"), "b": F.floor(v * 0.5 + 30.5).cast("int")}
+    tint = X.pixels(spark, sf).select("image_id", "y", "x", *[F.when(i, k).otherwise(v).alias(n) for n, k in warm.items()])  # grey elsewhere
+    return raster.skin_regions(tint, least_side=2, least=4, adaptive=False).withColumn("confidence", F.round("confidence", 6))

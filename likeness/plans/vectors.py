@@ -208,7 +208,7 @@ _ALL_SQL = _LONG + ", m AS (SELECT p, avg(x) AS m FROM e GROUP BY p), z AS (SELE
 _FEATURES = """, raw AS (
   SELECT vec_id, list(list_dot_product(z, v) ORDER BY k) AS f FROM centred, axes GROUP BY vec_id
 )
-SELECT vec_id, list_transform(f, lambda x: round(x / CASE WHEN list_dot_product(f, f) = 0 THEN 1 ELSE sqrt(list_dot_product(f, f)) END, 5)) AS features FROM raw"""
+SELECT vec_id, list_transform(f, lambda x: round(x / CASE WHEN list_dot_product(f, f) = 0 THEN 1 ELSE sqrt(list_dot_product(f, f)) END, 5) + 0.0) AS features FROM raw"""
 
 
 @query(f"WITH RECURSIVE {_ALL_SQL}, {_eigen(_MATRIX.format(cells='total'), 10)}, t AS (SELECT sum(s) AS whole FROM total WHERE i = j) SELECT CAST(k - 1 AS INTEGER) AS i, round(value, 6) AS value, round(value / whole, 6) AS ratio, round(sum(value / whole) OVER (ORDER BY k), 6) AS cumulative FROM axes, t")
@@ -247,3 +247,16 @@ outside AS (SELECT t.i, t.j, t.s - w.s AS s FROM total t JOIN inside w ON t.i =
 def lda_project(spark, sf):
     v = X.vectors(spark, sf)
     return models.fit_lda(v, "identity", 9).transform(v).select("vec_id", F.transform("features", lambda x: F.round(x, 5)).alias("features"))
+
+
+@query(f"""WITH RECURSIVE {_ALL_SQL}, {_eigen(_MATRIX.format(cells='total'), 10)}, middle AS (SELECT list(m ORDER BY p) AS m FROM m), f AS (
+  SELECT vec_id, k, list_dot_product(z, v) AS f, v FROM centred, axes
+), parts AS (
+  SELECT vec_id, unnest(range(1, len(v) + 1)) AS p, unnest(v) * f AS x FROM f
+)
+SELECT vec_id, CAST(p - 1 AS INTEGER) AS p, round(sum(x) + any_value(middle.m[p]), 5) + 0.0 AS x FROM parts, middle GROUP BY vec_id, p""")
+def pca_reconstruct(spark, sf):
+    """Every vector from its ten components."""
+    v = X.vectors(spark, sf)
+    model = models.fit_pca(v, 10, normalise=False)
+    return models.restored(model.transform(v), model).select("vec_id", F.posexplode("restored").alias("p", "x")).select("vec_id", "p", F.round("x", 5).alias("x"))

@@ -199,6 +199,8 @@ def test_subspaces(spark):
     assert lda.axes.shape == (6, 2) and np.allclose((y**2).sum(1), 1)
     own = np.array([y[i * 40 : i * 40 + 40].mean(0) for i in range(3)])
     assert (((y[:, None] - own[None]) ** 2).sum(2).argmin(1) == np.arange(120) // 40).mean() > 0.9
+    back = models.restored(full.transform(df), full).orderBy("id").collect()
+    assert np.allclose([r.restored for r in back], x)
     rows = m.transform(df).orderBy("id").collect()
     assert np.allclose([r.features for r in rows], m.project(x))
     with pytest.raises(ValueError):

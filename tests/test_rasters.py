@@ -171,6 +171,27 @@ def test_skin_equals_the_array_kernel(spark, adaptive):
     assert got == want and 0 < sum(want.values()) < len(want)
 
 
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_morphology_equals_the_array_kernels(spark, k):
+    own = {i: g > 110 for i, g in pictures().items()}
+    mask = table(spark, own).selectExpr("image_id", "y", "x", "v = 1 AS m")
+    for ours, kernel in ((raster.eroded, images.erode), (raster.dilated, images.dilate)):
+        got = arrays(ours(mask, k).selectExpr("image_id", "y", "x", "m AS v"))
+        assert all((got[i] == kernel(g, k)).all() for i, g in own.items())
+
+
+def test_skin_regions_equal_the_array_kernel(spark):
+    own = {}
+    for i, boxes in enumerate([[(20, 30, 50, 60)], [], [(5, 5, 40, 45), (70, 60, 45, 40), (0, 118, 119, 2)], [(10, 10, 60, 20)]]):
+        own[i] = np.zeros((120, 120, 3), int)
+        for x, y, w, h in boxes:
+            own[i][y : y + h, x : x + w] = (200, 140, 110)
+    rows = [(i, y, x, *map(int, g[y, x])) for i, g in own.items() for y in range(120) for x in range(120)]
+    got = raster.skin_regions(spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int"), 30).collect()
+    want = [(i, b["x"], b["y"], b["w"], b["h"], round(b["confidence"], 9)) for i, g in own.items() for b in images.skin_regions(g, 30)]
+    assert sorted((r.image_id, r.x, r.y, r.w, r.h, round(r.confidence, 9)) for r in got) == sorted(want) and len(want) == 3
+
+
 def test_curve_equals_splitting_anew(spark, monkeypatch):
     r = np.random.default_rng(4)
     rows = [(2**40 + i, f"p{i % 7}", r.normal(size=5).tolist()) for i in range(90)]
