@@ -28,63 +28,102 @@ def mean_vector(df: DataFrame, vec: str = "v") -> DataFrame:
 _BLOCK = 64
 
 
-def moments(df: DataFrame, vec: str = "v", by: str | None = None, weight: str | None = None) -> tuple[dict[str, tuple[int, np.ndarray]], np.ndarray]:
-    """label -> (n, mean), and the sum of x x^T over all rows; with ``weight`` a row counts as so many equal ones (0: not at all).
+@dataclass
+class Moments:
+    """Rows n, labels k, the sums of x, of x x^T, and over the labels of n m m^T (m: the label's mean)."""
+
+    n: float
+    k: int
+    total: np.ndarray
+    outer: np.ndarray
+    own: np.ndarray
+
 
-    Each task sums its own rows; the partial matrices are dealt by block of
-    rows and added, so no task holds more than one matrix and the driver gets one.
+def moments(df: DataFrame, vec: str = "v", by: str | None = None, weight: str | None = None) -> Moments:
+    """Sums of the vectors and their products; with ``weight`` a row counts as so many equal ones (0: not at all).
+
+    Each task adds up its own rows, by label within a batch and all products
+    together. Partial sums are dealt by label, sorted, and added one label after
+    another; what is left are matrices, dealt by blocks of rows. So no task holds
+    more than one batch's labels and two matrices, and the driver gets two,
+    whatever the number of labels.
     """
     ship(df.sparkSession)
     label = F.col(by).cast("string") if by else F.lit("")
     times = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     src = df.select(label.alias("label"), F.col(vec).cast("array<double>").alias("v"), times.alias("times")).where("times > 0")
+    schema = "kind string, label string, block int, data binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.binary()))], names=names)
+
+    def matrix(kind: str, m: np.ndarray) -> list[tuple]:
+        return [(kind, None, at // _BLOCK, m[at : at + _BLOCK].tobytes()) for at in range(0, len(m), _BLOCK)]
 
     def run(batches):
-        sums: dict[str, np.ndarray] = {}
         outer = None
         for b in batches:
             if not b.num_rows:
                 continue
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            names = np.array(b.column(0).to_pylist(), object)
             w = b.column(2).to_numpy().astype(float)
-            for k in set(names.tolist()):
-                own = names == k
-                got = np.append(w[own].sum(), w[own] @ x[own])
-                sums[k] = sums[k] + got if k in sums else got
+            names_, at = np.unique(np.array(["" if k is None else "=" + k for k in b.column(0).to_pylist()], object), return_inverse=True)
+            sums = np.zeros((len(names_), x.shape[1] + 1))
+            np.add.at(sums, at, np.column_stack([w, x * w[:, None]]))
             part = x.T @ (x * w[:, None])
             outer = part if outer is None else outer + part
-        for k, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([-1], pa.int32()), pa.array([v.tobytes()])], names=["label", "block", "data"])
-        for at in range(0, 0 if outer is None else len(outer), _BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([at // _BLOCK], pa.int32()), pa.array([outer[at : at + _BLOCK].tobytes()])], names=["label", "block", "data"])
+            yield rows([("label", k, -1, v.tobytes()) for k, v in zip(names_.tolist(), sums)])
+        if outer is not None:
+            yield rows(matrix("outer", outer))
+
+    def by_label(batches):
+        own = total = last = held = None
+        labels = 0
+        found: list[tuple] = []
+
+        def close():
+            nonlocal own, total, labels
+            if held is not None:
+                m = np.outer(held[1:], held[1:]) / held[0]
+                own, total = (m, held.copy()) if own is None else (own + m, total + held)
+                labels += 1
+
+        for b in batches:
+            for kind, k, block, data in zip(*(c.to_pylist() for c in b.columns)):
+                v = np.frombuffer(data)
+                if kind != "label":
+                    found.append((kind, None, block, data))
+                elif held is not None and k == last:
+                    held = held + v
+                else:
+                    close()
+                    last, held = k, v
+            if found:
+                yield rows(found)
+                found = []
+        close()
+        if own is not None:
+            yield rows([*matrix("own", own), ("total", None, 0, np.append(total, labels).tobytes())])
 
     def add(key, t):
         total = sum(np.frombuffer(x) for x in t.column("data").to_pylist())
-        return pa.table({"label": [key[0].as_py()], "block": pa.array([key[1].as_py()], pa.int32()), "data": [total.tobytes()]})
-
-    schema = "label string, block int, data binary"
-    rows = src.mapInArrow(run, schema).groupBy("label", "block").applyInArrow(add, schema).collect()
-    means = {}
-    for r in rows:
-        if r["block"] < 0:
-            v = np.frombuffer(bytes(r["data"]))
-            means[r["label"]] = (int(v[0]), v[1:] / v[0])
-    if not means:
+        return pa.Table.from_batches([rows([(key[0].as_py(), None, key[1].as_py(), total.tobytes())])])
+
+    dealt = src.mapInArrow(run, schema).repartition("kind", "label", "block").sortWithinPartitions("kind", "label")
+    got = dealt.mapInArrow(by_label, schema).groupBy("kind", "block").applyInArrow(add, schema).collect()
+    if not got:
         raise ValueError("there are no vectors")
-    d = len(next(iter(means.values()))[1])
-    blocks = sorted((r["block"], bytes(r["data"])) for r in rows if r["block"] >= 0)
-    return means, np.concatenate([np.frombuffer(x).reshape(-1, d) for _, x in blocks])
+    parts = {k: np.concatenate([np.frombuffer(bytes(r["data"])) for r in sorted((r for r in got if r["kind"] == k), key=lambda r: r["block"])]) for k in ("total", "outer", "own")}
+    total = parts["total"]
+    d = len(total) - 2
+    return Moments(total[0], int(total[-1]), total[1:-1], parts["outer"].reshape(d, d), parts["own"].reshape(d, d))
 
 
-def scatter(m: tuple[dict[str, tuple[int, np.ndarray]], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def scatter(m: Moments) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Mean, scatter within labels, scatter between labels, and the number of rows."""
-    means, outer = m
-    n = sum(k for k, _ in means.values())
-    mean = sum(k * mu for k, mu in means.values()) / n
-    own = np.array([np.sqrt(k) * mu for k, mu in means.values()])
-    off = np.array([np.sqrt(k) * (mu - mean) for k, mu in means.values()])
-    return mean, outer - own.T @ own, off.T @ off, n
+    mean = m.total / m.n
+    return mean, m.outer - m.own, m.own - m.n * np.outer(mean, mean), int(m.n)
 
 
 def _few(df: DataFrame, vec: str, by: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -221,19 +260,20 @@ def fit_lda(df: DataFrame, label: str, components: int, vec: str = "v", normalis
     if few:
         x, names = few
         means = {k: (int((names == k).sum()), x[names == k].mean(0)) for k in sorted(set(names.tolist()))}
-        n, mean = len(x), x.mean(0)
+        n, k, mean = len(x), len(means), x.mean(0)
         base = np.linalg.svd(x - mean, full_matrices=False)[2].T
     else:
-        means, _ = m = moments(df, vec, label, weight)
+        m = moments(df, vec, label, weight)
+        k = m.k
         mean, within, between, n = scatter(m)
         w, v = np.linalg.eigh(within + between)
         base = v[:, np.argsort(-w, kind="stable")]
-    if len(means) < 2:
+    if k < 2:
         raise ValueError("discriminants need at least two labels")
-    base = signed(base[:, : min(n - len(means), len(mean))])
+    base = signed(base[:, : min(n - k, len(mean))])
     if few:
-        within_rows = (x - np.array([means[k][1] for k in names.tolist()])) @ base
-        off = np.array([np.sqrt(k) * (mu - mean) for k, mu in means.values()]) @ base
+        within_rows = (x - np.array([means[x_][1] for x_ in names.tolist()])) @ base
+        off = np.array([np.sqrt(c) * (mu - mean) for c, mu in means.values()]) @ base
         sw, sb = within_rows.T @ within_rows, off.T @ off
     else:
         sw, sb = base.T @ within @ base, base.T @ between @ base
@@ -245,10 +285,10 @@ def fit_lda(df: DataFrame, label: str, components: int, vec: str = "v", normalis
             continue
     else:
         raise ValueError("the scatter within labels cannot be inverted")
-    order = np.argsort(-val.real, kind="stable")[: min(components, len(means) - 1)]
+    order = np.argsort(-val.real, kind="stable")[: min(components, k - 1)]
     val, axes = val.real[order], base @ vec_.real[:, order]
     total = np.abs(val).sum()
-    return Subspace(mean, signed(axes), val, val / total if total else val, "lda", normalise, {"n": n, "labels": sorted(means)})
+    return Subspace(mean, signed(axes), val, val / total if total else val, "lda", normalise, {"n": n, "labels": k})
 
 
 def restored(df: DataFrame, model: Subspace, features: str = "features", out: str = "restored") -> DataFrame:
