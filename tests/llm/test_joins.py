@@ -79,6 +79,24 @@ def test_exact_topk_beyond_doubles(spark):
         assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
 
 
+def test_searches_with_repeated_ids_and_odd_vectors(spark):
+    """Of rows that repeat an id each counts, but never for its own id."""
+    r = np.random.default_rng(3)
+    rows = [(int(i), [float(c) for c in r.integers(-3, 4, 5)]) for i in [*range(120), 0, 0, 50, 7, 7, 100]]
+    odd = [(150, [float("nan"), 1.0]), (200, [None, 1.0]), (250, [float("-inf"), 0.0]), (300, None), (350, []), (None, [1.0])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows + odd], "vec_id long, embedding array<double>, query_id string, rank int")
+    got = {}
+    for x in exact_topk.search(df, scale=1, shard_rows=30).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    for q in (0, 50, 100):
+        own = [v for i, v in rows if i == q]
+        want = sorted((-int(np.dot(a, b)), i) for a in own for i, b in rows if i != q)[:5]
+        assert [(i, -s) for s, i in want] == [(i, s) for _, i, s in sorted(got[q])]
+    assert set(got) == {0, 50, 100}
+    near = neighbours.search(df, shard_rows=64).collect()
+    assert {x.query_id for x in near} == {0, 50, 100} and all(x.vec_id != x.query_id and -1 <= x.score <= 1 for x in near)
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame(rows_of(np.eye(3)), SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id) for r in neighbours.search(df).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]

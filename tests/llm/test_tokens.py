@@ -91,6 +91,13 @@ def test_packed_rows(spark):
     assert packing.pack(docs.limit(0), WORD).count() == 0
 
 
+def test_packing_of_odd_columns(spark):
+    schema = "doc_id long, text string, start string, length int, sequence_id string, ids string, doc_tokens string"
+    rows = [(1, "a b", "s", 1, "q", "i", "d"), (1, "a b", "s", 1, "q", "i", "d"), (None, "c", None, None, None, None, None), (2, None, None, None, None, None, None)]
+    got = packing.pack(spark.createDataFrame(rows, schema), WORD, window=16).collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in got) == [(0, 2), (1, 3), (1, 3), (2, 1)]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_counts_after_edits_equal_a_full_count(seed):
     r = random.Random(seed)
