@@ -19,13 +19,23 @@ ORACLE_SQL = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality network does not reject (score of at least 0.5)."""
+    """Documents that the quality network does not reject (score of at least 0.5).
+
+    Whole rows are kept as they are, with all columns of whatever name; rows that
+    repeat each other are judged alike and each kept. A null text is judged as
+    an empty one, a text of any length as a whole. Without usable labels nothing
+    parts the documents, and all have one score. An empty table stays empty.
+    """
     model = registry.quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.score(docs, model, keep_row=True).where(F.col("score") >= 0.5).select("_row.*")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity machine does not call toxic (score below 0.5)."""
+    """Documents that the toxicity machine does not call toxic (score below 0.5).
+
+    Rows, nulls, long texts and empty tables as in ``good_quality``; an empty text
+    has the score of one without any landmark. Without labels nothing is called toxic.
+    """
     model = registry.toxicity_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, keep_row=True).where(F.col("score") < 0.5).select("_row.*")
 
@@ -52,14 +62,23 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind in brackets; n_chars follows."""
+    """All documents, personal data replaced by its kind in brackets; n_chars follows.
+
+    A null text stays null and keeps its n_chars; an empty one stays empty. Each row of
+    repeated ones is treated alike, other columns are kept, an empty table stays empty.
+    """
     found = pii.find(docs, keep_row=True)
     new = {"text": F.when(F.col("_row.text").isNotNull(), F.col("redacted")), "n_chars": F.when(F.col("_row.text").isNotNull(), F.length("redacted").cast("long")).otherwise(F.col("_row.n_chars"))}
     return found.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in training sequences, as the packing query returns them."""
+    """Pieces of the documents in training sequences, as the packing query returns them.
+
+    A null or empty text is a document of one id, the end of text; a long one is cut into
+    whole windows and a rest. Rows that repeat an id are packed each. Other columns
+    than id and text are not read; an empty table gives no pieces.
+    """
     return registry.pieces(packing.pack(docs, registry.WORD_BPE))
 
 
