@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from likeness.operators import metrics as E, order as O
-from likeness.operators.matching import BLOCK, SHARD, block_distances, matrix
+from likeness.operators.matching import BLOCK, SHARD, block_distances, coded, matrix
 from likeness.runtime import ship
 
 
@@ -42,9 +42,9 @@ def nearest_by_step(probes: DataFrame, gallery: DataFrame, metric: str, n: int,
     def least(p: pa.Table, g: pa.Table) -> pa.Table:
         found: list[list] = [[], [], [], []]
         if p.num_rows and g.num_rows:
-            who, step = np.array(g.column("identity").to_pylist(), object), g.column("gt").to_numpy()
-            order = np.lexsort((np.unique(who, return_inverse=True)[1], step))
-            who, step, b = who[order], step[order], matrix(g.column("gv"))[order]
+            (who, at_), step = coded(g.column("identity")), g.column("gt").to_numpy()
+            order = np.lexsort((at_, step))
+            who, step, b = who[at_[order]], step[order], matrix(g.column("gv"))[order]
             ids, own, a = p.column("probe_id").to_numpy(), p.column("pt").to_numpy(), matrix(p.column("pv"))
             cuts = [*np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(step)]
             for lo in range(0, len(a), 256):

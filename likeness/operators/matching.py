@@ -29,6 +29,17 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(arr), -1)
 
 
+def coded(column) -> tuple[np.ndarray, np.ndarray]:
+    """The different texts of a column in order, and the index of each row's among them."""
+    found = column.combine_chunks().dictionary_encode()
+    found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+    names = np.array(found.dictionary.to_pylist(), object)
+    order = np.argsort(names, kind="stable")
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    return names[order], rank[found.indices.to_numpy(zero_copy_only=False)]
+
+
 def block_distances(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of all rows of a to all of b, by the defining sums."""
     if a.shape[1] != b.shape[1]:
@@ -62,8 +73,8 @@ def nearest_by_identity(probes: DataFrame, gallery: DataFrame, metric: str = "eu
     ship(probes.sparkSession)
     own = gallery.withColumn("identity", F.col("identity").cast("string"))
     sizes = own.groupBy("identity").count()
-    n, most = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).collect()[0]
-    m = probes.count()
+    counted = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).crossJoin(probes.agg(F.count("*")))  # one row each
+    n, most, m = counted.collect()[0]
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
     if keep is None:
         own = own.withColumn("spread", F.lit(True))
@@ -81,7 +92,7 @@ def nearest_by_identity(probes: DataFrame, gallery: DataFrame, metric: str = "eu
         names = ["probe_id", "identity", "distance", "fold"]
         if not p.num_rows or not g.num_rows:
             return pa.table([p.column("probe_id").slice(0, 0), pa.array([], pa.string()), pa.array([], pa.float64()), pa.array([], pa.int64())], names=names)
-        who, where = np.unique(np.array(g.column("identity").to_pylist(), object), return_inverse=True)
+        who, where = coded(g.column("identity"))
         order = np.argsort(where, kind="stable")
         where, b, gf = where[order], matrix(g.column("gv"))[order], g.column("gf").to_numpy()[order]
         ids, a, pf = p.column("probe_id").combine_chunks(), matrix(p.column("pv")), p.column("pf").to_numpy()
