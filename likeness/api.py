@@ -46,13 +46,14 @@ def preprocess(img: np.ndarray, detector: str = "none", size: tuple[int, int] =
 
 
 def raw_features(images: DataFrame, key: str, algorithm: str, patterns: dict | None = None, **how) -> DataFrame:
-    """(key, v, quality, error): pixels for the subspace models, pattern histograms for "lbph" (``patterns``: their grid and radius). A failing image stays, with its error."""
+    """(key, v, quality, error): the features of the algorithm's extractor (``patterns``: its options). A failing image stays, with its error."""
+    extractor = EXTRACTORS[algorithm]
 
     def one(img: np.ndarray) -> dict:
         g = preprocess(img, **how)
         if g is None:
             raise ValueError("no face detected")
-        v = I.lbp_histogram(g, **(patterns or {})) if algorithm == "lbph" else g.astype(float).ravel()
+        v = np.asarray(extractor.features(g, **(patterns or {})))
         return {"v": v.tolist(), "quality": float(I.quality(img)["score"])}
 
     return I.map_images(images, one, "v array<double>, quality double", key)
@@ -95,9 +96,10 @@ class Registry:
         raw = raw.select(F.substring_index("key", "|", 1).alias("identity_id"), F.substring_index("key", "|", -1).alias("sample_id"), "v", "quality")
         if raw.isEmpty():
             raise ValueError("there is nothing to train on")
-        if self.algorithm == "lbph":
+        fit = EXTRACTORS[self.algorithm].fit
+        if fit is None:
             return replace(self, samples=raw.withColumnRenamed("v", "features"))
-        model = EXTRACTORS[self.algorithm](raw, "v", "identity_id", components)
+        model = fit(raw, "v", "identity_id", components)
         return replace(self, samples=model.transform(raw).drop("v"), model=model)
 
     def status(self) -> DataFrame:
@@ -156,12 +158,13 @@ class Registry:
         pairs (a, b): keys of pictures, "identity id|sample id". A picture counts as often as it occurs, by its
         weight; it is read and kept once. Keys without a picture are ignored.
         """
-        if self.algorithm == "lbph":
-            raise ValueError("local patterns are not trained")
+        fit = EXTRACTORS[self.algorithm].fit
+        if fit is None:
+            raise ValueError(f"{self.algorithm} is not trained")
         times = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("weight"))
         keyed = self.images.withColumn("key", F.concat_ws("|", "identity_id", "sample_id")).join(times.select("key"), "key", "left_semi")
         raw = raw_features(keyed, "key", self.algorithm, **how).where(F.col("error").isNull()).join(times, "key")
-        return EXTRACTORS[self.algorithm](raw.withColumn("label", F.substring_index("key", "|", 1)), "v", "label", components, "weight")
+        return fit(raw.withColumn("label", F.substring_index("key", "|", 1)), "v", "label", components, "weight")
 
 
 def restored(spark: SparkSession, kept: Snapshots, name: str, version: int | None = None) -> Registry | None:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from likeness.functions.geometry import area, aspect, iou
+from likeness.operators.graph import components
 from likeness.operators.images import box_iou, greedy_merge
 from likeness.runtime import ship
 
@@ -25,6 +28,36 @@ def overlapping_pairs(boxes: DataFrame, at_least: float = 0.4) -> DataFrame:
     return a.join(b, "image_id").where(touch).select("image_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), v.alias("iou")).where(F.col("iou") >= at_least)
 
 
+def near_pairs(boxes: DataFrame, at_least: float = 0.4) -> DataFrame:
+    """``overlapping_pairs`` for images of any number of boxes: only boxes that share a cell of a grid meet.
+
+    Boxes that overlap by ``at_least`` (above 0) have sides of which none is longer than the other by more than its
+    inverse. So a box stands in the cells of a grid for its own size, at most four, and as a guest in those
+    for sizes up to that factor larger; a pair meets on the larger one's grid and counts in the cell of its overlap's corner.
+    """
+    if not at_least > 0:
+        raise ValueError("pairs that do not overlap are not near")
+    names = ("box_id", "x", "y", "w", "h")
+    own = boxes.select("image_id", *names, (F.length(F.bin(F.greatest("w", "h"))) - 1).alias("size")).where("w > 0 AND h > 0")
+    steps = max(0, math.ceil(math.log2(1 / at_least)))
+
+    def dealt(rows: DataFrame, side: str) -> DataFrame:
+        cell = F.pow(F.lit(2.0), F.col("grid") + 1)
+        span = lambda at, long: F.explode(F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(long) - 1) / cell)))
+        rows = rows.select("*", span("x", "w").alias("cx")).select("*", span("y", "h").alias("cy"))
+        return rows.select("image_id", "grid", "cx", "cy", *[F.col(c).alias(f"{side}_{c}") for c in (*names, "size")])
+
+    a = dealt(own.withColumn("grid", F.explode(F.sequence(F.col("size"), F.col("size") + steps))), "a")
+    b = dealt(own.withColumn("grid", F.col("size")), "b")
+    cell = F.pow(F.lit(2.0), F.col("grid") + 1)
+    touch = (F.col("a_x") < F.col("b_x") + F.col("b_w")) & (F.col("b_x") < F.col("a_x") + F.col("a_w")) & (F.col("a_y") < F.col("b_y") + F.col("b_h")) & (F.col("b_y") < F.col("a_y") + F.col("a_h"))
+    once = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_box_id") < F.col("b_box_id")))
+    here = (F.floor(F.greatest("a_x", "b_x") / cell) == F.col("cx")) & (F.floor(F.greatest("a_y", "b_y") / cell) == F.col("cy"))
+    v = iou(*[F.col(f"{s}_{c}") for s in "ab" for c in "xywh"])
+    met = a.join(b, ["image_id", "grid", "cx", "cy"]).where(touch & once & here)
+    return met.select("image_id", F.least("a_box_id", "b_box_id").alias("a"), F.greatest("a_box_id", "b_box_id").alias("b"), v.alias("iou")).where(F.col("iou") >= at_least)
+
+
 def plausible(boxes: DataFrame, least: int, largest: int, min_confidence: float, fill: str | None = None) -> DataFrame:
     """Boxes by side, aspect in [0.5, 2], confidence, and fill of at least 0.3 where known."""
     side = (F.least("w", "h") >= least) & (F.greatest("w", "h") <= largest)
@@ -108,8 +141,18 @@ def union_find(rows: list[dict], at_least: float = 0.4) -> list[int]:
     return [find(i) for i in range(len(rows))]
 
 
-def merged_detections(boxes: DataFrame, at_least: float = 0.4, min_members: int = 3) -> DataFrame:
-    """Connected groups of overlapping boxes, averaged; groups of fewer members go."""
+def merged_detections(boxes: DataFrame, at_least: float = 0.4, min_members: int = 3, spread: bool = False) -> DataFrame:
+    """Connected groups of overlapping boxes, averaged; groups of fewer members go.
+
+    An image's boxes are merged in one task or, with ``spread``, by joins, as where
+    a detector leaves more windows of a picture than a task should hold.
+    """
+    if spread:
+        edges = near_pairs(boxes, at_least).select(F.col("image_id").alias("g"), F.col("a").alias("u"), F.col("b").alias("v"))
+        found = components(boxes.select(F.col("image_id").alias("g"), F.col("box_id").alias("id")), edges)
+        own = boxes.join(found.select(F.col("g").alias("image_id"), F.col("id").alias("box_id"), "label"), ["image_id", "box_id"])
+        out = group_average(own, "label", min_members)
+        return out.select("image_id", F.col("label").alias("box_id"), *"xywh", "confidence")
 
     def merge(rows: list[dict]) -> list[dict]:
         groups: dict[int, list[dict]] = {}

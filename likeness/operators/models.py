@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from likeness.operators.images import lbp_histogram
 from likeness.runtime import ship
 
 LEAST_EIGENVALUE = 1e-4
@@ -302,8 +303,27 @@ def cumulative(model: Subspace) -> np.ndarray:
     return model.ratio.cumsum()
 
 
-#: Extractors by name: what is fitted on (df, vec, label, components).
-EXTRACTORS: dict[str, Callable[..., Subspace]] = {"pca": lambda df, vec, label, k, weight=None: fit_pca(df, k, vec, weight=weight), "lda": lambda df, vec, label, k, weight=None: fit_lda(df, label, k, vec, weight=weight)}
+@dataclass(frozen=True)
+class Extractor:
+    """How features come about: ``features`` of one grey raster, and ``fit`` of a model on the features of all, if there is one to fit.
+
+    ``fit`` takes (rows, vector column, label column, components, weight column or None).
+    """
+
+    features: Callable[..., np.ndarray]
+    fit: Callable[..., Subspace] | None = None
+
+
+def pixel_values(g: np.ndarray) -> np.ndarray:
+    return g.astype(float).ravel()
+
+
+#: Extractors by name. More can be added: a registry asks for the one of its algorithm's name.
+EXTRACTORS: dict[str, Extractor] = {
+    "pca": Extractor(pixel_values, lambda df, vec, label, k, weight=None: fit_pca(df, k, vec, weight=weight)),
+    "lda": Extractor(pixel_values, lambda df, vec, label, k, weight=None: fit_lda(df, label, k, vec, weight=weight)),
+    "lbph": Extractor(lbp_histogram),
+}
 
 
 def deep_extractor(path: str):

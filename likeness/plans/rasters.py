@@ -334,7 +334,7 @@ def cascade_faces(spark, sf):
     w = Window.partitionBy("image_id").orderBy("w", "y", "x")
     found = haar.windows(X.pixels(spark, sf), CASCADE, 4, 1.25)
     boxes = found.select("image_id", F.row_number().over(w).cast("long").alias("box_id"), "x", "y", "w", "h", F.lit(1.0).alias("confidence"))
-    return B.merged_detections(boxes)
+    return B.merged_detections(boxes, spread=True)
 
 
 def _sliding(name: str, source: str, f: str, r: int) -> str:

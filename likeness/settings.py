@@ -79,7 +79,7 @@ class Recognizer:
 
     def _how(self) -> dict:
         s = self.settings
-        how = {"detector": s["detection.type"], "size": (s["image.width"], s["image.height"]), "align": s["image.align"], "equalize": s["image.equalize"], "patterns": {"grid": s["extraction.lbph.grid"], "radius": s["extraction.lbph.radius"]}}
+        how = {"detector": s["detection.type"], "size": (s["image.width"], s["image.height"]), "align": s["image.align"], "equalize": s["image.equalize"], "patterns": {"grid": s["extraction.lbph.grid"], "radius": s["extraction.lbph.radius"]} if s["extraction.algorithm"] == "lbph" else None}
         if s["detection.type"] == "haar":
             how |= {"cascade": self.cascade, "options": {"least_side": s["detection.min_face_size"], "grow": s["detection.scale_factor"], "min_members": s["detection.min_neighbours"], "min_confidence": s["detection.min_confidence"]}}
         elif s["detection.type"] == "skin":

@@ -156,8 +156,8 @@ def test_weights_count_as_repeated_rows(spark, algorithm):
     r = np.random.default_rng(1)
     rows = [(f"l{i % 3}", (r.normal(size=5) + np.eye(5)[i % 3] * 4).tolist(), int(r.integers(0, 4))) for i in range(60)]
     df = spark.createDataFrame(rows, "label string, v array<double>, w int")
-    one = models.EXTRACTORS[algorithm](df, "v", "label", 4, "w")
-    two = models.EXTRACTORS[algorithm](df.withColumn("_", F.explode(F.when(F.col("w") > 0, F.sequence(F.lit(1), F.col("w"))))), "v", "label", 4)
+    one = models.EXTRACTORS[algorithm].fit(df, "v", "label", 4, "w")
+    two = models.EXTRACTORS[algorithm].fit(df.withColumn("_", F.explode(F.when(F.col("w") > 0, F.sequence(F.lit(1), F.col("w"))))), "v", "label", 4)
     assert np.allclose(one.mean, two.mean) and np.allclose(one.values, two.values) and np.allclose(one.axes, two.axes)
 
 
@@ -260,6 +260,15 @@ def test_settings_choose_the_parts(spark):
     assert {r.status for r in settings.Recognizer(trained(spark), who.settings, who.cascade).recognize(probes).collect()} == {"NO_FACE_DETECTED"}
 
 
+def test_an_extractor_can_be_added(spark, monkeypatch):
+    halves = models.Extractor(lambda g: np.array([g[:32].mean(), g[32:].mean(), g[:, :24].mean(), g[:, 24:].mean(), g.std()]))
+    monkeypatch.setitem(models.EXTRACTORS, "halves", halves)
+    reg = trained(spark, "halves")
+    assert reg.model is None and len(reg.samples.first().features) == 5
+    probes = spark.createDataFrame([(i, 48, 64, 1, bytearray(face(i, 5).tobytes())) for i in range(4)], "probe_id long, " + RASTER)
+    assert sum(r.name == f"P{r.probe_id}" for r in reg.recognize(probes, 0.0).collect()) >= 3
+
+
 def test_the_last_row_of_equal_ones_is_fixed(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 4, "z"), (None, 1, "n"), (2, None, "m")], "k int, o int, v string")
     assert sorted((r.k or 0, r.v) for r in gallery.last_wins(df, "k", "o").collect()) == [(0, "n"), (1, "b"), (2, "m")]

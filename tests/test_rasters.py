@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from likeness import api
-from likeness.operators import curves, graph, haar, images, raster
+from likeness.operators import boxes, curves, graph, haar, images, raster
 
 
 def table(spark, pictures):
@@ -192,6 +192,22 @@ def test_skin_regions_equal_the_array_kernel(spark):
     assert sorted((r.image_id, r.x, r.y, r.w, r.h, round(r.confidence, 9)) for r in got) == sorted(want) and len(want) == 3
 
 
+@pytest.mark.parametrize("least", [0.05, 0.3, 0.5, 1.0])
+def test_boxes_that_meet_on_a_grid(spark, least):
+    r = np.random.default_rng(7)
+    rows = [(int(i), k, int(r.integers(-40, 60)), int(r.integers(-40, 60)), int(r.integers(1, 2 ** r.integers(1, 7))), int(r.integers(1, 2 ** r.integers(1, 7))), 1.0) for i in range(4) for k in range(60)]
+    rows += [(1, 100 + k, 5, 5, 8, 8, 0.5) for k in range(5)] + [(2, 200, 0, 0, 16, 16, 1.0), (2, 201, 0, 0, 16, 8, 1.0)]
+    df = spark.createDataFrame(rows, boxes.SCHEMA)
+    pairs = lambda f: {(p.image_id, p.a, p.b): round(p.iou, 9) for p in f(df, least).collect()}
+    got = boxes.near_pairs(df, least)
+    assert pairs(boxes.near_pairs) == pairs(boxes.overlapping_pairs) and got.count() == got.distinct().count() > 5
+    for members in (1, 2):
+        one, two = (sorted(map(tuple, boxes.merged_detections(df, least, members, spread).select(boxes.merged_detections(df).columns).collect())) for spread in (False, True))
+        assert one == two
+    with pytest.raises(ValueError):
+        boxes.near_pairs(df, 0.0)
+
+
 def test_curve_equals_splitting_anew(spark, monkeypatch):
     r = np.random.default_rng(4)
     rows = [(2**40 + i, f"p{i % 7}", r.normal(size=5).tolist()) for i in range(90)]
