@@ -46,6 +46,8 @@ LEAST_EQUAL, FIRST, LEAST_FIRST = 159, 32, 11
 SMALL, LIGHT, DEPTH = 2048, 4_000_000, 6
 #: Rows of one key that one task may get; sets of a node that are compared with its first one by one task, and the parts that larger ones are dealt into.
 HOT, CROWD, SALTS = 1_000_000, 512, 64
+#: Bits of a set's identity; sets that share one are told apart all the same.
+ID_BITS = 64
 #: Ids of documents to broadcast, at most (16 bytes each).
 BROADCAST_IDS = 1_000_000
 _STEP = 1 << 20
@@ -131,8 +133,8 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> dict:
-    """Size, identity, branching minima and sketch of each set."""
+def signatures(sets: list[np.ndarray], bits: int = 64) -> dict:
+    """Size, identity (its first ``bits``), branching minima and sketch of each set."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     full = np.flatnonzero(n)
     ident = np.zeros(len(sets), np.uint64)
@@ -155,7 +157,7 @@ def signatures(sets: list[np.ndarray]) -> dict:
     short = (mixed(minima) >> np.uint64(56)).astype(np.uint8)
     return {
         "n": pa.array(n),
-        "sid": pa.array(ident.astype(np.int64)),
+        "sid": pa.array((ident >> np.uint64(64 - bits)).astype(np.int64)),
         "keys": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(keys[n > 0].ravel())),
         "sketch": binaries(short.ravel(), np.arange(1, len(sets) + 1) * SKETCH),
     }
@@ -359,12 +361,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).withColumn("text_hash", F.xxhash64(F.coalesce("_text", F.lit(""))))
 
+    bits = ID_BITS
+
     def start():
-        return lambda t: signatures(shingle_sets(t))
+        return lambda t: signatures(shingle_sets(t), bits)
 
     signed = cut(map_docs(texts, start, "n long, sid long, keys array<long>, sketch binary", "_id", "_text", carry=("text_hash",)))
     own = F.struct("_id", "text_hash")
-    reps = cut(signed.where((F.col("n") > 0) & F.col("_id").isNotNull()).groupBy("sid").agg(F.min(own).alias("rep"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")))
+    # Minima, sketch and size tell apart unlike sets that share an identity, as some do among very many.
+    mark = F.xxhash64("n", "keys", "sketch")
+    reps_of = lambda rows: cut(rows.where((F.col("n") > 0) & F.col("_id").isNotNull()).groupBy("sid").agg(F.min(own).alias("rep"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"), (F.min(mark) != F.max(mark)).alias("shared")))
+    reps = reps_of(signed)
+    shared = reps.where("shared").select("sid", "shared")
+    clashes = shared.count()
+    if clashes:
+        shared = F.broadcast(shared) if clashes <= BROADCAST_IDS else shared
+        sid = F.when(F.col("shared"), F.xxhash64("sid", mark)).otherwise(F.col("sid"))
+        signed = cut(signed.join(shared, "sid", "left").withColumn("sid", sid).drop("shared"))
+        reps = reps_of(signed)
     entry = reps.select("sid", "n", F.posexplode(F.slice("keys", 1, TREES * BRANCH)).alias("pos", "key")).select("sid", "n", F.xxhash64("pos", "key").alias("node"))
     nodes = entry.groupBy("node").agg(F.count("*").alias("c"), F.min("sid").alias("pivot")).where(F.col("c") > 1)
     sets = reps.count()
