@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from likeness.functions import colour as K, geometry as Q
-from likeness.operators import boxes as B, images as I
+from likeness.operators import boxes as B
 from likeness.plans import fixtures as X
 from likeness.plans.catalogue import query
 
