@@ -152,13 +152,6 @@ def test_classes_equal_brute_force(spark, monkeypatch, small, light, hot):
     assert got == plain_classes(rows)
 
 
-def test_unlike_sets_with_one_identity_stay_apart(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "ID_BITS", 4)
-    rows = corpus(5, 60)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == plain_classes(rows)
-
-
 def test_classes_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (3, "A B C D E F"), (9, "x " * 3000)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dup.classes(df).collect()), key=str)
