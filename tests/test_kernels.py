@@ -94,6 +94,46 @@ def test_first_identities_are_the_same_when_tasks_keep_few(spark, monkeypatch, f
         assert few < most if k == 1 else few <= most
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan", "chi_square"])
+def test_screened_minima_equal_comparing_all_pairs(monkeypatch, metric):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(matching, "TILE", 700)
+    monkeypatch.setattr(matching, "PAIRS", 50)
+    computed = []
+    monkeypatch.setattr(matching.Screen, "distances", lambda self, i, j, f=matching.Screen.distances: computed.append(len(i)) or f(self, i, j))
+    for case in range(40):
+        n, m, d, parts = int(rng.integers(1, 90)), int(rng.integers(1, 40)), int(rng.integers(1, 20)), int(rng.integers(1, 12))
+        b = rng.normal(size=(n, d)) if case % 4 else rng.integers(-1, 2, (n, d)).astype(float)
+        a = rng.normal(size=(m, d)) if case % 4 else b[rng.integers(0, n, m)]
+        if metric == "chi_square" and case % 5:
+            a, b = np.abs(a), np.abs(b)
+        a, b = ([a, a + 1e3, a * 1e-7, a * 1e200][case % 10 % 4], [b, b + 1e3, b * 1e-7, b * 1e200][case % 10 % 4]) if case % 3 == 0 else (a, b)
+        if case % 7 == 0:
+            a[0], b[-1] = np.nan, 0
+        if case % 7 == 1:
+            a[-1] = 0
+        where = np.sort(rng.integers(0, parts, n))
+        cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+        own, theirs = ((np.arange(m), np.arange(n)) if case % 2 else (rng.integers(0, 3, m), rng.integers(0, 3, n))) if case % 3 else (None, None)
+        with np.errstate(all="ignore"):
+            full = matching.block_distances(metric, a, b)
+            full = np.where(own[:, None] == theirs[None, :], np.inf, full) if own is not None else full
+            full = np.minimum.reduceat(full, cuts, axis=1)
+            for keep in (1, 3, 20, None):
+                got = {(int(i), int(j)): x for i, j, x in zip(*matching.part_minima(metric, a, b, cuts, keep, own, theirs))}
+                want = {}
+                for i, row in enumerate(full):
+                    order = sorted((j for j in range(len(row)) if not np.isposinf(row[j])), key=lambda j: (np.isnan(row[j]), row[j], j))
+                    want |= {(i, j): row[j] for at, j in enumerate(order) if keep is None or at < keep or np.isnan(row[j])}
+                assert got.keys() == want.keys() and all(got[k] == want[k] or np.isnan(got[k]) and np.isnan(want[k]) for k in want)
+    # among many rows few pairs are computed
+    monkeypatch.setattr(matching, "TILE", 1 << 20)
+    a, b = np.abs(rng.normal(size=(200, 64))) + 1, np.abs(rng.normal(size=(5000, 64))) + 1
+    computed.clear()
+    matching.part_minima(metric, a, b, np.arange(0, 5000, 500), 1)
+    assert 0 < sum(computed) < 200 * 5000 / 20
+
+
 def test_geometry(spark):
     b = lambda *v: [F.lit(x) for x in v]
     iou = lambda a, c: one(spark, geometry.iou(*b(*a), *b(*c)).alias("v")).v
@@ -345,3 +385,73 @@ def test_readers_give_the_same_rows_for_every_format(spark, tmp_path):
     (tmp_path / "png" / "Ann_Lee" / "bad.png").write_bytes(b"no image")
     assert S.lfw(spark, str(tmp_path / "png")).count() == 1
     assert [tuple(r) for r in S.undecoded(spark, str(tmp_path / "png"), recursive=True).collect()] == [("png", 1)]
+
+
+def test_detections_merged_by_batch_equal_one_image_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 11 == 0 else i % 40 // 2, k, *[int(v) for v in rng.integers(0, 60, 2)], *[int(v) for v in rng.integers(5, 30, 2)], 1.0) for k, i in enumerate(rng.integers(0, 40, 400).tolist())]
+    rows += [(99, k, k, 0, 10, 10, 1.0) for k in range(300)]  # one chain, longer than a batch
+    want = []
+    for image in {r[0] for r in rows}:
+        own = [dict(zip(("image_id", "box_id", "x", "y", "w", "h"), r)) for r in rows if r[0] == image]
+        groups = {}
+        for r, g in zip(own, boxes.union_find(own, 0.1)):
+            groups.setdefault(g, []).append(r)
+        top = max(map(len, groups.values()))
+        want += [(image, m[0]["box_id"], *[sum(r[c] for r in m) // len(m) for c in "xywh"], len(m) / top) for m in groups.values() if len(m) >= 2]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = boxes.merged_detections(spark.createDataFrame(rows, boxes.SCHEMA), 0.1, 2).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    none = lambda r: (r[0] is None, *[-1 if v is None else v for v in r])
+    assert sorted(map(tuple, got), key=none) == sorted(want, key=none)
+    # all images of a batch in one call
+    monkeypatch.setattr(boxes, "_PAIRS", 50)
+    own = sorted((r for r in rows if r[0] is not None), key=lambda r: r[:2])
+    label = boxes._groups(*(np.array([r[k] for r in own]) for k in (0, 2, 3, 4, 5)), 0.1)
+    assert len(set(label)) == len({(r[0], g) for r in {x[0]: x for x in own}.values() for q in [[dict(zip(("image_id", "box_id", "x", "y", "w", "h"), x)) for x in own if x[0] == r[0]]] for g in boxes.union_find(q, 0.1)})
+
+
+def test_nearest_of_own_label(spark):
+    rng = np.random.default_rng(5)
+    g = [(f"i{i % 3}" if i % 7 else None, rng.normal(size=4).tolist()) for i in range(60)] + [("n", [math.nan] * 4), ("n", [1.0] * 4), ("m", [math.nan] * 4)]
+    p = [(i, ["i0", "i1", "i2", "n", "m", "none", None][i % 7], rng.normal(size=4).tolist()) for i in range(40)]
+    got = {r.probe_id: r.distance for r in matching.nearest_of_own(spark.createDataFrame(p, "probe_id long, who string, v array<double>"), spark.createDataFrame(g, "who string, v array<double>"), "who").collect()}
+    for i, who, v in p:
+        d = [math.dist(v, u) for w, u in g if w == who and who is not None]
+        best = min((x for x in d if not math.isnan(x)), default=math.nan)
+        assert (i in got) == bool(d) and (not d or math.isnan(best) and math.isnan(got[i]) or abs(got[i] - best) < 1e-12)
+
+
+def test_first_of_a_spread_identity_beside_its_not_a_number(spark, monkeypatch):
+    monkeypatch.setattr(matching, "SHARD", 4)
+    g = [("a", [math.nan, 0.0])] + [("a", [float(i), 1.0]) for i in range(20)] + [(w, [float(i), 3.0]) for w in "bc" for i in range(20)]
+    p = spark.createDataFrame([(1, [2.0, 2.0])], "probe_id long, v array<double>")
+    got = matching.nearest_by_identity(p, spark.createDataFrame(g, "identity string, v array<double>"), "euclidean", keep=1).collect()
+    assert sorted((r.identity, math.isnan(r.distance)) for r in got) == [("a", True), ("b", False)]
+
+
+def test_display_text_and_words_of_the_whole_text(spark, tmp_path):
+    from likeness.plans import identities
+
+    text = " ".join(f"w{i}" for i in range(500))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = identities.text_truncate(spark, str(tmp_path)).collect()[0]
+    assert r.short == text[:18] + ".." and r.words == 500
+
+
+def test_catalogue_sizes_at_halves(spark, tmp_path):
+    import duckdb
+
+    from likeness.plans import catalogue
+
+    rows = [(i, "p", "t", "x", 1, n / 1000) for i, n in enumerate((1280, 1792, 2304, 1048576 + 52429 * 5, 1048576 * 2 + 262144, 1048576 + 786432, 500))]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = catalogue.queries()["model_catalog"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.oracle_sql()['model_catalog']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {r.p_partkey: r.size_text for r in got.collect()}[0] == "1.3 KB"
