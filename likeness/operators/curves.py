@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from likeness.operators import metrics as E, order as O
-from likeness.operators.matching import BLOCK, SHARD, block_distances, coded, matrix
+from likeness.operators.matching import BLOCK, GROUPS, SHARD, block_distances, coded, matrix, part_minima
 from likeness.runtime import ship
 
 
@@ -34,7 +34,8 @@ def nearest_by_step(probes: DataFrame, gallery: DataFrame, metric: str, n: int,
     identity; a distance that is not a number counts as farther than all others.
     """
     ship(probes.sparkSession)
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
+    shards = max(1, -(-n // SHARD))
+    blocks = max(1, -(-m // BLOCK), min(-(-m // 1024), -(-GROUPS // shards)))
     left = probes.select("probe_id", F.col("v").alias("pv"), F.col("step").alias("pt"), F.pmod(F.xxhash64("probe_id"), F.lit(blocks)).alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")).alias("ps"))
     right = gallery.select("identity", F.col("v").alias("gv"), F.col("step").alias("gt"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("gb"), F.pmod(F.xxhash64("v"), F.lit(shards)).alias("gs"))
     names = ["probe_id", "step", "identity", "distance"]
@@ -47,18 +48,27 @@ def nearest_by_step(probes: DataFrame, gallery: DataFrame, metric: str, n: int,
             who, step, b = who[at_[order]], step[order], matrix(g.column("gv"))[order]
             ids, own, a = p.column("probe_id").to_numpy(), p.column("pt").to_numpy(), matrix(p.column("pv"))
             cuts = [*np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(step)]
-            for lo in range(0, len(a), 256):
-                d = block_distances(metric, a[lo : lo + 256], b)
-                for i, j in zip(cuts, cuts[1:]):
-                    rows = np.flatnonzero(own[lo : lo + 256] > step[i])
-                    part = d[rows, i:j]
-                    at = np.where(np.isnan(part), np.inf, part).argmin(1) if len(rows) else np.zeros(0, int)
-                    found[0] += ids[lo + rows].tolist()
-                    found[1] += [int(step[i])] * len(rows)
-                    found[2] += who[i + at].tolist()
-                    found[3] += part[np.arange(len(rows)), at].tolist()
+            for i, j in zip(cuts, cuts[1:]):
+                rows = np.flatnonzero(own > step[i])
+                if metric != "cosine" and np.isfinite(a).all() and np.isfinite(b).all():
+                    parts = np.flatnonzero(np.append(True, who[i + 1 : j] != who[i : j - 1]))
+                    at, part, d = part_minima(metric, a[rows], b[i:j], parts, 1)
+                    at, name = rows[at], who[i + parts[part]]
+                else:  # what is not a number is farther than all others
+                    at, name, d = rows, [], []
+                    for lo in range(0, len(rows), 64):
+                        some = block_distances(metric, a[rows[lo : lo + 64]], b[i:j])
+                        best = np.where(np.isnan(some), np.inf, some).argmin(1)
+                        name += who[i + best].tolist()
+                        d += some[np.arange(len(some)), best].tolist()
+                found[0] += ids[at].tolist()
+                found[1] += [int(step[i])] * len(at)
+                found[2] += list(name)
+                found[3] += list(d)
         return pa.table([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int32(), pa.string(), pa.float64()))], names=names)
 
+    groups = min(4096, 2 * shards * blocks)
+    left, right = left.repartition(groups, "pb", "ps"), right.repartition(groups, "gb", "gs")
     met = left.groupBy("pb", "ps").cogroup(right.groupBy("gb", "gs")).applyInArrow(least, "probe_id long, step int, identity string, distance double")
     best = F.min(F.struct("distance", "identity"))
     return met.groupBy("probe_id", "step").agg(best.alias("best"))
