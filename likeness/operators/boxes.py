@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -141,10 +142,65 @@ def union_find(rows: list[dict], at_least: float = 0.4) -> list[int]:
     return [find(i) for i in range(len(rows))]
 
 
+#: Pairs of boxes whose overlap is computed at once, unless one box alone has more.
+_PAIRS = 1 << 20
+
+
+def _ids(b: pa.RecordBatch) -> np.ndarray:
+    return b.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+
+
+def _groups(image: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, at_least: float) -> np.ndarray:
+    """For rows of whole images (image ascending): the first row of each box's connected group, as ``union_find`` has it for one image."""
+    n = len(image)
+    rank = np.cumsum(np.append(False, image[1:] != image[:-1]))
+    order = np.lexsort((x, rank))
+    low, room = int(x.min()), int(x.max()) - int(x.min()) + 2
+    key = rank[order] * room + (x[order] - low)
+    end = np.searchsorted(key, rank[order] * room + np.clip(x[order] + w[order] - low, 0, room - 1))  # boxes after it that begin before it ends
+    many = np.maximum(end - np.arange(1, n + 1), 0)
+    upto = np.cumsum(many)
+    label, lo = np.arange(n), 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _PAIRS, side="right")))
+        first = np.repeat(np.arange(lo, hi), many[lo:hi])
+        then = np.arange(len(first)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi], many[lo:hi]) + first + 1
+        a, b, lo = order[first], order[then], hi
+        both = np.maximum(0, np.minimum(x[a] + w[a], x[b] + w[b]) - np.maximum(x[a], x[b])) * np.maximum(0, np.minimum(y[a] + h[a], y[b] + h[b]) - np.maximum(y[a], y[b]))
+        union = w[a] * h[a] + w[b] * h[b] - both
+        near = np.where(union > 0, both / np.where(union > 0, union, 1), 0.0) >= at_least
+        a, b = a[near], b[near]
+        while len(a):
+            p, q = label[a], label[b]
+            apart = p != q
+            a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+            np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+            while (label[label] != label).any():
+                label = label[label]
+    return label
+
+
+def _merged(parts: list[pa.RecordBatch], at_least: float, min_members: int) -> pa.RecordBatch:
+    """The groups of whole images (image_id and box_id ascending), as one batch."""
+    b = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    image = _ids(b)
+    box = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2, 6)]
+    label = _groups(image, *box, at_least)
+    order = np.argsort(label, kind="stable")
+    at = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1]))
+    size, first = np.diff(np.append(at, len(order))), label[order][at]  # the groups are in the order of their first rows
+    begin = np.flatnonzero(np.append(True, image[first][1:] != image[first][:-1]))
+    top = np.repeat(np.maximum.reduceat(size, begin), np.diff(np.append(begin, len(first))))
+    kept = size >= min_members
+    mean = [pa.array((np.add.reduceat(v[order], at) // size)[kept], pa.int32()) for v in box]
+    whole = pa.array(first[kept])
+    return pa.RecordBatch.from_arrays([b.column(0).take(whole), b.column(1).take(whole), *mean, pa.array((size / top)[kept])], names=b.schema.names)
+
+
 def merged_detections(boxes: DataFrame, at_least: float = 0.4, min_members: int = 3, spread: bool = False) -> DataFrame:
     """Connected groups of overlapping boxes, averaged; groups of fewer members go.
 
-    An image's boxes are merged in one task or, with ``spread``, by joins, as where
+    An image's boxes are merged in one task, all whole images of a batch at once, or, with ``spread``, by joins, as where
     a detector leaves more windows of a picture than a task should hold.
     """
     if spread:
@@ -154,12 +210,21 @@ def merged_detections(boxes: DataFrame, at_least: float = 0.4, min_members: int
         out = group_average(own, "label", min_members)
         return out.select("image_id", F.col("label").alias("box_id"), *"xywh", "confidence")
 
-    def merge(rows: list[dict]) -> list[dict]:
-        groups: dict[int, list[dict]] = {}
-        for r, g in zip(rows, union_find(rows, at_least)):
-            groups.setdefault(g, []).append(r)
-        top = max(map(len, groups.values()))
-        out = [{"image_id": m[0]["image_id"], "box_id": m[0]["box_id"], **{c: sum(r[c] for r in m) // len(m) for c in "xywh"}, "confidence": len(m) / top} for m in groups.values() if len(m) >= min_members]
-        return sorted(out, key=lambda r: r["box_id"])
+    ship(boxes.sparkSession)
+    src = boxes.select(*[c.split()[0] for c in SCHEMA.split(", ")]).repartition("image_id").sortWithinPartitions("image_id", "box_id")
 
-    return _per_image(boxes, merge)
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # of the image that the last batch ended in
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = _ids(b)
+            last = int(np.searchsorted(ids, ids[-1]))
+            if last or held and _ids(held[0])[0] != ids[0]:
+                yield _merged([*held, b.slice(0, last)], at_least, min_members)
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield _merged(held, at_least, min_members)
+
+    return src.mapInArrow(run, SCHEMA)
