@@ -85,7 +85,7 @@ def model_state(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", G.model_state(k % 5 == 0, k % 5 == 1, k % 5 == 2, F.when(k > 10, 1).otherwise(0)).alias("state"))
 
 
-@query("SELECT p_partkey, p_name, p_type AS algorithm, CAST(floor(p_retailprice * 1000) AS BIGINT) AS bytes, CASE WHEN floor(p_retailprice * 1000) < 1024 THEN printf('%d B', CAST(floor(p_retailprice * 1000) AS BIGINT)) WHEN floor(p_retailprice * 1000) < 1048576 THEN printf('%.1f KB', floor(p_retailprice * 1000) / 1024) ELSE printf('%.1f MB', floor(p_retailprice * 1000) / 1048576) END AS size_text FROM part WHERE p_type = (SELECT min(p_type) FROM part)")
+@query("SELECT p_partkey, p_name, p_type AS algorithm, CAST(floor(p_retailprice * 1000) AS BIGINT) AS bytes, CASE WHEN floor(p_retailprice * 1000) < 1024 THEN printf('%d B', CAST(floor(p_retailprice * 1000) AS BIGINT)) WHEN floor(p_retailprice * 1000) < 1048576 THEN printf('%.1f KB', round(floor(p_retailprice * 1000) / 1024, 1)) ELSE printf('%.1f MB', round(floor(p_retailprice * 1000) / 1048576, 1)) END AS size_text FROM part WHERE p_type = (SELECT min(p_type) FROM part)")
 def model_catalog(spark, sf):
     p = table(spark, sf, "part")
     n = F.floor(c("p_retailprice") * 1000).cast("long")
