@@ -120,9 +120,10 @@ def checksum_sha256(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), T.is_image(c("url")).alias("is_image"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 20 THEN left(text, 18) || '..' ELSE text END AS short FROM documents")
+@query(r"SELECT doc_id, CASE WHEN length(text) > 20 THEN left(text, 18) || '..' ELSE text END AS short, CAST(len(regexp_split_to_array(trim(text, ' '), '[ \t\n\x0B\f\r]+')) AS INTEGER) AS words FROM documents")
 def text_truncate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.truncated(c("text"), 20).alias("short"))
+    """The text cut for display, and the words of the whole text."""
+    return table(spark, sf, "documents").select("doc_id", T.truncated(c("text"), 20).alias("short"), F.size(T.words(c("text"))).alias("words"))
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_split_to_array(trim(text, ' '), '[ \t\n\x0B\f\r]+')) AS INTEGER) AS words FROM documents")
