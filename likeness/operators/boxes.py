@@ -55,7 +55,7 @@ def near_pairs(boxes: DataFrame, at_least: float = 0.4) -> DataFrame:
     once = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_box_id") < F.col("b_box_id")))
     here = (F.floor(F.greatest("a_x", "b_x") / cell) == F.col("cx")) & (F.floor(F.greatest("a_y", "b_y") / cell) == F.col("cy"))
     v = iou(*[F.col(f"{s}_{c}") for s in "ab" for c in "xywh"])
-    met = a.join(b, ["image_id", "grid", "cx", "cy"]).where(touch & once & here)
+    met = a.join(b.hint("merge"), ["image_id", "grid", "cx", "cy"]).where(touch & once & here)
     return met.select("image_id", F.least("a_box_id", "b_box_id").alias("a"), F.greatest("a_box_id", "b_box_id").alias("b"), v.alias("iou")).where(F.col("iou") >= at_least)
 
 

@@ -22,8 +22,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = cut(edges.select("g", "u", "v").unionByName(edges.select("g", F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
     while True:
         up = f.select("g", F.col("id").alias("p"), F.col("p").alias("gp"))
-        gf = f.join(up, ["g", "p"]).select("g", "id", "p", "gp").persist(StorageLevel.MEMORY_AND_DISK)  # what is lost of it is made anew
-        near = both.join(gf.select("g", F.col("id").alias("u"), F.col("p").alias("pu")), ["g", "u"]).join(gf.select("g", F.col("id").alias("v"), "gp"), ["g", "v"])
+        gf = f.join(up.hint("merge"), ["g", "p"]).select("g", "id", "p", "gp").persist(StorageLevel.MEMORY_AND_DISK)  # what is lost of it is made anew
+        near = both.join(gf.select("g", F.col("id").alias("u"), F.col("p").alias("pu")).hint("merge"), ["g", "u"]).join(gf.select("g", F.col("id").alias("v"), "gp").hint("merge"), ["g", "v"])
         hooks = near.select("g", F.explode(F.array("u", "pu")).alias("id"), F.col("gp").alias("to"))
         found = gf.select("g", "id", F.col("gp").alias("to"), F.col("p").alias("was")).unionByName(hooks.withColumn("was", F.lit(None).cast("long")))
         new = cut(found.groupBy("g", "id").agg(F.min("to").alias("p"), F.max("was").alias("was")))

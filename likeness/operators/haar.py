@@ -132,24 +132,28 @@ def windows(pixels: DataFrame, c: Cascade, least_side: int = 30, grow: float = 1
 
     All positions of all scales are one table. A stage asks the integral table
     for the corners of its features, adds up the leaves and keeps the windows
-    that reach its threshold, so the table thins out from stage to stage; no task
-    holds a picture. Windows of a variance below 1 are dropped before the first.
+    that reach its threshold, so the table thins out from stage to stage. Rows are dealt by position, and votes by
+    picture where pictures are small; no side of a join is sent to all tasks.
+    Windows of a variance below 1 are dropped before the first.
     """
     side = raster.sizes(pixels)
     most = side.agg(F.max(F.least(F.col("w") / c.width, F.col("h") / c.height))).collect()[0][0]
     scales = _grid(c, least_side, grow, most or 0)
     if not scales:
         return pixels.where("false").select("image_id", *[F.lit(0).alias(k) for k in "xywh"])
-    table = cut(raster.integral(pixels))
+    how = raster.dealing(side)
+    spread = lambda rows: rows.repartition(4 * how[0], "image_id", "cy", "cx")
+    table = cut(raster.integral(raster.dealt(pixels.select("image_id", "y", "x", "v"), how, "y")))
+    table = spread(table.select("image_id", F.col("y").alias("cy"), F.col("x").alias("cx"), "s", "q"))
     grid = _literal([(k, *s) for k, s in enumerate(scales)], ("k", "scale", "ww", "wh", "step"))
-    at = side.select("image_id", "w", "h", F.explode(grid).alias("g")).where("g.scale <= least(w / {0}, h / {1}) AND g.ww <= w AND g.wh <= h".format(float(c.width), float(c.height)))
+    at = raster.dealt(side, how, "w").select("image_id", "w", "h", F.explode(grid).alias("g")).where("g.scale <= least(w / {0}, h / {1}) AND g.ww <= w AND g.wh <= h".format(float(c.width), float(c.height)))
     along = lambda room, size: F.explode(F.sequence(F.lit(0), (F.col(room) - F.col(f"g.{size}")).cast("int"), F.col("g.step")))
     at = at.select("*", along("h", "wh").alias("y")).select("image_id", "g.k", "y", along("w", "ww").alias("x"))
 
     def met(live: DataFrame, corners: Column, keep: list[str]) -> DataFrame:
         asked = live.select("image_id", "k", "y", "x", *keep, F.explode(F.get(corners, F.col("k"))).alias("c"))
         asked = asked.select("image_id", "k", F.col("y").alias("wy"), F.col("x").alias("wx"), *keep, "c.*", (F.col("y") + F.col("c.dy")).alias("cy"), (F.col("x") + F.col("c.dx")).alias("cx"))
-        return asked.join(table.select("image_id", F.col("y").alias("cy"), F.col("x").alias("cx"), "s", "q"), ["image_id", "cy", "cx"])
+        return raster.dealt(spread(asked).join(table.hint("merge"), ["image_id", "cy", "cx"]), (4 * how[0], how[1]), "wy", "wx")
 
     frame = F.array(*[_literal([(w, h, 1), (0, 0, 1), (w, 0, -1), (0, h, -1)], ("dx", "dy", "sign")) for _, w, h, _ in scales])
     area = F.get(F.array(*[F.lit(float(w * h)) for _, w, h, _ in scales]), F.col("k"))

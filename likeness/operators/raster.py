@@ -16,6 +16,8 @@ from likeness.operators.boxes import merged_greedily
 from likeness.operators.graph import components as graph_components
 
 _WIDE = 1 << 32  # a position is y * _WIDE + x
+#: Pixels in a partition, about.
+ROWS = 1 << 16
 
 
 def sizes(pixels: DataFrame) -> DataFrame:
@@ -23,6 +25,22 @@ def sizes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
 
 
+def dealing(side: DataFrame, each: int = 1) -> tuple[int, bool]:
+    """Partitions for work on pictures of sizes ``side`` of at least ``each`` rows a picture, and whether a picture fits one.
+
+    Rows that are exploded from few are many more than Spark expects of their source, so the
+    number of partitions follows from their own count: about ROWS pixels each.
+    """
+    area = F.col("w").cast("long") * F.col("h")
+    n, most = side.agg(F.sum(F.greatest(area, F.lit(each))), F.max(area)).collect()[0]
+    return min(20_000, max(1, -(-int(n or 0) // ROWS))), (most or 0) <= ROWS
+
+
+def dealt(rows: DataFrame, how: tuple[int, bool], *keys: str) -> DataFrame:
+    """Rows dealt by picture, or by ``keys`` as well if a picture does not fit."""
+    return rows.repartition(how[0], "image_id", *(() if how[1] else keys))
+
+
 # ----------------------------------------------------------------- components
 def components(pixels: DataFrame, mask: Column, least: int = 100) -> DataFrame:
     """Four-connected parts of the pixels where ``mask`` holds, of at least ``least`` pixels each.
@@ -62,7 +80,7 @@ def _gathered(targets: DataFrame, pixels: DataFrame, keep: list[str]) -> DataFra
     corner = lambda k, y, x: F.struct(F.lit(k).alias("k"), F.col(y).alias("y"), F.col(x).alias("x"))
     four = F.array(corner("00", "y0", "x0"), corner("01", "y0", "x1"), corner("10", "y1", "x0"), corner("11", "y1", "x1"))
     asked = targets.select("image_id", "ty", "tx", *keep, F.explode(four).alias("c")).select("image_id", "ty", "tx", *keep, "c.*")
-    met = asked.join(pixels.select("image_id", "y", "x", "v"), ["image_id", "y", "x"])
+    met = asked.join(pixels.select("image_id", "y", "x", "v").hint("merge"), ["image_id", "y", "x"])
     value = lambda k: F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"v{k}")
     return met.groupBy("image_id", "ty", "tx", *keep).agg(*[value(k) for k in ("00", "01", "10", "11")])
 
@@ -71,21 +89,34 @@ def resized(pixels: DataFrame, w: int, h: int, of: DataFrame | None = None) -> D
     """Bilinear by pixel centres, halves up: (image_id, y, x, v) of w x h for each picture.
 
     A target pixel's place in the source is a fraction with denominator twice the
-    target's side, so the four weights are whole numbers and the value is exact.
+    target's side, so the four weights are whole numbers and the value is exact. A source pixel counts
+    for the targets less than a pixel away from it, so pixels meet their picture's size and no other pixel.
+    A target of which a source is missing or null is null.
     """
 
-    def axis(t: str, side: str, to: int, lo: str, hi: str, part: str) -> dict[str, Column]:
+    def axis(at: str, side: str, to: int, t: str) -> Column:
+        """The targets t near a source row or column, with weights of 0 at the ends of the range."""
+        near = lambda d: F.floor((F.lit(2 * to) * (F.col(at) + d) + to) / (2 * F.col(side)) - 0.5).cast("int")
+        low = F.when(F.col(at) == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), near(-1)))
+        high = F.when(F.col(at) == F.col(side) - 1, F.lit(to - 1)).otherwise(F.least(F.lit(to - 1), near(1) + 1))
+        return F.explode(F.when(low <= high, F.sequence(low, high))).alias(t)
+
+    def weight(at: str, side: str, to: int, t: str) -> Column:
         top = F.greatest(F.lit(0), F.least((2 * F.col(t) + 1) * F.col(side) - to, (F.col(side) - 1) * 2 * to)).cast("long")
-        low = F.floor(top / (2 * to))
-        return {lo: low, hi: F.least(low + 1, F.col(side) - 1), part: top - low * (2 * to)}
-
-    at = _targets(of if of is not None else sizes(pixels), w, h)
-    at = at.withColumns(axis("tx", "w", w, "x0", "x1", "fx") | axis("ty", "h", h, "y0", "y1", "fy"))
-    got = _gathered(at, pixels, ["fx", "fy"])
-    fx, fy, gx, gy = F.col("fx"), F.col("fy"), 2 * w - F.col("fx"), 2 * h - F.col("fy")
-    total = (F.col("v00") * gx + F.col("v01") * fx) * gy + (F.col("v10") * gx + F.col("v11") * fx) * fy
+        return F.greatest(F.lit(0), 2 * to - F.abs(top - F.col(at).cast("long") * (2 * to)))
+
+    side = of if of is not None else sizes(pixels)
+    how = dealing(side, w * h)
+    own = dealt(pixels.select("image_id", "y", "x", "v"), how, "y")
+    side = (of if of is not None else sizes(own)).select("image_id", "w", "h")
+    one = own.groupBy("image_id", "y", "x").agg(F.max("v").alias("v")).join(side.hint("merge"), "image_id")
+    rows = one.select("*", axis("y", "h", h, "ty")).withColumn("wy", weight("y", "h", h, "ty")).where("wy > 0")
+    both = rows.select("image_id", "v", "x", "w", "ty", "wy", axis("x", "w", w, "tx")).withColumn("wx", weight("x", "w", w, "tx")).where("wx > 0")
+    by = F.when(F.col("v").isNotNull(), F.col("wy") * F.col("wx"))
+    got = both.groupBy("image_id", "ty", "tx").agg(F.sum(F.col("v") * by).alias("total"), F.sum(by).alias("whole"))
     whole = 4 * w * h
-    return got.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), F.floor((2 * total + whole) / (2 * whole)).cast("int").alias("v"))
+    value = F.when(F.col("whole") == whole, F.floor((2 * F.col("total") + whole) / (2 * whole))).cast("int")
+    return got.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), value.alias("v"))
 
 
 def cropped(pixels: DataFrame, boxes: DataFrame, margin: float = 0.0) -> DataFrame:
@@ -132,12 +163,14 @@ def clahe(pixels: DataFrame, tile: int, limit: float) -> DataFrame:
     the values that a picture's pixels ask of a tile's table are worked out: those
     of its own and of its neighbours' pixels, at most 256 a tile.
     """
-    side = sizes(pixels).select("image_id", F.ceil(F.col("w") / tile).alias("nx"), F.ceil(F.col("h") / tile).alias("ny"))
+    how = dealing(sizes(pixels), 1)
+    pixels = dealt(pixels.select("image_id", "y", "x", "v"), how, "y")
+    side = sizes(pixels).select("image_id", F.ceil(F.col("w") / tile).alias("nx"), F.ceil(F.col("h") / tile).alias("ny")).hint("merge")
     spot = lambda c: F.floor(F.col(c) / tile)
     counts = pixels.groupBy("image_id", spot("y").alias("ty"), spot("x").alias("tx"), "v").agg(F.count("*").alias("n"))
-    total = counts.groupBy("image_id", "ty", "tx").agg(F.sum("n").alias("total"))
+    one = Window.partitionBy("image_id", "ty", "tx")
     top = F.floor(F.lit(float(limit)) * F.col("total") / 256)
-    clipped = counts.join(total, ["image_id", "ty", "tx"]).withColumns({"cut": F.least(F.col("n"), top), "over": F.greatest(F.col("n") - top, F.lit(0))})
+    clipped = counts.withColumn("total", F.sum("n").over(one)).withColumns({"cut": F.least(F.col("n"), top), "over": F.greatest(F.col("n") - top, F.lit(0))})
     place = lambda c: F.col(c) / tile - 0.5
     low = lambda c: F.greatest(F.lit(0), F.floor(place(c)))
     at = pixels.join(side, "image_id").withColumns({"x0": low("x"), "y0": low("y")})
@@ -146,17 +179,18 @@ def clahe(pixels: DataFrame, tile: int, limit: float) -> DataFrame:
     four = F.array(corner("00", "y0", "x0"), corner("01", "y0", "x1"), corner("10", "y1", "x0"), corner("11", "y1", "x1"))
     asked = at.select("image_id", "y", "x", "v", "fx", "fy", F.explode(four).alias("c")).select("image_id", "y", "x", "v", "fx", "fy", "c.*")
     none = F.lit(0).cast("long")
-    both = clipped.select("image_id", "ty", "tx", "v", "cut", "over").unionByName(asked.select("image_id", "ty", "tx", "v", none.alias("cut"), none.alias("over")).distinct())
-    one = Window.partitionBy("image_id", "ty", "tx")
-    table = both.groupBy("image_id", "ty", "tx", "v").agg(F.sum("cut").alias("cut"), F.sum("over").alias("over"))
-    table = table.join(total, ["image_id", "ty", "tx"]).withColumns({"dealt": F.floor(F.sum("over").over(one) / 256), "sum": F.sum("cut").over(one.orderBy("v"))})
+    both = clipped.select("image_id", "ty", "tx", "v", "cut", "over", "n").unionByName(asked.select("image_id", "ty", "tx", "v", none.alias("cut"), none.alias("over"), none.alias("n")).distinct())
+    both = dealt(both, how, "ty", "tx")
+    table = both.groupBy("image_id", "ty", "tx", "v").agg(*[F.sum(k).alias(k) for k in ("cut", "over", "n")])
+    table = table.withColumns({"total": F.sum("n").over(one), "dealt": F.floor(F.sum("over").over(one) / 256), "sum": F.sum("cut").over(one.orderBy("v"))})
     table = table.withColumn("cdf", F.col("sum") + (F.col("v") + 1) * F.col("dealt"))
     # The least table value above none: with something dealt, that of value 0.
     first = F.when(F.col("dealt") > 0, F.coalesce(F.max(F.when(F.col("v") == 0, F.col("cut"))).over(one), F.lit(0)) + F.col("dealt")).otherwise(F.coalesce(F.min(F.when(F.col("cdf") > 0, F.col("cdf"))).over(one), F.lit(0)))
     table = table.withColumn("first", first)
     room = F.col("total") - F.col("first")
     level = F.when(room > 0, F.floor((F.col("cdf") - F.col("first")) / F.when(room > 0, room) * 255 + 0.5)).otherwise(F.col("v"))
-    got = asked.join(table.select("image_id", "ty", "tx", "v", level.alias("level")), ["image_id", "ty", "tx", "v"])
+    spread = lambda rows: rows.repartition(4 * how[0], "image_id", "ty", "tx", "v")
+    got = dealt(spread(asked).join(spread(table.select("image_id", "ty", "tx", "v", level.alias("level"))).hint("merge"), ["image_id", "ty", "tx", "v"]), how, "y", "x")
     value = lambda k: F.max(F.when(F.col("k") == k, F.col("level"))).alias(f"v{k}")
     got = got.groupBy("image_id", "y", "x", "fx", "fy").agg(*[value(k) for k in ("00", "01", "10", "11")])
     fx, fy = F.col("fx"), F.col("fy")
@@ -250,7 +284,7 @@ def eroded(mask: DataFrame, k: int) -> DataFrame:
     """(image_id, y, x, m) of a mask of every pixel: true where the whole window is; the border of k // 2 is false."""
     r = k // 2
     inside = (F.col("y") >= r) & (F.col("x") >= r) & (F.col("y") < F.col("h") - r) & (F.col("x") < F.col("w") - r)
-    return _window(mask, k, F.min).join(sizes(mask), "image_id").select("image_id", "y", "x", (F.col("m") & inside).alias("m"))
+    return _window(mask, k, F.min).join(sizes(mask).hint("merge"), "image_id").select("image_id", "y", "x", (F.col("m") & inside).alias("m"))
 
 
 def dilated(mask: DataFrame, k: int) -> DataFrame:
@@ -263,7 +297,7 @@ def skin_regions(pixels: DataFrame, least_side: int = 30, largest_side: int | No
 
     box_id follows the first pixel of the part, in row-major order.
     """
-    mask = skin(pixels, adaptive).withColumnRenamed("skin", "m")
+    mask = dealt(skin(pixels, adaptive).withColumnRenamed("skin", "m"), dealing(sizes(pixels)), "y")
     found = components(dilated(eroded(mask, 3), 5), F.col("m"), least)
     fill, shape = F.col("count") / (F.col("w") * F.col("h")), F.col("w") / F.col("h")
     side = F.least("w", "h")

@@ -11,6 +11,7 @@ from likeness.operators import boxes as B, gallery as G, haar, images as I, rast
 from likeness.plans import pictures as P
 from likeness.plans import fixtures as X
 from likeness.plans.catalogue import query
+from likeness.runtime import cut
 
 c = F.col
 
@@ -332,7 +333,7 @@ SELECT image_id, box_id, x, y, w, h, confidence FROM (SELECT *, CAST(n AS DOUBLE
 def cascade_faces(spark, sf):
     """The windows that pass the cascade, merged where they overlap by two fifths; groups of fewer than three go."""
     w = Window.partitionBy("image_id").orderBy("w", "y", "x")
-    found = haar.windows(X.pixels(spark, sf), CASCADE, 4, 1.25)
+    found = cut(haar.windows(X.pixels(spark, sf), CASCADE, 4, 1.25))  # read several times
     boxes = found.select("image_id", F.row_number().over(w).cast("long").alias("box_id"), "x", "y", "w", "h", F.lit(1.0).alias("confidence"))
     return B.merged_detections(boxes, spread=True)
 

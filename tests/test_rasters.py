@@ -222,3 +222,36 @@ def test_curve_equals_splitting_anew(spark, monkeypatch):
         want = api.evaluate(df, "manhattan", ratio)["macro"].collect()[0]
         assert all(abs(row[k] - want[k]) < 1e-12 for k in ("accuracy", "precision", "recall", "f1")) and row.tested == 92 - int(92 * ratio)
     assert {r.ratio for r in api.learning_curve(df, [0.001, 0.5]).collect()} == {0.5}
+
+
+def _joins(df):
+    """Names of the joins that Spark plans, before it has seen any sizes."""
+    return set(__import__("re").findall(r"\w+Join", df._jdf.queryExecution().sparkPlan().toString()))
+
+
+def test_exploded_rows_are_never_broadcast(spark):
+    g = table(spark, {k: v for k, v in pictures().items() if min(v.shape) >= 4})
+    cascade = haar.Cascade(4, 4, [(-0.5, [(0, 0.125, -0.75, 0.75)])], [[(0, 0, 4, 4, -1.0), (0, 0, 2, 4, 2.0)]])
+    found = haar.windows(g, cascade, 4, 1.25)
+    assert _joins(found) == {"SortMergeJoin"} and _joins(raster.clahe(g, 4, 48.0)) == {"SortMergeJoin"} and _joins(raster.resized(g, 6, 5)) == {"SortMergeJoin"}
+    boxed = found.select("image_id", raster.F.monotonically_increasing_id().alias("box_id"), "x", "y", "w", "h")
+    assert _joins(boxes.near_pairs(boxed)) == {"SortMergeJoin"}
+
+
+@pytest.mark.parametrize("rows", [40, 1 << 18])
+def test_dealing_follows_the_rows_and_changes_nothing(spark, monkeypatch, rows):
+    monkeypatch.setattr(raster, "ROWS", rows)
+    own = pictures()
+    side = raster.sizes(table(spark, own))
+    n = sum(g.size for g in own.values())
+    assert raster.dealing(side) == (-(-n // rows), rows > 400)
+    got = arrays(raster.clahe(table(spark, own), 4, 48.0))
+    assert all((got[i] == images.clahe(g, 4, 48.0)).all() for i, g in own.items())
+    small = arrays(raster.resized(table(spark, own), 17, 13))
+    assert (small[1] == own[1]).all()
+
+
+def test_resize_needs_every_source(spark):
+    rows = [(1, y, x, 10 * y + x) for y in range(3) for x in range(3) if (y, x) != (1, 1)] + [(1, 0, 0, 0)]
+    got = {(r.y, r.x): r.v for r in raster.resized(spark.createDataFrame(rows, "image_id long, y int, x int, v int"), 3, 3).collect()}
+    assert got[0, 0] == 0 and got[2, 2] == 22 and got.get((1, 1)) is None
